@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import decontaminate, mixing, simhash, tokenids, toxicity
+from kgspark.llm import decontaminate, htmltext, lmscore, mixing, secrets, simhash, tokencounts, tokenids, topk, toxicity
 from kgspark.llm.common import in_split, table
 
 
@@ -17,10 +17,23 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans")
+    )
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,15 +57,74 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", in_split(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "abusive_hits", "quoted_hits")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), in_split(F.col("doc_id"), 7, 2), tokenizer("word_bpe_49k.json"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencounts.section_tokens(table(spark, sf_dir, "documents"), tokencounts.lines(F.col("text")), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_exact_top_k,
         op2_token_id_files,
+        op3_secret_scan,
         op4_benchmark_decontamination,
         op5_source_mixing,
         op6_simhash_near_dedup,
         op7_toxicity,
+        op8_html_extraction,
+        op9_lm_scores,
+        op10_token_counts,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Patterns as RE2 reads them, group 1 the match and, for assign, group 2 the value: (kind, pattern, least length, group).
+_SQL_RULES = (
+    ("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))""", 6, 2),
+    ("access", r"(AKIA[A-Z0-9]+)", 20, 1),
+    ("hex", r"([0-9a-f]+)", 24, 1),
+    ("pem", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 1),
+    ("github", r"(gh[pousr]_[A-Za-z0-9]{36,})", 40, 1),
+    ("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 15, 1),
+    ("google", r"(AIza[A-Za-z0-9_-]{35})", 39, 1),
+)
+
+
+def _secret_sql() -> str:
+    parts = "\n union all ".join(
+        f"select doc_id, '{kind}' as kind, {k} as k, {least} as least, regexp_extract_all(t, '{p}', 1) as ms, regexp_extract_all(t, '{p}', {g}) as vs, string_split_regex(t, '{p}') as gs from d"
+        for k, (kind, p, least, g) in enumerate(_SQL_RULES)
+    )
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({parts}),
+u as (select doc_id, kind, k, least, unnest(range(1, len(ms) + 1)) as i, ms, vs, gs from m),
+w as (select doc_id, kind, k, i, least, vs[i] as v, ms[i] as m, ms, gs from u where length(vs[i]) >= least),
+s as (select doc_id, kind, k, length(m) as l,
+ coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as a from w),
+f as (select doc_id, kind, k, cast(a as bigint) as a, cast(a + l as bigint) as b from s)
+select d.doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+ sha256(coalesce(string_agg(concat(kind, ':', a, ':', b), ',' order by a, k) filter (k < 3), '')) as base_sha256,
+ coalesce(string_agg(concat(kind, ':', a, ':', b), ',' order by a, k) filter (k is not null), '') as spans
+from d left join f on d.doc_id = f.doc_id group by d.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as c from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.c, v.c) as bigint) as score
+ from v q join v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op3_secret_scan": _secret_sql(),
+}
