@@ -139,8 +139,10 @@ def mix(
     Only one row per membership pattern reaches the driver; more patterns than
     max_patterns is an error, not a cut. Rows with the same id and text are
     taken together; documents without words have size 0; an empty table gives
-    no rows. All columns of docs are kept beside the three added ones.
+    no rows. All columns of docs are kept beside the three added ones, but for
+    those of its own whose names begin with mix_, which are left out.
     """
+    docs = docs.select(*[c for c in docs.columns if not c.startswith("mix_")])
     spark = docs.sparkSession
     array = isinstance(docs.schema[source_col].dataType, T.ArrayType)
     members = F.array_sort(F.array_distinct(F.col(source_col))) if array else F.array(F.col(source_col))
