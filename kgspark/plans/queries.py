@@ -293,7 +293,7 @@ def t04_chunk_documents(spark, d):
     return D.chunk(view(spark, d, "v_document"))
 
 
-@query(_CHUNKS + " select source_type, count(*) as chunks, sum(token_count) as tokens from ch group by source_type", "v_document")
+@query(_CHUNKS + " select source_type, count(*) as chunks, cast(sum(token_count) as bigint) as tokens from ch group by source_type", "v_document")
 def t05_chunk_stats(spark, d):
     return D.chunk_stats(D.chunk(view(spark, d, "v_document")))
 
