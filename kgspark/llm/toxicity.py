@@ -152,13 +152,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_support: int = 5, least_odds: float = 3.0, most_terms: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_support: int = 5, least_share: float = 0.01, least_odds: float = 3.0, most_terms: int = 500, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Lexicon and weights from a bounded sample of the labelled rows.
 
     The sample is the most_rows labelled ids (half of them of each label, or
     all there are) that come first in a hash order; that many ids are broadcast
-    to find their texts. A word's document counts by label give its log-odds;
-    words in at least min_support toxic documents whose log-odds reach
+    to find their texts. Of near copies, which share their smallest and largest
+    word hashes, one is counted, else their words would pass for telling ones. A
+    word's document counts by label give its log-odds; words in at least
+    min_support and least_share of the toxic documents whose log-odds reach
     least_odds make the lexicon; words near a term that clean documents of the
     sample use as well are not taken for misspellings of it. Rows with null ids or labels are not learnt from;
     without labels the lexicon is empty and every score is the same.
@@ -171,13 +173,15 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_suppo
         return Model({}, fit_logistic(np.zeros((0, FEATURES)), np.zeros(0), PRIOR))
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
-    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").persist()
+    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    hashes = F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.xxhash64(w))
+    sample = sample.groupBy(F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"), "toxic").agg(F.min_by("text", "doc_id").alias("text")).persist()
     word = F.explode(F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.btrim(w, F.lit(EDGE)))))
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     counted = sample.select("toxic", word.alias("word")).where("length(word) >= 3").groupBy("word").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
-    top = counted.where(F.col("c1") >= min_support).withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy(F.desc("c1"), "word").limit(most_terms).collect()
+    top = counted.where(F.col("c1") >= max(min_support, least_share * n1)).withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy(F.desc("c1"), "word").limit(most_terms).collect()
     terms = {r.word: float(min(r.odds, 8.0)) for r in top}
 
     def misspelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
