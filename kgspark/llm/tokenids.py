@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pandas as pd
@@ -12,13 +14,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import materialize, words_of
-from kgspark.llm.rangecoder import BLOCK, decode_blocks, encode_blocks
+from kgspark.llm.rangecoder import BLOCK, LANES, decode_blocks, encode_blocks
 
-REMEMBER = 300_000  # words whose ids a task keeps at once; a memory bound, not a cut
+REMEMBER = 600_000  # words whose ids a Python worker keeps at once; a memory bound, not a cut
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~\\"  # ASCII that a word may end in without changing how the letters before it are cut
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer whose pieces never cross white space, each new word being encoded once."""
+    """Ids of whole texts from a tokenizer whose pieces never cross white space and that ignores case; each new word is encoded once.
+
+    A word of ASCII letters and closing punctuation is two pieces to such a
+    tokenizer, so that its ids are those of its letters, in lower case, and of
+    its punctuation.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -26,38 +34,101 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
+    @classmethod
+    @lru_cache(maxsize=2)
+    def of_worker(cls, path: str) -> WordEncoder:
+        """The encoder that the tasks of one Python worker share, one after another."""
+        return cls(path)
+
+    def _encode(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         plain = [w.decode("utf-8", "surrogatepass") for w in words]
         starts = np.cumsum([0, *(len(w) + 1 for w in plain)])[:-1]
         got = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
         ids = np.array(got.ids, dtype="<u4")
         at = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(ids))
-        cut = np.searchsorted(at, starts)
+        self._cut(words, ids, np.searchsorted(at, starts), into)
+
+    def _encode_letters(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Words of ASCII letters alone: the n-th piece is the n-th word."""
+        got = self.tokenizer.encode(b" ".join(words).decode("ascii"), add_special_tokens=False)
+        self._cut(words, np.array(got.ids, dtype="<u4"), np.searchsorted(np.array(got.word_ids), np.arange(len(words))), into)
+
+    @staticmethod
+    def _cut(words: list[bytes], ids: np.ndarray, cut: np.ndarray, into: dict[bytes, bytes]) -> None:
         raw, ends = ids.tobytes(), [*cut[1:].tolist(), len(ids)]
         for w, a, b in zip(words, cut.tolist(), ends):
-            self.known[w] = raw[4 * a : 4 * b]
+            into[w] = raw[4 * a : 4 * b]
+
+    def _learn(self, words: list[bytes]) -> None:
+        split, other, known = [], [], self.known
+        for w in words:
+            letters = w.rstrip(PUNCTUATION)
+            if letters.isalpha() and letters.isascii():
+                split.append((w, letters.lower(), w[len(letters) :]))
+            else:
+                other.append(w)
+        parts = dict.fromkeys(letters for _, letters, _ in split if letters not in known)
+        new = list(parts)
+        if new:
+            self._encode_letters(new, known)
+        ends = [e for e in dict.fromkeys(e for _, _, e in split if e) if e not in known]
+        if other or ends:
+            self._encode(other + ends, known)
+        for w, letters, end in split:
+            known[w] = known[letters] + known[end] if end else known[letters]
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Know the ids of all of words. Once REMEMBER is reached, those returned are for forget(), and words that are new too often displace the old ones."""
+        known = self.known
+        new = list(dict.fromkeys(filterfalse(known.__contains__, words)))
+        full = len(known) >= REMEMBER
+        if full and len(new) > len(words) // 4:
+            known.clear()
+            new, full = list(dict.fromkeys(words)), False
+        before = len(known)
+        for i in range(0, len(new), 4096):
+            self._learn(new[i : i + 4096])
+        return list(islice(reversed(known), len(known) - before)) if full else []
+
+    def forget(self, words: list[bytes]) -> None:
+        for w in words:
+            del self.known[w]
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = words_of(text)
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > REMEMBER:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for i in range(0, len(new), 4096):
-                self._learn(new[i : i + 4096])
-        return b"".join([known[w] for w in words])
+        return self.many([text])[0]
+
+    def many(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of each text; new words of all of them are learnt together."""
+        split = [words_of(t) for t in texts]
+        passing = self.learn(list(chain.from_iterable(split)))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        self.forget(passing)
+        return out
+
+
+def runs(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about `most` characters, so that few words are split at once."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids binary): ids as little-endian unsigned 32-bit numbers with end_id last. Null texts are empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = WordEncoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = WordEncoder.of_worker(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            ids = [encoder.ids(t) + end for t in b["text"]]
+            ids: list[bytes] = []
+            for texts in runs(b["text"]):
+                ids += [x + end for x in encoder.many(texts)]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids binary")
@@ -90,16 +161,16 @@ def _write_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         full = len(whole) // (4 * BLOCK) * 4 * BLOCK
         held += [whole[i : i + 4 * BLOCK] for i in range(0, full, 4 * BLOCK)]
         rest = whole[full:]
-        while len(held) >= 1024:
-            yield blocks(held[:1024])
-            held = held[1024:]
+        while len(held) >= LANES:
+            yield blocks(held[:LANES])
+            held = held[LANES:]
     if rest:
         held.append(rest)
     if held:
         yield blocks(held)
 
 
-def write_files(encoded: DataFrame, file_ids: int = 4 << 20) -> DataFrame:
+def write_files(encoded: DataFrame, file_ids: int = 8 << 20) -> DataFrame:
     """Write documents' ids in ascending doc_id order (nulls first) and return the files as read back.
 
     Rows (file_no, kind, part, payload): kind 0 is a piece of the index (doc_id,
@@ -141,6 +212,6 @@ def read_files(files: DataFrame) -> DataFrame:
     return read.join(before, "file_no").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, file_ids: int = 4 << 20) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, file_ids: int = 8 << 20) -> DataFrame:
     """Encode, write, read back; one row per input row. Repeated rows are stored each; an empty table gives no rows."""
     return read_files(write_files(encode_documents(docs, tokenizer_path, end_id), file_ids))
