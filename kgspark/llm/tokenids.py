@@ -28,36 +28,38 @@ class WordEncoder:
     its punctuation.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, narrow: bool = False) -> None:
+        """narrow: ids take 16 bits each where the vocabulary allows it, else 32."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "<u2" if narrow and self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
     @lru_cache(maxsize=2)
-    def of_worker(cls, path: str) -> WordEncoder:
+    def of_worker(cls, path: str, narrow: bool = False) -> WordEncoder:
         """The encoder that the tasks of one Python worker share, one after another."""
-        return cls(path)
+        return cls(path, narrow)
 
     def _encode(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         plain = [w.decode("utf-8", "surrogatepass") for w in words]
         starts = np.cumsum([0, *(len(w) + 1 for w in plain)])[:-1]
         got = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u4")
+        ids = np.array(got.ids, dtype=self.kind)
         at = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(ids))
         self._cut(words, ids, np.searchsorted(at, starts), into)
 
     def _encode_letters(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         """Words of ASCII letters alone: the n-th piece is the n-th word."""
         got = self.tokenizer.encode(b" ".join(words).decode("ascii"), add_special_tokens=False)
-        self._cut(words, np.array(got.ids, dtype="<u4"), np.searchsorted(np.array(got.word_ids), np.arange(len(words))), into)
+        self._cut(words, np.array(got.ids, dtype=self.kind), np.searchsorted(np.array(got.word_ids), np.arange(len(words))), into)
 
     @staticmethod
     def _cut(words: list[bytes], ids: np.ndarray, cut: np.ndarray, into: dict[bytes, bytes]) -> None:
-        raw, ends = ids.tobytes(), [*cut[1:].tolist(), len(ids)]
+        raw, ends, width = ids.tobytes(), [*cut[1:].tolist(), len(ids)], ids.itemsize
         for w, a, b in zip(words, cut.tolist(), ends):
-            into[w] = raw[4 * a : 4 * b]
+            into[w] = raw[width * a : width * b]
 
     def _learn(self, words: list[bytes]) -> None:
         split, other, known = [], [], self.known
@@ -95,7 +97,7 @@ class WordEncoder:
             del self.known[w]
 
     def ids(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Little-endian unsigned ids of self.kind."""
         return self.many([text])[0]
 
     def many(self, texts: Iterable[str | None]) -> list[bytes]:
@@ -121,15 +123,17 @@ def runs(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[str
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids binary): ids as little-endian unsigned 32-bit numbers with end_id last. Null texts are empty."""
+    """(doc_id, n_tokens, ids binary): ids as little-endian unsigned numbers of 16 bits, or of 32 for a vocabulary beyond those, with end_id last. Null texts are empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = WordEncoder.of_worker(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encoder = WordEncoder.of_worker(tokenizer_path, narrow=end_id < 1 << 16)
+        end = np.array([end_id], dtype=encoder.kind).tobytes()
+        width = len(end)
         for b in batches:
             ids: list[bytes] = []
             for texts in runs(b["text"]):
                 ids += [x + end for x in encoder.many(texts)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) // width for x in ids], "ids": ids})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids binary")
 
@@ -157,7 +161,8 @@ def _write_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat[:, 1], flat[:, 2] = known, b["n_tokens"]
         yield pd.DataFrame({"file_no": [file_no], "kind": [0], "part": [index_at], "payload": [zlib.compress(flat.T.tobytes(), 6)]})
         index_at += 1
-        whole = rest + b"".join(b["ids"])
+        kind = f"<u{len(b['ids'].iloc[0]) // int(b['n_tokens'].iloc[0])}"
+        whole = rest + np.frombuffer(b"".join(b["ids"]), kind).astype("<u4").tobytes()
         full = len(whole) // (4 * BLOCK) * 4 * BLOCK
         held += [whole[i : i + 4 * BLOCK] for i in range(0, full, 4 * BLOCK)]
         rest = whole[full:]
