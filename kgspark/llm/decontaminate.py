@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +142,16 @@ class Bench:
         return out
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """The items in broadcast blocks of about block_bytes; one block at least."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
+    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    blocks = size // block_bytes + 1
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b).orderBy("item_id", "item_text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.item_text) for r in rows])
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -154,15 +165,9 @@ def contaminated(
     wordless texts and items match nothing; repeated rows give repeated pairs;
     null ids stay null.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
-    blocks = size // block_bytes + 1
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b).orderBy("item_id", "item_text").collect()
-        shared = spark.sparkContext.broadcast([(r.item_id, r.item_text) for r in rows])
+    for shared in _blocks(benchmark, block_bytes):
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             bench = Bench(shared.value, least, threshold)
@@ -174,3 +179,18 @@ def contaminated(
         part = narrow.mapInPandas(run, "doc_id long, item_id long, item_words long, matched_words long, tiles long")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("coverage", F.col("matched_words") / F.col("item_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose own text contaminated() pairs with no item, whatever their ids; all columns, no shuffle."""
+    for shared in _blocks(benchmark, block_bytes):
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            bench = Bench(shared.value, least, threshold)
+            for b in batches:
+                yield b.filter(pa.array([not bench.match(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -24,22 +24,25 @@ from kgspark.llm.components import connected_components
 HALF = 0xFFFFFFFF
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, block: int = 1 << 15) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a text; 0 if it has no words."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """Hash of each run of `shingle` words, in order; of all words where there are fewer."""
     words = lower_words(text)
-    if not words:
-        return 0
     hash64 = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [hash64(b" ".join(words), seed)]
-    else:
-        whole, ends, at = b" ".join(words), [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        starts = [0, *(e + 1 for e in ends)]
-        hashes = [hash64(whole[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
-    h = np.array(hashes, dtype="<u8")
+        return np.array([hash64(b" ".join(words), seed)] if words else [], dtype="<u8")
+    whole, ends, at = b" ".join(words), [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *(e + 1 for e in ends)]
+    return np.array([hash64(whole[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, block: int = 1 << 15) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a text; 0 if it has no words."""
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), block):
         ones += np.unpackbits(h[i : i + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -170,7 +173,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     an empty table gives no rows. Only doc ids, never texts, are shuffled.
     """
     prints = materialize(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    parts = connected_components(links(distinct, radius, tile_rows))
-    by_fp = distinct.join(parts, distinct.rep == parts.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # a fingerprint is its own vertex, so that rows with a null id link others too
+    held = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    parts = connected_components(links(held.select("fp", F.col("fp").alias("rep")), radius, tile_rows))
+    by_fp = held.join(parts, held.fp == parts.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    ids = by_fp.groupBy("part").agg(F.min("least").alias("component_id"))
+    by_fp = by_fp.join(ids, "part").select("fp", "component_id")
     return prints.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -324,3 +324,22 @@ def test_pipeline_equals_its_operators(spark):
     assert len(rows) == sum(again.values()) and {r.doc_id for r in rows} == set(again)
     clean = [r for r in docs.collect() if not any(w in r.text for w in ("idiot", "clown", "scum", "moron", "loser", "trash", "stupid", "pathetic", "worthless", "disgusting"))]
     assert hashlib.md5(b"").hexdigest() and len({r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf).collect()} & {r.doc_id for r in clean}) == len(clean)
+
+
+def test_pipeline_rows_are_judged_by_their_own_text(spark, tmp_path):
+    item, copy = " ".join(f"w{i}" for i in range(40)), " ".join(f"c{i}" for i in range(60))
+    other, third = " ".join(f"o{i}" for i in range(60)), " ".join(f"t{i}" for i in range(60))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, frame(rows), str(tmp_path)).collect()), key=str)
+    assert left(corpus_pipeline.drop_contaminated, [(None, item), (None, other), (5, item), (5, third), (6, None)]) == [(5, third), (6, None), (None, other)]
+    rows = [(None, copy), (None, copy), (3, other), (3, third), (3, third), (4, third), (None, third)]
+    assert left(corpus_pipeline.drop_near_copies, rows) == [(3, other), (3, third), (None, copy)]
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    # bits 0-2 and 3-5 apart: 1 and 2 are near only by way of the row without an id
+    prints = {"a": 0b000000, "b": 0b000111, "c": 0b111111}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select("doc_id", F.create_map(*[F.lit(x) for kv in prints.items() for x in kv])[F.col("text")].cast("long").alias("fp")))
+    got = simhash.near_duplicates(spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {1} and len(got) == 3
