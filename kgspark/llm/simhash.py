@@ -10,6 +10,7 @@ themselves: a group of thousands of near copies costs thousands of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +44,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, block: int =
     h = shingle_hashes(text, shingle, seed)
     if not len(h):
         return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), block):
-        ones += np.unpackbits(h[i : i + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return set_fingerprint(h, block)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,3 +178,155 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     ids = by_fp.groupBy("part").agg(F.min("least").alias("component_id"))
     by_fp = by_fp.join(ids, "part").select("fp", "component_id")
     return prints.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets given as sorted distinct values; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / total if (total := len(a) + len(b) - both) else 1.0
+
+
+def _sketches(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, fp, n, digest): fingerprint over, size and digest of the set of shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in b["text"]]
+            yield pd.DataFrame(
+                {
+                    "doc_id": b["doc_id"],
+                    "fp": np.array([set_fingerprint(x) for x in sets], dtype=np.uint64).view(np.int64),
+                    "n": [len(x) for x in sets],
+                    "digest": np.array([xxhash.xxh64_intdigest(x.tobytes(), seed + 1) for x in sets], dtype=np.uint64).view(np.int64),
+                }
+            )
+
+    return docs.mapInPandas(run, "doc_id long, fp long, n long, digest long")
+
+
+def set_fingerprint(h: np.ndarray, block: int = 1 << 15) -> int:
+    """SimHash of the given hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), block):
+        ones += np.unpackbits(h[i : i + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def _near_pairs(radius: int, least: float, chains: bool, at_once: int = 1 << 16):
+    """Pairs of two tiles, of sizes that allow the similarity and of different labels: all of them, or chains through each group of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                x, y = (np.frombuffer(v, "<i8").reshape(-1, 4) for v in (r.xs, r.xs2))
+                us, vs = [], []
+                for i in range(0, len(x), 256):
+                    part = x[i : i + 256]
+                    near = np.bitwise_count(part[:, 0].view(np.uint64)[:, None] ^ y[:, 0].view(np.uint64)) <= radius
+                    near &= np.minimum(part[:, None, 1], y[None, :, 1]) >= least * np.maximum(part[:, None, 1], y[None, :, 1])
+                    near &= part[:, None, 3] != y[None, :, 3]
+                    a, b = np.nonzero(near)
+                    u, v = part[a, 2], y[b, 2]
+                    if r.tile == r.tile2:
+                        u, v = u[u < v], v[u < v]
+                    us.append(u)
+                    vs.append(v)
+                    if not chains and sum(map(len, us)) > at_once:
+                        yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+                        us, vs = [], []
+                    elif chains and sum(map(len, us)) > 16 * at_once:
+                        u, v = _chains(np.concatenate(us), np.concatenate(vs))
+                        us, vs = [u], [v]
+                u, v = np.concatenate([*us, np.zeros(0, np.int64)]), np.concatenate([*vs, np.zeros(0, np.int64)])
+                if chains:
+                    u, v = _chains(u, v)
+                if len(u):
+                    yield pd.DataFrame({"u": u, "v": v})
+
+    return run
+
+
+def _chains(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that follow each other in the components of the given pairs; no id is in more than two."""
+    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    if not len(ids):
+        return u, v
+    a, b = flat[: len(u)], flat[len(u) :]
+    label = np.arange(len(ids))
+    while (differ := label[a] != label[b]).any():
+        la, lb = label[a][differ], label[b][differ]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    order = np.lexsort((ids, label))
+    follows = label[order][1:] == label[order][:-1]
+    return ids[order][:-1][follows], ids[order][1:][follows]
+
+
+def _candidates(distinct: DataFrame, radius: int, least: float, chains: bool, tile_rows: int) -> DataFrame:
+    """distinct (fp, n, rep, label) → pairs (u, v) of reps within the radius, by tiles of like sizes."""
+    spark = distinct.sparkSession
+    # sets of similarity `least` have sizes in adjacent cells; 1e-9 keeps rounding on the near side
+    cells = distinct.where("n > 0").withColumn("cell", F.floor(F.log("n") / F.lit(-math.log(least) + 1e-9)))
+    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile_rows)).alias("chunks"))
+    tiles = (
+        cells.join(F.broadcast(parts), "cell")
+        .withColumn("tile", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("rep"), F.col("chunks")))
+        .groupBy("tile", "cell")
+        .agg(F.collect_list(F.array("fp", "n", "rep", "label")).alias("xs"))
+        .mapInPandas(_pack_sets, "tile long, cell long, xs binary")
+    )
+    tiles = materialize(tiles, "tiles")
+    names = tiles.select("tile", F.explode(F.array("cell", F.col("cell") + 1, F.col("cell") - 1)).alias("cell"))
+    pairs = names.join(tiles.select(F.col("tile").alias("tile2"), "cell"), "cell").where("tile <= tile2").select("tile", "tile2")
+    wide = pairs.join(tiles.select("tile", "xs"), "tile").join(tiles.select(F.col("tile").alias("tile2"), F.col("xs").alias("xs2")), "tile2")
+    wide = wide.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile", "tile2")
+    return wide.mapInPandas(_near_pairs(radius, least, chains), "u long, v long")
+
+
+def _pack_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"tile": b["tile"], "cell": b["cell"], "xs": [np.array([list(x) for x in xs], dtype="<i8").tobytes() for xs in b["xs"]]})
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, least: float) -> DataFrame:
+    """The pairs whose sets of shingles, made anew from the texts, have the similarity."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            memo: dict[str, np.ndarray] = {}
+
+            def of(t: str) -> np.ndarray:
+                if t not in memo:
+                    memo[t] = np.unique(shingle_hashes(t, shingle, seed))
+                return memo[t]
+
+            yield b.loc[[jaccard(of(t), of(t2)) >= least for t, t2 in zip(b["text"], b["text2"])], ["u", "v"]]
+
+    wide = pairs.join(texts.select(F.col("doc_id").alias("u"), "text"), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text2")), "v")
+    return wide.select("u", "v", "text", "text2").mapInPandas(run, "u long, v long")
+
+
+def similar_groups(
+    docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 18, seed: int = 42, tile_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, component_id) for rows with distinct, non-null ids: closure of pairs whose sets of word shingles have Jaccard `least`.
+
+    Equal sets are one vertex. SimHash finds candidates within `radius` bits,
+    among sets of sizes that allow the similarity; each is verified by the
+    exact sets. First, chains through the groups of eight bits are verified, so
+    that a group of k copies costs k pairs; then all pairs within the radius
+    whose ends are not yet in one component. Wordless texts are equal.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    prints = materialize(_sketches(texts, shingle, seed), "sketches")
+    distinct = materialize(prints.groupBy("fp", "n", "digest").agg(F.min("doc_id").alias("rep")), "sets")
+    pairs = materialize(_candidates(distinct.withColumn("label", F.col("rep")), min(8, radius), least, True, tile_rows).distinct(), "pairs")
+    close = materialize(_verified(pairs, texts, shingle, seed, least), "close")
+    parts = materialize(connected_components(close), "parts")
+    labelled = distinct.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("label"))
+    pairs = materialize(_candidates(labelled, radius, least, False, tile_rows), "pairs")
+    close = close.unionByName(_verified(pairs, texts, shingle, seed, least))
+    parts = materialize(connected_components(close), "parts")
+    by_set = distinct.join(parts, distinct.rep == parts.id, "left").select("fp", "n", "digest", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(by_set, ["fp", "n", "digest"]).select("doc_id", "component_id")

@@ -343,3 +343,29 @@ def test_simhash_links_through_rows_without_id(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select("doc_id", F.create_map(*[F.lit(x) for kv in prints.items() for x in kv])[F.col("text")].cast("long").alias("fp")))
     got = simhash.near_duplicates(spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {1} and len(got) == 3
+
+
+def test_similar_groups_equal_brute_force(spark, none):
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in [12, 20, 30, 60, 120, 300, 900] * 5:
+        words = [f"v{x}" for x in rng.integers(0, 5000, n)]
+        for share in (0.0, 0.01, 0.02, 0.03, 0.06):
+            near = [f"new{len(rows)}x{i}" if rng.random() < share else w for i, w in enumerate(words)]
+            rows.append((len(rows), " ".join(near + ["end"] * int(rng.integers(0, 2)))))
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, "One  two"), (1004, "a b c d e f g h"), (1005, "a b c d e f g h i")]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    part = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            if part[i] != part[j]:
+                part[i] = part[j] = min(part[i], part[j])
+                changed = True
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, tile_rows=16).collect()}
+    assert got == part and sum(i != p for i, p in part.items()) > 40
+    assert simhash.similar_groups(none).count() == 0
+    assert corpus_pipeline.drop_near_copies(spark, df, "").count() == len(set(part.values()))
