@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import in_split
+from kgspark.llm import simhash
+from kgspark.llm.common import in_split, materialize
 
 #: Marks that open or close a quotation, words that report speech, words that address the reader.
 QUOTES = "\"“”„«»‹›"
@@ -20,32 +21,45 @@ EDGE = ".,;:!?\"'()[]{}|%&#<>-“”„«»‹›…"
 FORGET = 400_000  # words remembered by a task at once; a memory bound, not a cut
 
 
+def shorter(word: str, k: int) -> set[str]:
+    """The word with up to k letters left out."""
+    out = last = {word}
+    for _ in range(k):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Lexicon:
     """Trie of weighted terms, searched with Levenshtein automata."""
 
     def __init__(self, terms: dict[str, float], innocent: frozenset[str] = frozenset()) -> None:
         self.terms, self.innocent = terms, innocent
         self.root: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.parts: list[str] = []
-        heads, tails, middles = set(), set(), set()
+        # of k + 1 pieces of a term one survives k edits, moved by k places at most:
+        # length of a word -> (place, length of a piece) -> pieces
+        pieces: dict[int, dict[tuple[int, int], set[str]]] = {}
+        # words k edits apart or less are equal after at most k deletions in each
+        self.shortened: dict[int, set[str]] = {}
         for term in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-            k = self.allowed(len(term))
-            cut = [term[len(term) * i // (k + 1) : len(term) * (i + 1) // (k + 1)] for i in range(k + 1)]
-            heads.add(cut[0])  # of k + 1 pieces one survives k edits
-            tails.add(cut[-1])
-            middles.update(cut[1:-1])
-        self.heads, self.tails, self.middles = tuple(heads), tuple(tails), tuple(middles)
-        self.lengths = {n for t in terms for n in range(len(t) - self.allowed(len(t)), len(t) + self.allowed(len(t)) + 1)}
+            n, k = len(term), self.allowed(len(term))
+            for length in range(n - k, n + k + 1):
+                places = pieces.setdefault(length, {})
+                for i in range(k + 1):
+                    a, b = n * i // (k + 1), n * (i + 1) // (k + 1)
+                    for at in range(max(0, a - k), min(length - (b - a), a + k) + 1):
+                        places.setdefault((at, at + b - a), set()).add(term[a:b])
+            self.shortened.setdefault(k, set()).update(shorter(term, k) if k else ())
+        self.pieces = {length: [(a, b, x) for (a, b), x in places.items()] for length, places in pieces.items()}
         self.memo: dict[str, tuple[str, int] | None] = {}
 
     @staticmethod
     def allowed(length: int) -> int:
-        """Edits that a term of this length may have; its first letter stays."""
+        """Edits that a term of this length may have, at any of its letters."""
         return 0 if length < 5 else 1 if length < 9 else 2
 
     def find(self, word: str) -> tuple[str, int] | None:
@@ -57,17 +71,21 @@ class Lexicon:
         got = None
         if word in self.terms:
             got = (word, 0)
-        elif len(word) in self.lengths and word not in self.innocent and word[0] in self.root and (word.startswith(self.heads) or word.endswith(self.tails) or any(m in word for m in self.middles)):
+        elif word not in self.innocent and any(word[a:b] in x for a, b, x in self.pieces.get(len(word), ())) and self._close(word):
             found: list[tuple[int, float, str]] = []
-            c = word[0]
-            self._walk(self.root[c], tuple(abs(i - 1) for i in range(len(word) + 1)), c, word, found)
+            self._walk(self.root, tuple(range(len(word) + 1)), word, found)
             if found:
                 edits, _, term = min(found)
                 got = (term, edits)
         self.memo[word] = got
         return got
 
-    def _walk(self, node: dict, row: tuple[int, ...], path: str, word: str, found: list) -> None:
+    def _close(self, word: str) -> bool:
+        """False only if no term is within its edits; decides how rarely the trie is walked, not what is found."""
+        one, two = self.shortened.get(1), self.shortened.get(2)
+        return bool(one and not one.isdisjoint(shorter(word, 1)) or two and len(word) >= 7 and not two.isdisjoint(shorter(word, 2)))
+
+    def _walk(self, node: dict, row: tuple[int, ...], word: str, found: list) -> None:
         """One state of the automaton is a row of edit distances; the trie edge is its input."""
         for c, child in node.items():
             if c == "":
@@ -78,7 +96,7 @@ class Lexicon:
             for i, w in enumerate(word):
                 nxt.append(min(nxt[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
             if min(nxt) <= 2:
-                self._walk(child, tuple(nxt), path + c, word, found)
+                self._walk(child, tuple(nxt), word, found)
 
 
 FEATURES = 5
@@ -130,10 +148,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float =
     w = np.append(prior, 0.0)
     hold = np.diag(np.append(np.full(len(prior), ridge), 1e-3))
     to = np.append(prior, 0.0)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (w - to) @ hold @ (w - to) / 2)
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + hold @ (w - to)
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + hold, grad)
+        # whole steps can run away from a minimum of this convex loss; halved ones cannot
+        now = loss(w)
+        while np.abs(step).max() >= 1e-8 and loss(w - step) > now:
+            step = step / 2
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -152,16 +179,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_support: int = 5, least_share: float = 0.01, least_odds: float = 3.0, most_terms: int = 500, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_support: int = 5, least_odds: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Lexicon and weights from a bounded sample of the labelled rows.
 
     The sample is the most_rows labelled ids (half of them of each label, or
     all there are) that come first in a hash order; that many ids are broadcast
-    to find their texts. Of near copies, which share their smallest and largest
-    word hashes, one is counted, else their words would pass for telling ones. A
-    word's document counts by label give its log-odds; words in at least
-    min_support and least_share of the toxic documents whose log-odds reach
-    least_odds make the lexicon; words near a term that clean documents of the
+    to find their texts. Of near copies (simhash.similar_groups) one of each
+    label is counted, else their words would pass for telling ones. A
+    word's document counts by label give its log-odds; all words in at least
+    min_support toxic documents whose log-odds reach least_odds make the lexicon;
+    words near a term that clean documents of the
     sample use as well are not taken for misspellings of it. Rows with null ids or labels are not learnt from;
     without labels the lexicon is empty and every score is the same.
     """
@@ -174,14 +201,16 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_suppo
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    hashes = F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.xxhash64(w))
-    sample = sample.groupBy(F.array_min(hashes).alias("low"), F.array_max(hashes).alias("high"), "toxic").agg(F.min_by("text", "doc_id").alias("text")).persist()
+    sample = materialize(sample.withColumn("row", F.monotonically_increasing_id()), "sample")
+    groups = simhash.similar_groups(sample.select("row", "text"), id_col="row").withColumnRenamed("doc_id", "row")
+    first = F.struct("doc_id", F.xxhash64("text"))
+    sample = sample.join(groups, "row").groupBy("component_id", "toxic").agg(F.min_by("text", first).alias("text")).persist()
     word = F.explode(F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.btrim(w, F.lit(EDGE)))))
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     counted = sample.select("toxic", word.alias("word")).where("length(word) >= 3").groupBy("word").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
-    top = counted.where(F.col("c1") >= max(min_support, least_share * n1)).withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy(F.desc("c1"), "word").limit(most_terms).collect()
+    top = counted.where(F.col("c1") >= min_support).withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy("word").collect()
     terms = {r.word: float(min(r.odds, 8.0)) for r in top}
 
     def misspelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

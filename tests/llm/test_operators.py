@@ -369,3 +369,33 @@ def test_similar_groups_equal_brute_force(spark, none):
     assert got == part and sum(i != p for i, p in part.items()) > 40
     assert simhash.similar_groups(none).count() == 0
     assert corpus_pipeline.drop_near_copies(spark, df, "").count() == len(set(part.values()))
+
+
+def test_toxicity_learns_rare_terms_and_counts_distinct_texts(spark):
+    rng = np.random.default_rng(10)
+    vocabulary, ends = [f"word{i}" for i in range(300)], spark.range(1).select(*[F.xxhash64(F.lit(f"word{i}")).alias(f"word{i}") for i in range(300)]).first().asDict()
+    low, high = min(ends, key=ends.get), max(ends, key=ends.get)  # every text has both: they are no sign of copies
+    rows, labels = [], []
+    for i in range(2400):
+        words = [*rng.choice(vocabulary, 30).tolist(), low, high]
+        if toxic := int(i % 2 == 0):
+            words.insert(5, "vermin" if i < 24 else f"slur{'abcdefghijklmnopqrstuvwxyz'[i // 2 % 26] * 3}")
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    rows += [(5000 + i, " ".join([*rows[1][1].split(), "copied", f"x{i}"])) for i in range(60)]
+    labels += [(5000 + i, 1) for i in range(60)]  # near copies of one text: "copied" is in one text, not in 60
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(model.terms) == {"vermin"} | {f"slur{c * 3}" for c in "abcdefghijklmnopqrstuvwxyz"}
+    lexicon = toxicity.Lexicon({"worthless": 1.0, "moron": 2.0})
+    assert lexicon.find("vorthless") == ("worthless", 1) and lexicon.find("orthless") == ("worthless", 1) and lexicon.find("xmoron") == ("moron", 1) and lexicon.find("moral") is None
+
+
+def test_logistic_fit_does_not_run_away():
+    rng = np.random.default_rng(0)
+    x, y = np.zeros((3800, toxicity.FEATURES)), np.zeros(3800)
+    x[:450, 0], x[:450, 1], x[:450, 4] = 1, rng.uniform(1.5, 3.5, 450), rng.random(450) < 0.2
+    y[:450] = (x[:450, 4] == 0) | (rng.random(450) < 0.3)
+    y[450:475] = 1
+    w = toxicity.fit_logistic(x, y, toxicity.PRIOR)
+    said = np.hstack([x, np.ones((3800, 1))]) @ w >= 0
+    assert np.abs(w).max() < 30 and (said == y).mean() > 0.95
