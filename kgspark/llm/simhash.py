@@ -186,8 +186,32 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / total if (total := len(a) + len(b) - both) else 1.0
 
 
+BINS = 128  # of a sketch, a byte each
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Of distinct hashes, per bin of their top bits, a byte of the smallest; 0: the bin is empty."""
+    out = np.zeros(BINS, np.uint8)
+    if len(h):
+        ordered = np.sort(h)
+        places = ordered >> np.uint64(57)
+        first = np.flatnonzero(np.diff(places, prepend=places[0] + np.uint64(1)))
+        out[places[first].astype(np.int64)] = ordered[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def likeness(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    """Jaccard similarity as the sketches a[x] and b[y] have it."""
+    out = np.empty(len(x))
+    for i in range(0, len(x), at_once):
+        p, q = a[x[i : i + at_once]], b[y[i : i + at_once]]
+        either = np.count_nonzero(p | q, axis=1)
+        out[i : i + at_once] = (np.count_nonzero(p == q, axis=1) - (BINS - either)) / np.maximum(either, 1)
+    return out
+
+
 def _sketches(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, fp, n, digest): fingerprint over, size and digest of the set of shingles."""
+    """(doc_id, fp, n, digest, mins): fingerprint over, size, digest and sketch of the set of shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -198,10 +222,11 @@ def _sketches(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
                     "fp": np.array([set_fingerprint(x) for x in sets], dtype=np.uint64).view(np.int64),
                     "n": [len(x) for x in sets],
                     "digest": np.array([xxhash.xxh64_intdigest(x.tobytes(), seed + 1) for x in sets], dtype=np.uint64).view(np.int64),
+                    "mins": [sketch(x) for x in sets],
                 }
             )
 
-    return docs.mapInPandas(run, "doc_id long, fp long, n long, digest long")
+    return docs.mapInPandas(run, "doc_id long, fp long, n long, digest long, mins binary")
 
 
 def set_fingerprint(h: np.ndarray, block: int = 1 << 15) -> int:
@@ -212,59 +237,57 @@ def set_fingerprint(h: np.ndarray, block: int = 1 << 15) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def _near_pairs(radius: int, least: float, chains: bool, at_once: int = 1 << 16):
-    """Pairs of two tiles, of sizes that allow the similarity and of different labels: all of them, or chains through each group of them."""
+def _near_pairs(radius: int, least: float, slack: float, forest: bool, at_once: int = 1 << 16):
+    """Pairs of two tiles, of different labels, within the radius, of sizes that allow the similarity.
+
+    All those whose sketches come within slack of it; or, as a forest, a few
+    that join what the sketches take for similar, the likest of each block first.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
+                same = r.tile == r.tile2
                 x, y = (np.frombuffer(v, "<i8").reshape(-1, 4) for v in (r.xs, r.xs2))
-                us, vs = [], []
-                for i in range(0, len(x), 256):
-                    part = x[i : i + 256]
-                    near = np.bitwise_count(part[:, 0].view(np.uint64)[:, None] ^ y[:, 0].view(np.uint64)) <= radius
-                    near &= np.minimum(part[:, None, 1], y[None, :, 1]) >= least * np.maximum(part[:, None, 1], y[None, :, 1])
-                    near &= part[:, None, 3] != y[None, :, 3]
+                m, m2 = (np.frombuffer(v, np.uint8).reshape(-1, BINS) for v in (r.ms, r.ms2))
+                labels, flat = np.unique(np.concatenate([x[:, 3], y[:, 3]]), return_inverse=True)
+                part = np.arange(len(labels))  # of labels joined so far
+                lx, ly = flat[: len(x)], flat[len(x) :]
+                us, vs, held = [], [], 0
+                for i in range(0, len(x), 128):
+                    some = x[i : i + 128]
+                    near = np.bitwise_count(some[:, 0].view(np.uint64)[:, None] ^ y[:, 0].view(np.uint64)) <= radius
+                    near &= np.minimum(some[:, None, 1], y[None, :, 1]) >= least * np.maximum(some[:, None, 1], y[None, :, 1])
+                    near &= part[lx[i : i + 128]][:, None] != part[ly][None, :]
                     a, b = np.nonzero(near)
-                    u, v = part[a, 2], y[b, 2]
-                    if r.tile == r.tile2:
-                        u, v = u[u < v], v[u < v]
-                    us.append(u)
-                    vs.append(v)
-                    if not chains and sum(map(len, us)) > at_once:
+                    a = a + i
+                    if same:
+                        a, b = a[a < b], b[a < b]
+                    like = likeness(m, m2, a, b)
+                    if forest:
+                        kept = np.flatnonzero(like >= least)
+                        for k in kept[np.argsort(-like[kept], kind="stable")]:
+                            p, q = part[lx[a[k]]], part[ly[b[k]]]
+                            if p != q:
+                                part[part == max(p, q)] = min(p, q)
+                                us.append(x[a[k] : a[k] + 1, 2])
+                                vs.append(y[b[k] : b[k] + 1, 2])
+                        continue
+                    kept = like >= least - slack
+                    us.append(x[a[kept], 2])
+                    vs.append(y[b[kept], 2])
+                    held += len(us[-1])
+                    if held > at_once:
                         yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-                        us, vs = [], []
-                    elif chains and sum(map(len, us)) > 16 * at_once:
-                        u, v = _chains(np.concatenate(us), np.concatenate(vs))
-                        us, vs = [u], [v]
-                u, v = np.concatenate([*us, np.zeros(0, np.int64)]), np.concatenate([*vs, np.zeros(0, np.int64)])
-                if chains:
-                    u, v = _chains(u, v)
-                if len(u):
-                    yield pd.DataFrame({"u": u, "v": v})
+                        us, vs, held = [], [], 0
+                if us:
+                    yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
     return run
 
 
-def _chains(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that follow each other in the components of the given pairs; no id is in more than two."""
-    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    if not len(ids):
-        return u, v
-    a, b = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(ids))
-    while (differ := label[a] != label[b]).any():
-        la, lb = label[a][differ], label[b][differ]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while not np.array_equal(up := label[label], label):
-            label = up
-    order = np.lexsort((ids, label))
-    follows = label[order][1:] == label[order][:-1]
-    return ids[order][:-1][follows], ids[order][1:][follows]
-
-
-def _candidates(distinct: DataFrame, radius: int, least: float, chains: bool, tile_rows: int) -> DataFrame:
-    """distinct (fp, n, rep, label) → pairs (u, v) of reps within the radius, by tiles of like sizes."""
+def _candidates(distinct: DataFrame, radius: int, least: float, slack: float, forest: bool, tile_rows: int) -> DataFrame:
+    """distinct (fp, n, rep, label, mins) → pairs (u, v) of reps within the radius, by tiles of like sizes."""
     spark = distinct.sparkSession
     # sets of similarity `least` have sizes in adjacent cells; 1e-9 keeps rounding on the near side
     cells = distinct.where("n > 0").withColumn("cell", F.floor(F.log("n") / F.lit(-math.log(least) + 1e-9)))
@@ -273,20 +296,20 @@ def _candidates(distinct: DataFrame, radius: int, least: float, chains: bool, ti
         cells.join(F.broadcast(parts), "cell")
         .withColumn("tile", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("rep"), F.col("chunks")))
         .groupBy("tile", "cell")
-        .agg(F.collect_list(F.array("fp", "n", "rep", "label")).alias("xs"))
-        .mapInPandas(_pack_sets, "tile long, cell long, xs binary")
+        .agg(F.collect_list(F.struct(F.array("fp", "n", "rep", "label").alias("x"), "mins")).alias("xs"))
+        .mapInPandas(_pack_sets, "tile long, cell long, xs binary, ms binary")
     )
     tiles = materialize(tiles, "tiles")
     names = tiles.select("tile", F.explode(F.array("cell", F.col("cell") + 1, F.col("cell") - 1)).alias("cell"))
     pairs = names.join(tiles.select(F.col("tile").alias("tile2"), "cell"), "cell").where("tile <= tile2").select("tile", "tile2")
-    wide = pairs.join(tiles.select("tile", "xs"), "tile").join(tiles.select(F.col("tile").alias("tile2"), F.col("xs").alias("xs2")), "tile2")
+    wide = pairs.join(tiles.select("tile", "xs", "ms"), "tile").join(tiles.select(F.col("tile").alias("tile2"), F.col("xs").alias("xs2"), F.col("ms").alias("ms2")), "tile2")
     wide = wide.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile", "tile2")
-    return wide.mapInPandas(_near_pairs(radius, least, chains), "u long, v long")
+    return wide.mapInPandas(_near_pairs(radius, least, slack, forest), "u long, v long")
 
 
 def _pack_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"tile": b["tile"], "cell": b["cell"], "xs": [np.array([list(x) for x in xs], dtype="<i8").tobytes() for xs in b["xs"]]})
+        yield pd.DataFrame({"tile": b["tile"], "cell": b["cell"], "xs": [np.array([list(t["x"]) for t in xs], dtype="<i8").tobytes() for xs in b["xs"]], "ms": [b"".join(t["mins"] for t in xs) for xs in b["xs"]]})
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, least: float) -> DataFrame:
@@ -308,25 +331,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, least
 
 
 def similar_groups(
-    docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 18, seed: int = 42, tile_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 18, slack: float = 0.175, seed: int = 42, tile_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id) for rows with distinct, non-null ids: closure of pairs whose sets of word shingles have Jaccard `least`.
 
     Equal sets are one vertex. SimHash finds candidates within `radius` bits,
-    among sets of sizes that allow the similarity; each is verified by the
-    exact sets. First, chains through the groups of eight bits are verified, so
-    that a group of k copies costs k pairs; then all pairs within the radius
-    whose ends are not yet in one component. Wordless texts are equal.
+    among sets of sizes that allow the similarity and sketches that come within
+    `slack` of it (five standard errors); each is verified by the exact sets.
+    Forests of what the sketches take for similar are verified first, as often
+    as that joins more, so that a group of k copies costs about k pairs; then
+    all candidates whose ends are not yet in one component. Wordless texts are
+    equal.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialize(_sketches(texts, shingle, seed), "sketches")
-    distinct = materialize(prints.groupBy("fp", "n", "digest").agg(F.min("doc_id").alias("rep")), "sets")
-    pairs = materialize(_candidates(distinct.withColumn("label", F.col("rep")), min(8, radius), least, True, tile_rows).distinct(), "pairs")
-    close = materialize(_verified(pairs, texts, shingle, seed, least), "close")
-    parts = materialize(connected_components(close), "parts")
-    labelled = distinct.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("label"))
-    pairs = materialize(_candidates(labelled, radius, least, False, tile_rows), "pairs")
-    close = close.unionByName(_verified(pairs, texts, shingle, seed, least))
-    parts = materialize(connected_components(close), "parts")
+    distinct = materialize(prints.groupBy("fp", "n", "digest").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "sets")
+    none = docs.sparkSession.createDataFrame([], "u long, v long")
+    close, parts, forest = none, none.select(F.col("u").alias("id"), F.col("v").alias("component")), True
+    while True:
+        labelled = distinct.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("label"), "mins")
+        pairs = materialize(_candidates(labelled, radius, least, slack, forest, tile_rows).distinct(), "pairs")
+        more = materialize(_verified(pairs, texts, shingle, seed, least), "close")
+        if joined := bool(more.head(1)):
+            close = close.unionByName(more)
+            parts = materialize(connected_components(close), "parts")
+        if not forest:
+            break
+        forest = joined
     by_set = distinct.join(parts, distinct.rep == parts.id, "left").select("fp", "n", "digest", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(by_set, ["fp", "n", "digest"]).select("doc_id", "component_id")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.llm import simhash
@@ -179,15 +180,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_support: int = 5, least_odds: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_support: int = 5, least_odds: float = 3.0, beside: float = 0.65, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Lexicon and weights from a bounded sample of the labelled rows.
 
     The sample is the most_rows labelled ids (half of them of each label, or
     all there are) that come first in a hash order; that many ids are broadcast
     to find their texts. Of near copies (simhash.similar_groups) one of each
     label is counted, else their words would pass for telling ones. A
-    word's document counts by label give its log-odds; all words in at least
-    min_support toxic documents whose log-odds reach least_odds make the lexicon;
+    word's document counts by label give its log-odds. Of the words that reach
+    least_odds, those make the lexicon that in at least min_support toxic
+    documents have `beside` of the log-odds of the document's most telling word:
+    words that only keep company with slurs fall behind them, however rare the
+    slurs are;
     words near a term that clean documents of the
     sample use as well are not taken for misspellings of it. Rows with null ids or labels are not learnt from;
     without labels the lexicon is empty and every score is the same.
@@ -210,7 +214,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_suppo
     n1, n0 = n.get(1, 0), n.get(0, 0)
     counted = sample.select("toxic", word.alias("word")).where("length(word) >= 3").groupBy("word").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
-    top = counted.where(F.col("c1") >= min_support).withColumn("odds", odds).where(F.col("odds") >= least_odds).orderBy("word").collect()
+    telling = materialize(counted.where(F.col("c1") >= min_support).withColumn("odds", odds).where(F.col("odds") >= least_odds), "telling")
+    # as many rows at most as the bounded sample has words
+    votes = sample.where("toxic = 1").select("component_id", word.alias("word")).join(telling, "word").withColumn("best", F.max("odds").over(W.partitionBy("component_id")))
+    top = votes.where(F.col("odds") >= beside * F.col("best")).groupBy("word", "odds").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).orderBy("word").collect()
     terms = {r.word: float(min(r.odds, 8.0)) for r in top}
 
     def misspelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_suppo
             x = [features(t, lexicon)[0] for t in b["text"]]
             yield pd.DataFrame({"toxic": b["toxic"], "x": x})
 
-    rows = sample.mapInPandas(measure, "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    rows = sorted(sample.select("toxic", "text").mapInPandas(measure, "toxic int, x array<double>").collect(), key=lambda r: (r.toxic, r.x))
     sample.unpersist()
     x, y = np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r.toxic for r in rows], dtype=float)
     return Model(terms, fit_logistic(x, y, PRIOR), innocent)
