@@ -90,12 +90,14 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
 
 
 def _cutoffs(narrow: DataFrame, quotas: DataFrame, bucket_rows: int) -> DataFrame:
-    """(pattern, whole, cutoff): each document is taken `whole` times, and once more where its order is at most cutoff.
+    """(pattern, whole, cutoff, extra): each document is taken `whole` times, and once more where its order is at most cutoff or equals extra.
 
     narrow has (pattern, order, size). Of a pattern with quota q and size z the
     rest, q mod z, goes to documents in seeded order. The running sum runs over
-    order buckets of about bucket_rows rows first, and then inside the one
-    bucket where the rest ends, so no task sees a whole pattern.
+    groups of order buckets, buckets of about bucket_rows rows, and then inside
+    the one bucket where the rest ends, so no task sees a whole pattern. What
+    the documents up to the cutoff leave of the rest goes to the one beyond it
+    whose size is nearest to that, if it brings the sum nearer.
     """
     n = narrow.groupBy("pattern").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(bucket_rows))).alias("buckets"), F.sum("size").cast("long").alias("pattern_size"))
     plan = quotas.join(n, "pattern").withColumn("whole", F.when(F.col("pattern_size") > 0, F.floor(F.col("quota") / F.col("pattern_size"))).otherwise(0).cast("long"))
@@ -103,9 +105,11 @@ def _cutoffs(narrow: DataFrame, quotas: DataFrame, bucket_rows: int) -> DataFram
     # plan, sums' edges and cutoffs have one row per membership pattern
     bucket = F.floor(F.shiftrightunsigned("order", 1) / F.lit(float(1 << 63)) * F.col("buckets"))
     keyed = narrow.join(F.broadcast(plan.select("pattern", "buckets", "rest")), "pattern").withColumn("bucket", bucket)
-    sums = keyed.groupBy("pattern", "bucket").agg(F.sum("size").cast("long").alias("in_bucket"), F.first("rest").alias("rest"))
-    before = F.coalesce(F.sum("in_bucket").over(W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edge = sums.withColumn("before", before).where("before < rest").groupBy("pattern").agg(F.max("bucket").alias("bucket"), F.max_by("before", "bucket").alias("before"))
+    sums = keyed.groupBy("pattern", F.floor(F.col("bucket") / GROUP).alias("group"), "bucket").agg(F.sum("size").cast("long").alias("in_bucket"), F.first("rest").alias("rest"))
+    # where the rest ends among groups of buckets, then among the buckets of that group
+    groups = _end_of_rest(sums.groupBy("pattern", "group").agg(F.sum("in_bucket").alias("n"), F.first("rest").alias("rest")), "group", F.lit(0))
+    inner = sums.join(F.broadcast(groups.select("pattern", "group", F.col("before").alias("first"))), ["pattern", "group"]).withColumnRenamed("in_bucket", "n")
+    edge = _end_of_rest(inner, "bucket", F.col("first"))
     w = W.partitionBy("pattern", "bucket").orderBy("place")
     inside = (
         keyed.join(F.broadcast(edge), ["pattern", "bucket"])
@@ -113,11 +117,27 @@ def _cutoffs(narrow: DataFrame, quotas: DataFrame, bucket_rows: int) -> DataFram
         .agg(F.sum("size").alias("size"))
         .withColumn("upto", F.col("before") + F.sum("size").over(w))
     )
-    # the last document is taken if that brings the sum nearer to the rest; below the bucket all are
     last = inside.groupBy("pattern").agg(
-        F.coalesce(F.max(F.when(F.col("upto") - F.col("size") / 2 <= F.col("rest"), F.col("place"))), F.min("place") - 1).alias("cutoff")
+        F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))), F.min("place") - 1).alias("cutoff"),
+        F.max("rest").cast("long").alias("rest"),
+        F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.first("before")).cast("long").alias("upto"),
     )
-    return plan.select("pattern", "whole").join(last, "pattern", "left").select("pattern", "whole", F.coalesce("cutoff", F.lit(-1)).alias("cutoff"))
+    left = last.where("upto < rest").select("pattern", "cutoff", (F.col("rest") - F.col("upto")).alias("left"))
+    place = F.shiftrightunsigned("order", 1)
+    beyond = narrow.join(F.broadcast(left), "pattern").where(place > F.col("cutoff")).groupBy("pattern", place.alias("place"), "left").agg(F.sum("size").alias("size"))
+    off = F.abs(F.col("size") - F.col("left"))
+    extra = beyond.where(off < F.col("left")).groupBy("pattern").agg(F.min_by("place", F.struct(off, "place")).alias("extra"))
+    cut = plan.select("pattern", "whole").join(last.select("pattern", "cutoff"), "pattern", "left").join(extra, "pattern", "left")
+    return cut.select("pattern", "whole", F.coalesce("cutoff", F.lit(-1)).alias("cutoff"), F.coalesce("extra", F.lit(-1)).alias("extra"))
+
+
+GROUP = 1000  # buckets summed together first
+
+
+def _end_of_rest(sums: DataFrame, name: str, first: Column) -> DataFrame:
+    """(pattern, <name>, before): the last of the ordered parts with less than the rest before it."""
+    before = first + F.coalesce(F.sum("n").over(W.partitionBy("pattern").orderBy(name).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sums.withColumn("before", before).where("before < rest").groupBy("pattern").agg(F.max(name).alias(name), F.max_by("before", name).alias("before"))
 
 
 def mix(
@@ -170,8 +190,8 @@ def mix(
     sources = spark.createDataFrame([(s, size_of[i], target[i]) for s, i in place.items()], "source string, source_size long, target double")
     cut = materialize(_cutoffs(narrow.drop("members"), quotas, bucket_rows), "cutoffs")
     marked = docs.select(*docs.columns, key.alias("mix_pattern"), n_words(F.col(text_col)).alias("mix_size"), F.shiftrightunsigned(order, 1).alias("mix_place"))
-    joined = marked.join(F.broadcast(cut.withColumnRenamed("pattern", "mix_pattern").withColumnsRenamed({"whole": "mix_whole", "cutoff": "mix_cutoff"})), "mix_pattern", "left")
-    copies = F.coalesce(F.col("mix_whole"), F.lit(0)) + F.coalesce((F.col("mix_place") <= F.col("mix_cutoff")).cast("long"), F.lit(0))
+    joined = marked.join(F.broadcast(cut.withColumnRenamed("pattern", "mix_pattern").withColumnsRenamed({"whole": "mix_whole", "cutoff": "mix_cutoff", "extra": "mix_extra"})), "mix_pattern", "left")
+    copies = F.coalesce(F.col("mix_whole"), F.lit(0)) + F.coalesce(((F.col("mix_place") <= F.col("mix_cutoff")) | (F.col("mix_place") == F.col("mix_extra"))).cast("long"), F.lit(0))
     return joined.select(*docs.columns, "mix_pattern", "mix_size", copies.alias("mix_copies")), sources
 
 
