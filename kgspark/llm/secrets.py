@@ -34,6 +34,7 @@ RULES = (
 )
 
 MOST_STRINGS = 200
+SPANS = 512  # matches of a text whose places are summed in one go
 
 
 def _strings(op, arg) -> set[str] | None:
@@ -141,17 +142,23 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start, rank, stop>> of a rule's matches in code points, leftmost first, short ones dropped."""
     gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     counted = found if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    row = "struct<start:long,rank:int,stop:long,counted:long>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{row}>").alias("out"))
     steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("len"), F.transform(counted, F.length).alias("counted"))
-
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.coalesce(x["len"], F.lit(0))
-        span = F.struct(a.cast("long").alias("start"), F.lit(rank).alias("rank"), b.cast("long").alias("stop"), x["counted"].cast("long").alias("counted"))
-        return F.struct(b.cast("long").alias("at"), F.when(x["len"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
-
-    every = F.aggregate(steps, start, add, lambda acc: acc["out"])
+    wide = lambda x: (F.coalesce(x["gap"], F.lit(0)) + F.coalesce(x["len"], F.lit(0))).cast("long")
+    zero, ends = F.lit(0).cast("long"), F.array().cast("array<long>")
+    # running sums over blocks of matches, and inside each block: appending to one long array would take quadratic time
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / SPANS).cast("int")), lambda k: F.slice(steps, k * SPANS + 1, F.lit(SPANS)))
+    upto = lambda xs: F.aggregate(xs, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    starts = upto(F.transform(blocks, lambda xs: F.aggregate(xs, zero, lambda n, x: n + wide(x))))
+
+    def spans(xs: Column, at: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            return F.struct((acc["at"] + wide(x)).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + wide(x))).alias("ends"))
+
+        ended = F.aggregate(xs, F.struct(at.alias("at"), ends.alias("ends")), add, lambda acc: acc["ends"])
+        return F.zip_with(xs, ended, lambda x, e: F.struct((e - x["len"]).cast("long").alias("start"), F.lit(rank).alias("rank"), e.alias("stop"), x["counted"].alias("counted")))
+
+    every = F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), spans))
+    # the last gap has no match and no length
     return F.transform(F.filter(every, lambda s: s["counted"] >= rule.min_length), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop")))
 
 
