@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,57 +24,79 @@ def tokens(text: str | None) -> list[bytes]:
     return [t for w in lower_words(text) if (t := w.strip(EDGE))]
 
 
+def _inverse(x: int) -> int:
+    return pow(x, -1, 1 << 64)
+
+
+@lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2^64 for i below size."""
+    out = []
+    for base in (int(BASE), _inverse(int(BASE))):
+        p = np.full(size, base, dtype=np.uint64)
+        p[:1] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
 def rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin value of each window of n ids, modulo 2^64."""
+    """Karp-Rabin value of each window of n ids, modulo 2^64: a running sum of ids times powers of BASE, moved to the window's place."""
     if len(ids) < n:
         return np.zeros(0, dtype=np.uint64)
+    up, down = _powers(1 << max(10, len(ids).bit_length()))
     with np.errstate(over="ignore"):
-        h = np.zeros(len(ids) - n + 1, dtype=np.uint64)
-        for k in range(n):
-            h = h * BASE + ids[k : len(ids) - n + 1 + k].astype(np.uint64)
-    return h
+        sums = np.zeros(len(ids) + 1, dtype=np.uint64)
+        np.cumsum(ids.astype(np.uint64) * up[: len(ids)], out=sums[1:])
+        return (sums[n:] - sums[:-n]) * down[: len(ids) - n + 1]
 
 
-def _free_windows(ids: list[int], used: np.ndarray, n: int) -> dict[tuple[int, ...], list[int]]:
-    """Unmarked windows of n ids by value; ids of 0 or less never match."""
-    out: dict[tuple[int, ...], list[int]] = defaultdict(list)
-    blocked = 0
-    for i, x in enumerate(ids):
-        blocked = 0 if used[i] or x <= 0 else blocked + 1
-        if blocked >= n:
-            out[tuple(ids[i - n + 1 : i + 1])].append(i - n + 1)
-    return out
+def _free(ids: np.ndarray, used: np.ndarray, n: int) -> np.ndarray:
+    """Starts of windows of n ids that are unmarked; ids of 0 or less never match."""
+    stop = np.concatenate([[0], np.cumsum(used | (ids <= 0))])
+    return np.flatnonzero(stop[n:] == stop[: len(stop) - n]) if len(ids) >= n else np.zeros(0, np.int64)
 
 
 def tile(pattern: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (pattern start, text start, length), longest first, earliest on ties.
+    """Greedy string tiling: (pattern start, text start, length) in the order marked, longest first, earliest on ties.
 
-    Each round looks for the longest common run of unmarked ids at a search
-    length; a run far longer than that raises it, none lowers it; equal
-    windows are found by a hash of their ids and compared in full.
+    Each search length, from long to `least`, finds the runs that begin with
+    equal windows by running Karp-Rabin, verified id by id. They are marked
+    longest first; of a run that is partly marked by then, its free parts wait
+    their turn, so that each tile is the longest unmarked run there is.
     """
-    mark_p, mark_t = np.zeros(len(pattern), bool), np.zeros(len(text), bool)
+    a, b = np.asarray(pattern, dtype=np.int64), np.asarray(text, dtype=np.int64)
+    mark_a, mark_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     tiles: list[tuple[int, int, int]] = []
-    search = max(least, min(20, len(pattern)))
+    search = max(least, min(40, len(a)))
     while True:
-        windows = _free_windows(text, mark_t, search)
+        places: dict[int, list[int]] = defaultdict(list)
+        at = _free(b, mark_b, search)
+        for t, h in zip(at.tolist(), rolling(b, search)[at].tolist() if len(at) else []):
+            places[h].append(t)
+        at = _free(a, mark_a, search) if places else []
         found: list[tuple[int, int, int]] = []
-        longest = 0
-        for value, places in _free_windows(pattern, mark_p, search).items():
-            for p in places:
-                for t in windows.get(value, ()):
-                    k = search
-                    while p + k < len(pattern) and t + k < len(text) and pattern[p + k] == text[t + k] and pattern[p + k] > 0 and not mark_p[p + k] and not mark_t[t + k]:
-                        k += 1
-                    longest = max(longest, k)
-                    found.append((-k, p, t))
-        if longest > 2 * search:
-            search = longest
-            continue
-        for k, p, t in sorted(found):
-            if not mark_p[p : p - k].any() and not mark_t[t : t - k].any():
-                mark_p[p : p - k] = mark_t[t : t - k] = True
+        for p, h in zip(at.tolist() if len(at) else [], rolling(a, search)[at].tolist() if len(at) else []):
+            for t in places.get(h, ()):
+                free = p and t and pattern[p - 1] == text[t - 1] and pattern[p - 1] > 0 and not mark_a[p - 1] and not mark_b[t - 1]
+                if free or pattern[p : p + search] != text[t : t + search]:
+                    continue  # not where its run begins, or not equal
+                k = search
+                while p + k < len(pattern) and t + k < len(text) and pattern[p + k] == text[t + k] and pattern[p + k] > 0 and not mark_a[p + k] and not mark_b[t + k]:
+                    k += 1
+                found.append((-k, p, t))
+        heapq.heapify(found)
+        while found:
+            k, p, t = heapq.heappop(found)
+            marked = mark_a[p : p - k] | mark_b[t : t - k]
+            if not marked.any():
+                mark_a[p : p - k] = mark_b[t : t - k] = True
                 tiles.append((p, t, -k))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], marked, [True]])))
+            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if y - x >= search:
+                    heapq.heappush(found, (x - y, p + x, t + x))
         if search == least:
             return tiles
         search = max(least, search // 2)

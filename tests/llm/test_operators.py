@@ -94,6 +94,9 @@ def test_secrets(spark, none):
     assert "github:0:40" in [r.s for r in got]
     assert secrets.trigram_query("[0-9a-f]+") == [] and secrets.trigram_query("abc(d|e)f*") == [frozenset({frozenset({"abc", "bcd"}), frozenset({"abc", "bce"})})]
     assert secrets.scan(none).count() == 0
+    many = " ".join(["a" * 24, "é"] * 20000)
+    (r,) = secrets.scan(spark.createDataFrame([(1, many)], "doc_id long, text string")).select(secrets.written(F.col("spans")).alias("s")).collect()
+    assert r.s == ",".join(base_spans(many))
 
 
 def test_decontamination(spark, docs, none):
@@ -108,34 +111,36 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(none, bench).count() == 0
 
 
+def plain_tiling(a, b, least):
+    """Greedy string tiling by trying all places, over and over."""
+    used_a, used_b, total = set(), set(), []
+    while True:
+        top, best = least, None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and i + k not in used_a and j + k not in used_b:
+                    k += 1
+                if k > top or k == top and best is None:
+                    top, best = k, (i, j)
+        if best is None:
+            return total
+        used_a |= set(range(best[0], best[0] + top))
+        used_b |= set(range(best[1], best[1] + top))
+        total.append((*best, top))
+
+
 def test_tiling_equals_brute_force():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        a, b = rng.integers(1, 5, 25).tolist(), rng.integers(1, 5, 40).tolist()
-        used_a, used_b, total = set(), set(), []
-        while True:  # plain greedy string tiling
-            best = []
-            top = 3
-            for i in range(len(a)):
-                for j in range(len(b)):
-                    k = 0
-                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and i + k not in used_a and j + k not in used_b:
-                        k += 1
-                    if k > top:
-                        top, best = k, [(i, j)]
-                    elif k == top:
-                        best.append((i, j))
-            for i, j in best:
-                if not used_a & set(range(i, i + top)) and not used_b & set(range(j, j + top)):
-                    used_a |= set(range(i, i + top))
-                    used_b |= set(range(j, j + top))
-                    total.append(top)
-            if not best or top == 3:
-                break
-        tiles = decontaminate.tile(a, b, 3)
-        for i, j, k in tiles:
-            assert a[i : i + k] == b[j : j + k] and k >= 3
-        assert max((t[2] for t in tiles), default=0) == max(total, default=0)
+    for letters, least in [(5, 3)] * 40 + [(3, 2)] * 20 + [(12, 1)] * 10:
+        a, b = rng.integers(1, letters, 25).tolist(), rng.integers(1, letters, 40).tolist()
+        assert decontaminate.tile(a, b, least) == plain_tiling(a, b, least)
+    a, b = list(range(1, 21)), [*range(1, 9), 0, *range(7, 16), 0, *range(16, 21)]
+    assert decontaminate.tile(a, b, 5) == plain_tiling(a, b, 5) and sum(t[2] for t in decontaminate.tile(a, b, 5)) == 20
+    ids = rng.integers(0, 1 << 40, 300)
+    ids[200:220] = ids[10:30]
+    h = decontaminate.rolling(ids, 20)
+    assert h[200] == h[10] and len(set(h.tolist())) == 280
 
 
 def test_mixing(spark, docs, none):
@@ -148,7 +153,7 @@ def test_mixing(spark, docs, none):
     want = dict(zip(("a", "b", "c", None), mixing.water_fill([size[s] for s in ("a", "b", "c", None)], [1, 2, 3, 1], 3)))
     for s, t in want.items():
         took = sum(r.mix_copies * r.mix_size for r in got if r.source == s)
-        assert math.isclose(targets[s], t) and abs(took - t) <= 60 and all(0 <= r.mix_copies <= 3 for r in got)
+        assert math.isclose(targets[s], t) and abs(took - t) <= 2 and all(0 <= r.mix_copies <= 3 for r in got)
     assert {(r.doc_id, r.mix_copies) for r in mixing.mix(df.repartition(7))[0].collect()} == {(r.doc_id, r.mix_copies) for r in got}
     assert mixing.water_fill([10, 1000], [1, 1], 3) == [30.0, 980.0]
     assert mixing.min_cost_flow([((0, 1), 10), ((1,), 10)], [10, 20], 3) == [[10, 0], [0, 20]] or sum(map(sum, mixing.min_cost_flow([((0, 1), 10), ((1,), 10)], [10, 20], 3))) == 30
