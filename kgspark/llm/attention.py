@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CONTEXT, STRIDE = 8, 24
+CONTEXT, STRIDE = 16, 32
 LENGTH = CONTEXT + STRIDE
 WIDTH, HIDDEN = 16, 32
 
@@ -29,7 +29,7 @@ class Vocabulary:
     rows: int
 
 
-def vocabulary(by_kind: np.ndarray, own_rows: int = 3500, shared_rows: int = 500, own_groups: int = 64, shared_groups: int = 32) -> Vocabulary:
+def vocabulary(by_kind: np.ndarray, own_rows: int = 3500, shared_rows: int = 500, own_groups: int = 128, shared_groups: int = 32) -> Vocabulary:
     """by_kind[kind, id]: counts. The most frequent ids have embeddings and classes of their own; the rest share them, classes being bands of like frequency."""
     counts = by_kind.sum(axis=0)
     n = len(counts)
@@ -164,7 +164,10 @@ def gradient(p: dict[str, np.ndarray], rows: np.ndarray, kind: np.ndarray, real:
     g["place"] = dx.sum(axis=0)
     g["kind"] = np.array([two(dx)[~second].sum(axis=0), two(dx)[second].sum(axis=0)])
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], rows.reshape(-1), two(dx))
+    order = np.argsort(rows, axis=None, kind="stable")
+    ordered = rows.reshape(-1)[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    g["embed"][ordered[first]] = np.add.reduceat(two(dx)[order], first)
     return loss, g
 
 
@@ -183,7 +186,7 @@ class Adam:
             p[k] -= (rate * self.m[k] / (np.sqrt(self.s[k]) + 1e-8)).astype(np.float32)
 
 
-def train(p: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray, rate: float, size: int = 64, seed: int = 3) -> int:
+def train(p: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray, rate: float, size: int = 256, seed: int = 3) -> int:
     """One pass over the texts ids[start:end], each ending in its end id; p changes in place. Returns the ids used."""
     rows, group = inputs(vocab, ids, starts), vocab.group[ids]
     first, of = windows(starts, ends)
@@ -200,7 +203,7 @@ def train(p: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, kinds: n
 
 def inputs(vocab: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Embedding row that stands before each id: the one before it, or that of a text's start."""
-    rows = np.empty(len(ids), np.int64)
+    rows = np.full(len(ids), vocab.rows - 1, np.int64)
     rows[1:] = vocab.row[ids[:-1]]
     rows[starts[starts < len(ids)]] = vocab.rows - 1
     return rows

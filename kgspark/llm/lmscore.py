@@ -1,9 +1,10 @@
 """Language-model scores of whole documents: a unigram base, and a causal self-attention model.
 
-Documents are packed into chunks of a few megabytes with their words as
+Documents are packed into chunks of about a megabyte with their words as
 places in the chunk's list of distinct words, so that each word is hashed and
 tokenized once a chunk. Word counts travel as arrays of hashes, by hash bucket;
-model parameters are trained in each task and averaged between rounds.
+model parameters are trained in each task, on every training document, and
+averaged between rounds.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from kgspark.llm.common import lower_words, materialize
 from kgspark.llm.tokenids import WordEncoder
 
 CHUNK = "chunk long, n_train long, docs binary, words binary, hashes binary, pieces binary"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+REMEMBER = 200_000  # words whose ids a Python worker keeps; a memory bound, not a cut
 LOG10 = np.log(10)
 NONE = 0xFFFFFFFF  # first id of a word without ids
 
@@ -50,7 +52,7 @@ def chunks(docs: DataFrame, held_out: Column, tokenizer_path: str, id_col: str =
     """Documents packed into chunks; a chunk's number follows from its partition and place, and is fixed once written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, made, part = WordEncoder.of_worker(tokenizer_path), 0, TaskContext.get().partitionId()
+        encoder, made, part = WordEncoder.of_worker(tokenizer_path, remember=REMEMBER), 0, TaskContext.get().partitionId()
         seen: dict[bytes, int] = {}
         ids: list = []
         places: list[np.ndarray] = []
@@ -125,12 +127,12 @@ class Chunk:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(which) else ends
         # each word's first piece, moved on by the end ids of the documents before its own
         first = before + np.repeat(np.arange(len(which)), self.lengths[which])
-        return Pieces(ids, kinds, starts, ends, words, first, n)
+        return Pieces(ids, kinds, starts, ends, words, first, n, self.lengths[which])
 
 
 @dataclass
 class Pieces:
-    """ids and their kinds (0: a word or the end starts, 1: a word goes on), documents as ranges, and per word: its place among distinct words, its first id, its ids."""
+    """ids and their kinds (0: a word or the end starts, 1: a word goes on), documents as ranges, and per word: its place among distinct words, its first id, its ids; lengths: words of each document."""
 
     ids: np.ndarray
     kinds: np.ndarray
@@ -139,6 +141,7 @@ class Pieces:
     words: np.ndarray
     first: np.ndarray
     n: np.ndarray
+    lengths: np.ndarray
 
 
 def _requests(buckets: int):
@@ -153,7 +156,7 @@ def _requests(buckets: int):
                 sizes, flat = _unzip(r.pieces, "<u4", "<u4")
                 first = np.full(len(sizes), NONE, "<u4")
                 first[sizes > 0] = flat[(np.cumsum(sizes, dtype=np.int64) - sizes)[sizes > 0]]
-                rows = [(k, r.chunk, *(a[order[x:y]].tobytes() for a in (hashes, counts, first))) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+                rows = [(k, r.chunk, hashes[order[x:y]].tobytes(), _zip(counts[order[x:y]]), _zip(first[order[x:y]])) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
                 if rows:
                     yield pd.DataFrame(rows, columns=["bucket", "chunk", "hashes", "counts", "firsts"])
 
@@ -163,13 +166,13 @@ def _requests(buckets: int):
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Training counts of a bucket's words, returned to each chunk in the order it asked; under chunk -1, how many distinct ones begin with which id."""
     hashes = np.frombuffer(b"".join(rows["hashes"]), "<u8")
-    counts = np.frombuffer(b"".join(rows["counts"]), "<i8")
+    counts = np.concatenate([_unzip(c, "<i8")[0] for c in rows["counts"]])
     words, where, place = np.unique(hashes, return_index=True, return_inverse=True)
     total = np.zeros(len(words), np.int64)
     np.add.at(total, place, counts)
     cut = np.cumsum([len(h) // 8 for h in rows["hashes"]])[:-1]
-    answers = [a.astype("<i8").tobytes() for a in np.split(total[place], cut)]
-    firsts = np.frombuffer(b"".join(rows["firsts"]), "<u4")[where][total > 0]
+    answers = [_zip(a.astype("<i8")) for a in np.split(total[place], cut)]
+    firsts = np.concatenate([_unzip(f, "<u4")[0] for f in rows["firsts"]])[where][total > 0]
     ids, n = np.unique(firsts, return_counts=True)
     return pd.DataFrame(
         {"chunk": [*rows["chunk"], -1], "bucket": rows["bucket"].iloc[0], "counts": [*answers, np.array([ids, n], dtype="<i8").tobytes()], "distinct": [0] * len(rows) + [int((total > 0).sum())]}
@@ -192,10 +195,10 @@ def first_words(answers: DataFrame, vocabulary_size: int) -> np.ndarray:
 
 
 def piece_counts(packed: DataFrame, vocabulary_size: int, ends: int) -> np.ndarray:
-    """counts[kind, id] of all ids in the training documents; the sums are of vocabulary size, whatever the corpus."""
+    """counts[kind, id] of all ids in the training documents, and in a third row those that end a word; the sums are of vocabulary size, whatever the corpus."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, vocabulary_size + 1), np.int64)
+        total = np.zeros((3, vocabulary_size + 1), np.int64)
         for b in batches:
             for r in b.itertuples(index=False):
                 sizes, flat = _unzip(r.pieces, "<u4", "<u4")
@@ -203,12 +206,13 @@ def piece_counts(packed: DataFrame, vocabulary_size: int, ends: int) -> np.ndarr
                 begin, some = np.cumsum(sizes) - sizes, sizes > 0
                 every = np.bincount(flat, np.repeat(n, sizes), vocabulary_size + 1).astype(np.int64)
                 first = np.bincount(flat[begin[some].astype(np.int64)], n[some], vocabulary_size + 1).astype(np.int64)
-                total += np.array([first, every - first])
+                last = np.bincount(flat[(begin + sizes - 1)[some].astype(np.int64)], n[some], vocabulary_size + 1).astype(np.int64)
+                total += np.array([first, every - first, last])
         kind, at = np.nonzero(total)
         yield pd.DataFrame({"kind": kind, "id": at, "n": total[kind, at]})
 
     rows = packed.select("docs", "words", "pieces").mapInPandas(run, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((2, vocabulary_size + 1))
+    out = np.zeros((3, vocabulary_size + 1))
     for r in rows:
         out[r.kind, r.id] = r.n
     out[0, vocabulary_size] = ends
@@ -242,33 +246,39 @@ def pair_counts(packed: DataFrame, vocab: Vocabulary, end: int) -> np.ndarray:
     return out.reshape(shape)
 
 
-def text_scores(lp: np.ndarray, pieces: Pieces, counts: np.ndarray, first_counts: np.ndarray, first_distinct: np.ndarray, stop: float) -> np.ndarray:
+def text_scores(lp: np.ndarray, pieces: Pieces, counts: np.ndarray, first_counts: np.ndarray, first_distinct: np.ndarray, stop: np.ndarray, plain: np.ndarray, plain_end: float, trust: float) -> np.ndarray:
     """Natural log probability of each text from those of its ids.
 
-    A word is drawn by its first id, by attention; given that, with chance
-    F/(F+D) as one of the words that training saw with this first id, by their
-    counts (F of them, D distinct: Witten and Bell's rule), else id by id, by
-    attention, ending after each with chance stop.
+    Each word, and the end, is drawn with chance `trust` by attention, else by
+    the unigram base (plain: natural log probabilities of the distinct words).
+    Attention draws a word's first id; given that, with chance F/(F+D) the word
+    is one of those that training saw with this first id, by their counts (F of
+    them, D distinct: Witten and Bell's rule), else it comes id by id, by
+    attention, ending after each with that id's chance in stop.
     """
     total = np.zeros(len(pieces.starts))
-    upto = np.concatenate([[0.0], np.cumsum(lp)])
+    upto, on = np.concatenate([[0.0], np.cumsum(lp)]), np.concatenate([[0.0], np.cumsum(np.log1p(-stop[pieces.ids]))])
     some = pieces.n > 0
     at, n = pieces.first[some], pieces.n[some]
-    rest = upto[at + n] - upto[at + 1] + np.log(stop) + (n - 1) * np.log(1 - stop)
+    rest = upto[at + n] - upto[at + 1] + on[at + n - 1] - on[at] + np.log(stop[pieces.ids[at + n - 1]])
     seen, of_first, kinds = counts[pieces.words[some]], first_counts[pieces.ids[at]], first_distinct[pieces.ids[at]]
     with np.errstate(divide="ignore"):
         known = np.log(seen / np.maximum(of_first + kinds, 1))
         fresh = np.where(of_first > 0, np.log(kinds / np.maximum(of_first + kinds, 1)), 0.0) + rest
-    word = lp[at] + np.logaddexp(known, fresh)
+    a, b = np.log(trust), np.log(1 - trust)
+    word = np.logaddexp(a + lp[at] + np.logaddexp(known, fresh), b + plain[pieces.words[some]])
     np.add.at(total, np.searchsorted(pieces.ends, at, side="right"), word)
-    return total + lp[pieces.ends - 1]
+    # words that the tokenizer gives no ids are the base's alone
+    bare = np.repeat(np.arange(len(pieces.lengths)), pieces.lengths)[~some]
+    np.add.at(total, bare, b + plain[pieces.words[~some]])
+    return total + np.logaddexp(a + lp[pieces.ends - 1], b + plain_end)
 
 
-def fit(packed: DataFrame, vocab: Vocabulary, end: int, rounds: int, share: int, rate: float) -> dict[str, np.ndarray]:
+def fit(packed: DataFrame, vocab: Vocabulary, end: int, rounds: int, rate: float) -> dict[str, np.ndarray]:
     """Parameters after `rounds` of training in every task from common parameters, averaged by ids seen.
 
     Round r takes the training documents whose place in their chunk leaves r
-    modulo share: a fixed fraction of a corpus of any size.
+    modulo `rounds`, so that each of them is trained on once.
     """
     spark = packed.sparkSession
     p = start_from_pairs(start(vocab), vocab, pair_counts(packed, vocab, end))
@@ -283,7 +293,7 @@ def fit(packed: DataFrame, vocab: Vocabulary, end: int, rounds: int, share: int,
             for b in batches:
                 for r in b.itertuples(index=False):
                     c = Chunk(r.docs, r.words)
-                    chosen = (c.held == 0) & ((np.cumsum(c.held == 0) + int(r.chunk)) % share == k % share)
+                    chosen = (c.held == 0) & ((np.cumsum(c.held == 0) + int(r.chunk)) % rounds == k)
                     x = c.pieces(r.pieces, end, chosen)
                     if len(x.ids):
                         seen += train(p, vocab, x.ids, x.kinds, x.starts, x.ends, rate / (1 + k))
@@ -306,16 +316,15 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def score(
-    docs: DataFrame, held_out: Column, tokenizer_path: str, vocabulary_size: int = 49_408, rounds: int = 2, share: int = 24, rate: float = 0.004, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, held_out: Column, tokenizer_path: str, vocabulary_size: int = 49_408, rounds: int = 4, rate: float = 0.004, trust: float = 0.75, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     Tokens of the base are lower-cased (A-Z) words and one end; its score sums
     log10((c+1)/(N+1*(V+1))) over training counts c. score is the log10
     probability of the same words and the end under the attention model on their
-    subword ids, a word's later ids being shared with the corpus counts of words
-    (see text_scores).
-    Counts of words and ids cover all training documents. Null and empty texts
+    subword ids, mixed word by word with the base (see text_scores).
+    Counts and gradients cover all training documents. Null and empty texts
     have the end alone; without training documents N and V are 0 and the model
     is untrained; repeated rows count each; null ids stay null.
     """
@@ -327,27 +336,30 @@ def score(
     answers = materialize(asked.groupBy("bucket").applyInPandas(_answer, "chunk long, bucket long, counts binary, distinct long"), "counts")
     distinct = int(answers.agg(F.sum("distinct")).first()[0] or 0) + (n_train > 0)
     counts = piece_counts(packed, vocabulary_size, n_train)
-    vocab = vocabulary(counts)
+    vocab = vocabulary(counts[:2])
     end = vocabulary_size
-    p = fit(packed, vocab, end, rounds, share, rate)
-    stop = float((counts[0].sum() + 1) / (counts.sum() + 2))
+    p = fit(packed, vocab, end, rounds, rate)
+    whole = counts[:2].sum(axis=0)
+    # each id's share of word ends, drawn a little towards that of all ids
+    stop = (counts[2] + 0.02 * (counts[2].sum() + 1) / (whole.sum() + 2)) / (whole + 0.02)
+    stop = np.clip(stop, 1e-9, 1 - 1e-9)
 
     def words_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"n": [sum(int(Chunk(d, w).training_words().size) for d, w in zip(b["docs"], b["words"]))]})
 
     n = int(packed.select("docs", "words").mapInPandas(words_in, "n long").agg(F.sum("n")).first()[0] or 0) + n_train
-    shared = spark.sparkContext.broadcast((p, vocab, counts[0], first_words(answers, vocabulary_size)))
+    shared = spark.sparkContext.broadcast((p, vocab, counts[0], first_words(answers, vocabulary_size), stop))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, vocab, first_counts, first_distinct = shared.value
+        p, vocab, first_counts, first_distinct, stop = shared.value
         for b in batches:
             for r in b.itertuples(index=False):
                 c, hashes = Chunk(r.docs, r.words), np.frombuffer(r.hashes, "<u8")
                 order = np.argsort((hashes % np.uint64(buckets)).astype(np.int64), kind="stable")
                 count = np.zeros(len(hashes), np.int64)
                 if len(hashes):
-                    count[order] = np.frombuffer(b"".join(x["counts"] for x in sorted(r.answers, key=lambda x: x["bucket"])), "<i8")
+                    count[order] = np.concatenate([_unzip(x["counts"], "<i8")[0] for x in sorted(r.answers, key=lambda x: x["bucket"])])
                 whole = np.log10(n + distinct + 1.0)
                 each = np.log10(count + 1.0) - whole
                 of = np.repeat(np.arange(len(c.ids)), c.lengths)
@@ -358,7 +370,7 @@ def score(
                 doc = pd.array(c.ids, dtype="Int64")
                 doc[c.known == 0] = pd.NA
                 yield pd.DataFrame(
-                    {"doc_id": doc, "held_out": c.held > 0, "n_tokens": c.lengths + 1, "n_known": known, "train_tokens": n, "base_score": base, "score": text_scores(lp, x, count, first_counts, first_distinct, stop) / LOG10}
+                    {"doc_id": doc, "held_out": c.held > 0, "n_tokens": c.lengths + 1, "n_known": known, "train_tokens": n, "base_score": base, "score": text_scores(lp, x, count, first_counts, first_distinct, stop, each * LOG10, (np.log10(n_train + 1.0) - whole) * LOG10, trust) / LOG10}
                 )
 
     by_chunk = answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))

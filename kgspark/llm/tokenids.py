@@ -28,19 +28,21 @@ class WordEncoder:
     its punctuation.
     """
 
-    def __init__(self, path: str, narrow: bool = False) -> None:
+    def __init__(self, path: str, narrow: bool = False, remember: int = REMEMBER) -> None:
         """narrow: ids take 16 bits each where the vocabulary allows it, else 32."""
         from tokenizers import Tokenizer
 
+        self.remember = remember
+
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if narrow and self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
     @lru_cache(maxsize=2)
-    def of_worker(cls, path: str, narrow: bool = False) -> WordEncoder:
+    def of_worker(cls, path: str, narrow: bool = False, remember: int = REMEMBER) -> WordEncoder:
         """The encoder that the tasks of one Python worker share, one after another."""
-        return cls(path, narrow)
+        return cls(path, narrow, remember)
 
     def _encode(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         plain = [w.decode("utf-8", "surrogatepass") for w in words]
@@ -80,10 +82,10 @@ class WordEncoder:
             known[w] = known[letters] + known[end] if end else known[letters]
 
     def learn(self, words: list[bytes]) -> list[bytes]:
-        """Know the ids of all of words. Once REMEMBER is reached, those returned are for forget(), and words that are new too often displace the old ones."""
+        """Know the ids of all of words. Once that many are remembered, those returned are for forget(), and words that are new too often displace the old ones."""
         known = self.known
         new = list(dict.fromkeys(filterfalse(known.__contains__, words)))
-        full = len(known) >= REMEMBER
+        full = len(known) >= self.remember
         if full and len(new) > len(words) // 4:
             known.clear()
             new, full = list(dict.fromkeys(words)), False

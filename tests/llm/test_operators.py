@@ -298,6 +298,45 @@ def test_attention_gradient_and_causality(monkeypatch):
     assert np.allclose(attention.log_probabilities(p, v, other, kinds, starts, ends)[:70], lp[:70]) and len(lp) == 100
 
 
+def test_window_scores_equal_plain_attention(monkeypatch):
+    monkeypatch.setattr(attention, "weigh", np.exp)
+    rng = np.random.default_rng(11)
+    v = attention.vocabulary(rng.integers(1, 50, (2, 60)).astype(float), 40, 10, 20, 5)
+    p = {k: x.astype(float) for k, x in attention.start(v).items()}
+    ids, kinds = rng.integers(0, 59, 210), rng.integers(0, 2, 210)
+    starts, ends = np.array([0, 1, 60]), np.array([1, 60, 210])
+    want = []
+    for s, e in zip(starts, ends):
+        for t in range(s, e):
+            w = s + (t - s) // attention.STRIDE * attention.STRIDE
+            seen = range(max(s, w - attention.CONTEXT), t + 1)  # all of the window before t, and t's own input
+            x = np.array([p["embed"][v.row[ids[i - 1]] if i > s else v.rows - 1] + p["kind"][kinds[i]] + p["place"][i - w + attention.CONTEXT] for i in seen])
+            a = np.exp((x @ p["k"]) @ (x[-1] @ p["q"]) / np.sqrt(attention.WIDTH))
+            y = x[-1] + (a / a.sum()) @ (x @ p["v"]) @ p["o"]
+            out = np.exp((y + np.maximum(y @ p["w1"], 0) @ p["w2"]) @ p["out"] + p["bias"][kinds[t]])
+            want.append(np.log(out[v.group[ids[t]]] / out.sum()) + v.inside[kinds[t], ids[t]])
+    assert np.allclose(attention.log_probabilities(p, v, ids, kinds, starts, ends), want, rtol=1e-5)
+
+
+def test_text_scores_equal_plain_sums():
+    # two texts: "ab c" as ids 0 1 | 2 and an empty one; each ends in id 9
+    x = lmscore.Pieces(np.array([0, 1, 2, 9, 9]), np.array([0, 1, 0, 0, 0]), np.array([0, 4]), np.array([4, 5]), np.array([0, 1]), np.array([0, 2]), np.array([2, 1]), np.array([2, 0]))
+    lp, plain = np.log(np.array([0.5, 0.25, 0.125, 0.1, 0.2])), np.log(np.array([0.01, 0.02]))
+    f, d = np.zeros(10), np.zeros(10)
+    f[0], d[0] = 6, 2
+    got = lmscore.text_scores(lp, x, np.array([3, 0]), f, d, np.linspace(0.1, 0.9, 10), plain, np.log(0.3), 0.75)
+    stop = np.linspace(0.1, 0.9, 10)
+    ab = 0.75 * 0.5 * (3 / 8 + 2 / 8 * 0.25 * (1 - stop[0]) * stop[1]) + 0.25 * 0.01
+    c = 0.75 * 0.125 * stop[2] + 0.25 * 0.02
+    assert np.allclose(got, [math.log(ab) + math.log(c) + math.log(0.75 * 0.1 + 0.25 * 0.3), math.log(0.75 * 0.2 + 0.25 * 0.3)])
+
+
+def test_lm_scores_beat_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    (r,) = lmscore.score(docs, in_split(F.col("doc_id"), 7, 2), TOK).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).collect()
+    assert r.s / r.n > r.b / r.n + 0.05
+
+
 def test_lm_scores(spark, docs, none):
     got = {r.doc_id: r for r in lmscore.score(docs, in_split(F.col("doc_id"), 7, 2), TOK).collect()}
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
