@@ -260,6 +260,33 @@ def test_html(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
+def test_html_template_equals_plain_deduction(spark):
+    rng = np.random.default_rng(12)
+    said = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"], n)) + f" {rng.integers(1 << 40)}"
+    # no telling names: only what the pages of a host share says where the article is
+    page = lambda own, i: f"<html><body><div><span>Home</span><span>{said(1)}</span></div><section><h2>{own[0]}</h2><div><p>{own[1]}</p><p>Please subscribe to our paper.</p><p>{own[2]}</p></div></section><div><i>{said(2)}</i> All rights kept</div></body></html>"
+    own = [[said(3), said(30), said(20)] for _ in range(8)]
+    html = [page(o, i) for i, o in enumerate(own)]
+    rows = [(i, f"http://h.org/{i}", h) for i, h in enumerate(html)] + [(100 + i, f"http://h.org/copy{i}", html[0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in htmltext.main_text(df).collect()}
+    assert got == {i: "\n".join(own[i if i < 100 else 0]) for i, _, _ in rows}
+    assert all("subscribe" in htmltext.extract(h) and "rights" in htmltext.extract(h) for h in html)  # without the template
+    # tokens, their pages and which of them share a vector, by plain sets
+    (t,) = htmltext.templates(df).collect()
+    held = {}
+    for i, h in enumerate(html):
+        for token, v in htmltext.page_tokens(h).items():
+            held.setdefault(token, set()).add((i, v[0]))
+    held = {k: v for k, v in held.items() if 2 * len(v) >= 8}
+    assert t.pages == 8 and {r.token: (r.pages, r.times) for r in t["rows"]} == {k: (len(v), sum(n for _, n in v)) for k, v in held.items()}
+    assert all((a.vector == b.vector) == (held[a.token] == held[b.token]) for a in t["rows"] for b in t["rows"])
+    deep = "<div>" * 50000 + "<p>x" + "</p><p>y" * 50000
+    assert htmltext.extract(deep) == "\n".join(["x"] + ["y"] * 50000) and len(htmltext.page_tokens(deep)) == 50003
+    gap = htmltext.Gap()
+    assert gap.take([1.0, 5.0, 9.0]) and gap.take([2.0, 3.0]) and not gap.take([4.0, 6.0]) and gap.take([10.0]) and not gap.take([2.5, 4.0])
+
+
 def test_token_counts(spark, docs, none):
     import tiktoken  # noqa: F401
 
