@@ -40,20 +40,30 @@ def without_fragment(url: Column) -> Column:
     return F.when(bare.endswith("/") & ~bare.endswith("://"), F.regexp_replace(bare, "/+$", "")).otherwise(bare)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without empty, `.` and `..` segments, the latter with the segment before them; a slash at the end stays."""
+    parts = F.filter(F.split(path, "/", -1), lambda s: (s != "") & (s != "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)))
+    end = F.when(path.rlike(r"(?:/|/\.\.?)$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """Absolute, scheme-relative, root-relative, query-only and plain relative links without dot segments, against base."""
+    """Absolute, scheme-relative, root-relative, query-only and plain relative links against base; paths put together here have no dot segments."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:[^?#]*/)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
     own = F.regexp_extract(base, r"^([^?#]*)", 1)
+    way, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"([?#].*)?$", 0)
+    down = F.concat(F.substring(folder, F.length(origin) + 1, F.length(folder)), way)
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("/"), F.concat(origin, without_dots(way), rest))
         .when(href == "", base)
         .when(href.startswith("?") | href.startswith("#"), F.concat(own, href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(origin, without_dots(down), rest))
     )
 
 

@@ -78,7 +78,8 @@ def canonical(mentions: DataFrame, leader_of: DataFrame) -> DataFrame:
     m = normalized(mentions).join(leader_of, "norm")
     if "aliases" not in mentions.columns:
         m = m.withColumn("aliases", F.array("alias"))
-    m = m.withColumn("definition", F.coalesce("definition", F.lit("")))
+    # written once: the aggregates below read it again and again
+    m = cut(m.select("leader", "title", F.coalesce("definition", F.lit("")).alias("definition"), "difficulty", "aliases", "source_url", "chunk_id", "ord"))
     t = F.col("title")
     n_length = F.length("definition")
     main = m.groupBy("leader").agg(

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ASK = (
@@ -97,6 +98,26 @@ def loose_slice(text: Column) -> Column:
     return F.when(t != "", t)
 
 
+def loose_parse(text: Column) -> Column:
+    """struct<parsed, entities, relationships, raw_response>: the slice as JSON where it is such, else two empty lists and the text."""
+    cut = loose_slice(text)
+    good = F.try_parse_json(cut).isNotNull()
+    got = F.from_json(F.when(good, cut), "entities array<string>, relationships array<string>")
+    none = F.array().cast("array<string>")
+    return F.struct(good.alias("parsed"), F.coalesce(got["entities"], none).alias("entities"), F.coalesce(got["relationships"], none).alias("relationships"), F.when(~good, text).alias("raw_response"))
+
+
+def siblings(tagged: DataFrame) -> DataFrame:
+    """(chunk_id, source, target, relation_type): titles that follow each other in a chunk's order of titles, as sibling candidates; a row a title, not a pair of all."""
+    nxt = F.lead("title").over(W.partitionBy("chunk_id").orderBy("title"))
+    return tagged.select("chunk_id", F.col("title").alias("source"), nxt.alias("target"), F.lit("sibling").alias("relation_type")).where("target is not null")
+
+
+def error_sample(extractions: DataFrame, k: int = 5, width: int = 80) -> DataFrame:
+    """The first k failed chunks with the beginning of their errors."""
+    return extractions.where("error is not null").select("chunk_id", F.substring("error", 1, width).alias("error")).orderBy("chunk_id").limit(k)
+
+
 def tag(chunks: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
     """(chunk_id, title): names (name, title) found as runs of up to `longest` words of a chunk, without case."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9#]+"), lambda w: w != "")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from kgspark.sources.checkpoints import cut
+
 
 def embedding_text(concepts: DataFrame) -> DataFrame:
     known = F.when(F.size("aliases") > 0, F.concat(F.lit("Also known as: "), F.array_join("aliases", ", ")))
@@ -84,3 +86,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float
     if min_score:
         best = best.where(F.col("raw") >= min_score)
     return best.select("query_id", "rank", "id", F.round("raw", 4).alias("score"))
+
+
+def numbered(rows: DataFrame, by: str, name: str = "id") -> DataFrame:
+    """rows with their place (from 0) in the order of `by`: places inside ranges, moved on by the sizes of the ranges before, so that no task orders all rows."""
+    parts = cut(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("n"))  # a row a range
+    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(by)) - 1
+    return parts.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, (F.col("_before") + place).cast("long")).drop("_part", "_before")

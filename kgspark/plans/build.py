@@ -25,6 +25,12 @@ def build(mentions: DataFrame, relations: DataFrame, examples: DataFrame, fuzzy:
     return Graph(vertices, edges, G.resource_vertices(concepts), G.explains_edges(concepts), found, G.exemplifies(found, vertices)), concepts
 
 
+def read_once(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The views that the others are made of, written once."""
+    given = {"v_line": cut(view(spark, sf_dir, "v_line"))}
+    return given | {"v_mention": cut(view(spark, sf_dir, "v_mention", given))}
+
+
 _BUILT: dict[tuple[str, str], Graph] = {}
 
 
@@ -32,6 +38,7 @@ def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of the test tables' mentions, built once a session and folder and kept in the checkpoint folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        g = build(view(spark, sf_dir, "v_mention"), view(spark, sf_dir, "v_relation"), view(spark, sf_dir, "v_example"))[0]
+        given = read_once(spark, sf_dir)
+        g = build(given["v_mention"], view(spark, sf_dir, "v_relation", given), view(spark, sf_dir, "v_example", given))[0]
         _BUILT[key] = Graph(*(cut(x) for x in (g.vertices, g.edges, g.resources, g.explains, g.examples, g.exemplifies)))
     return _BUILT[key]

@@ -20,9 +20,11 @@ from kgspark.operators import resources as RS
 from kgspark.operators import retrieve as H
 from kgspark.operators import traverse as T
 from kgspark.operators import vectors as V
-from kgspark.plans.build import graph_of
+from kgspark.plans.build import graph_of, read_once
 from kgspark.sources import io
-from kgspark.sources.views import view, with_views
+from kgspark.sources.checkpoints import cut, shared_folder
+from kgspark.sources.views import TABLES, view, with_views
+from kgspark.streaming import upserts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -240,7 +242,7 @@ def d03_crawl_reachability(spark, d):
     c, p = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     links = j.where("l_quantity > 47").select(c.alias("url"), p.alias("link")).union(j.where("l_quantity < 3").select(p, c)).distinct()
     start = links.where("url like 'c%'").agg(F.min("url").alias("url"))
-    return T.reachable(start, links).where("depth <= 5")
+    return T.reachable(start, links, 5)
 
 
 @query(_DISC + " select 'pages' as what, '' as name, count(*) as n from pages union all select 'resources', '', count(*) from res union all select 'type', resource_type, count(*) from res group by 2 union all select 'status', status, count(*) from res group by 2 union all select 'failures', '', count(distinct url) from v_attempt", "v_mention v_attempt")
@@ -271,9 +273,9 @@ def t01_assemble_pages(spark, d):
     return D.assemble_pages(pages).select("url", "page_count", "content", "text_length")
 
 
-@query("with t as (select conv_id as video_id, case turn % 4 when 0 then 'de' when 1 then 'en' when 2 then 'en-US' else 'fr' end as language_code, turn % 3 <> 0 as is_generated, turn as pos from conversations where turn > conv_id % 3) select video_id, language_code, is_generated, pos from (select *, row_number() over (partition by video_id order by case when language_code like 'en%' then cast(is_generated as integer) else 2 end, pos) as r from t) where r = 1")
+@query("with t as (select conv_id as video_id, case turn % 4 when 0 then 'de' when 1 then 'en' when 2 then 'en-US' else 'fr' end as language_code, turn % 3 <> 0 as is_generated, turn as pos from conversations) select video_id, language_code, is_generated, pos from (select *, row_number() over (partition by video_id order by case when language_code like 'en%' then cast(is_generated as integer) else 2 end, pos) as r from t) where r = 1")
 def t02_choose_track(spark, d):
-    c = view(spark, d, "conversations").where("turn > conv_id % 3")
+    c = view(spark, d, "conversations")
     lang = F.when(F.col("turn") % 4 == 0, "de").when(F.col("turn") % 4 == 1, "en").when(F.col("turn") % 4 == 2, "en-US").otherwise("fr")
     return D.choose_track(c.select(F.col("conv_id").alias("video_id"), lang.alias("language_code"), (F.col("turn") % 3 != 0).alias("is_generated"), F.col("turn").alias("pos")))
 
@@ -307,9 +309,8 @@ def e01_prompts(spark, d):
 
 
 def _answers(spark, d):
-    """Model answers around words of documents: fenced, after thinking, broken, with text around, plain."""
-    w = F.element_at(F.split("text", r"\s+"), 1)
-    body = F.to_json(F.struct(F.array(F.struct(w.alias("title"), F.lit("a {brace}").alias("definition"))).alias("concepts"), F.array().cast("array<string>").alias("relations")))
+    """Model answers around texts of documents: fenced, after thinking, broken, with text around, plain."""
+    body = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("title"), F.lit("a {brace}").alias("definition"))).alias("concepts"), F.array().cast("array<string>").alias("relations")))
     k = F.col("doc_id") % 5
     raw = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("<think>{x}</think> "), body)).when(k == 2, F.substring(body, 1, 12)).when(k == 3, F.concat(F.lit("Here: "), body, F.lit(" done }"))).otherwise(body)
     return view(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_url"), raw.alias("raw_text"))
@@ -327,25 +328,41 @@ def e04_parse_answers(spark, d):
     return E.parse(_answers(spark, d)).select("chunk_id", F.size("concepts").alias("concepts"), F.get("concepts", 0)["title"].alias("title"), F.col("error").isNotNull().alias("failed"))
 
 
-@query("select doc_id, nullif(regexp_extract(case doc_id % 3 when 0 then concat('say {', substring(text, 1, 20), '} and }') when 1 then concat('{', lang) else concat('x {\"a\": {', lang, '}} y') end, '(?s)\\{.*\\}'), '') as slice from documents")
+@query("select doc_id, nullif(regexp_extract(case doc_id % 3 when 0 then concat('say {', text, '} and }') when 1 then concat('{', lang) else concat('x {\"a\": {', lang, '}} y') end, '(?s)\\{.*\\}'), '') as slice from documents")
 def e05_loose_slice(spark, d):
     k = F.col("doc_id") % 3
-    t = F.when(k == 0, F.concat(F.lit("say {"), F.substring("text", 1, 20), F.lit("} and }"))).when(k == 1, F.concat(F.lit("{"), "lang")).otherwise(F.concat(F.lit('x {"a": {'), "lang", F.lit("}} y")))
+    t = F.when(k == 0, F.concat(F.lit("say {"), "text", F.lit("} and }"))).when(k == 1, F.concat(F.lit("{"), "lang")).otherwise(F.concat(F.lit('x {"a": {'), "lang", F.lit("}} y")))
     return view(spark, d, "documents").select("doc_id", E.loose_slice(t).alias("slice"))
 
 
-@query(
+@query("""with r as (select doc_id, case doc_id % 3 when 0 then concat('say {"entities": ["', source, '", "x"], "relationships": []} ok') when 1 then concat('{', text) else concat('x {"a": ', lang, '} y') end as t from documents)
+select doc_id, doc_id % 3 = 0 as parsed, case when doc_id % 3 = 0 then concat(regexp_extract(t, '\\["([^"]*)"', 1), '|x') else '' end as entities, case when doc_id % 3 <> 0 then t end as raw_response from r""")
+def e05_loose_parse(spark, d):
+    k = F.col("doc_id") % 3
+    t = F.when(k == 0, F.concat(F.lit('say {"entities": ["'), "source", F.lit('", "x"], "relationships": []} ok'))).when(k == 1, F.concat(F.lit("{"), "text")).otherwise(F.concat(F.lit('x {"a": '), "lang", F.lit("} y")))
+    return view(spark, d, "documents").select("doc_id", E.loose_parse(t).alias("x")).select("doc_id", "x.parsed", F.array_join("x.entities", "|").alias("entities"), "x.raw_response")
+
+
+_TAGS = (
     r"""with n as (select distinct lower(p_name) as name, p_name as title from part),
 c as (select p_partkey as chunk_id, list_filter(regexp_split_to_array(lower(concat(p_name, ' and ', p_type, ' of ', p_name)), '[^a-z0-9#]+'), lambda x: x <> '') as w from part),
-g as (select chunk_id, w[i] as name from (select chunk_id, w, unnest(range(1, len(w) + 1)) as i from c) union select chunk_id, concat(w[i], ' ', w[i + 1]) from (select chunk_id, w, unnest(range(1, len(w))) as i from c) union select chunk_id, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) from (select chunk_id, w, unnest(range(1, len(w) - 1)) as i from c))
-select distinct chunk_id, title from g join n using (name)"""
+g as (select chunk_id, w[i] as name from (select chunk_id, w, unnest(range(1, len(w) + 1)) as i from c) union select chunk_id, concat(w[i], ' ', w[i + 1]) from (select chunk_id, w, unnest(range(1, len(w))) as i from c) union select chunk_id, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) from (select chunk_id, w, unnest(range(1, len(w) - 1)) as i from c)),
+tagged as (select distinct chunk_id, title from g join n using (name))"""
 )
+
+
+@query(_TAGS + " select * from tagged")
 def e06_dictionary_tagger(spark, d):
     part = view(spark, d, "part")
     text = F.concat("p_name", F.lit(" and "), "p_type", F.lit(" of "), "p_name")
     return E.tag(part.select(F.col("p_partkey").alias("chunk_id"), text.alias("text")), part.select(F.col("p_name").alias("name"), F.col("p_name").alias("title")).distinct())
 
 
+@query(_TAGS + " select * from (select chunk_id, title as source, lead(title) over (partition by chunk_id order by title) as target, 'sibling' as relation_type from tagged) where target is not null")
+def e06_sibling_candidates(spark, d):
+    return E.siblings(e06_dictionary_tagger(spark, d))
+
+
 def _extractions(spark, d):
     m, r = _m(spark, d), view(spark, d, "v_relation")
     c = m.groupBy("chunk_id").agg(F.min("source_url").alias("source_url"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "title", "definition", "difficulty", "alias"))), lambda x: F.struct(x["title"].alias("title"), x["definition"].alias("definition"), x["difficulty"].alias("difficulty"), F.array(x["alias"]).alias("aliases"))).alias("concepts"))
@@ -359,6 +376,11 @@ def e07_extraction_summary(spark, d):
     return E.summary(io.import_extractions(_extractions(spark, d), stamp=False).withColumn("examples", F.array()))
 
 
+@query("select chunk_id, 'JSON parse error' as error from (select distinct chunk_id from v_mention) where cast(chunk_id as bigint) % 50 = 0 order by chunk_id limit 5", "v_mention")
+def e07_error_sample(spark, d):
+    return E.error_sample(_extractions(spark, d))
+
+
 @query("select m.chunk_id, u.source_url, row_number() over (partition by m.chunk_id order by pos) - 1 as pos, title, difficulty from v_mention m join (select chunk_id, min(source_url) as source_url from v_mention group by chunk_id) u on u.chunk_id = m.chunk_id where cast(m.chunk_id as bigint) % 50 <> 0", "v_mention")
 def e08_explode_extractions(spark, d):
     return E.explode(_extractions(spark, d), "concepts").select("chunk_id", "source_url", F.col("pos").cast("long").alias("pos"), "title", "difficulty")
@@ -372,9 +394,9 @@ def c01_title_frequency(spark, d):
     return C.title_frequency(_m(spark, d))
 
 
-@query(f"select distinct title, {norm('title')} as norm from v_mention union select distinct w, {norm('w')} from (select unnest(string_split(text, ' ')) as w from documents where doc_id % 10 = 1 and lang = 'en')", "v_mention")
+@query(f"select distinct title, {norm('title')} as norm from v_mention union select distinct w, {norm('w')} from (select unnest(string_split(text, ' ')) as w from documents)", "v_mention")
 def c02_normalize_title(spark, d):
-    words = view(spark, d, "documents").where("doc_id % 10 = 1 and lang = 'en'").select(F.explode(F.split("text", " ", -1)).alias("title"))
+    words = view(spark, d, "documents").select(F.explode(F.split("text", " ", -1)).alias("title"))
     return _m(spark, d).select("title").union(words).distinct().select("title", normalize_title(F.col("title")).alias("norm"))
 
 
@@ -387,7 +409,16 @@ def _titles(spark, d):
     return view(spark, d, "part").select(F.concat("p_type", F.lit(" "), "p_brand").alias("title")).distinct()
 
 
-@query()
+# the longest common subsequence, a row of its table at a time; each value is text so that all lists have one type
+_LCS = """with t as (select distinct concat(p_type, ' ', p_brand) as title from part),
+p as (select a.title as a, b.title as b, string_split(a.title, '') as x, string_split(b.title, '') as y from t a join t b on a.title < b.title and abs(length(a.title) - length(b.title)) <= 10),
+s as (select a, b, len(x) + len(y) as n, list_reduce(list_transform(x, lambda ch: [ch]), lambda row, ch:
+ list_reduce(list_transform(range(1, len(y) + 1), lambda j: [cast(j as varchar)]), lambda acc, j: list_append(acc, cast(case when ch[1] = y[cast(j[1] as integer)] then cast(row[cast(j[1] as integer)] as integer) + 1 else greatest(cast(acc[len(acc)] as integer), cast(row[cast(j[1] as integer) + 1] as integer)) end as varchar)), ['0']),
+ list_transform(range(0, len(y) + 1), lambda i: '0')) as l from p)
+select a, b, round(200.0 * cast(l[len(l)] as integer) / n, 4) as score from s where 200.0 * cast(l[len(l)] as integer) / n >= 87.5"""
+
+
+@query(_LCS)
 def c04_similar_title_pairs(spark, d):
     return similar_pairs(_titles(spark, d), None, 87.5, False, 10).select("a", "b", F.round("score", 4).alias("score"))
 
@@ -429,9 +460,10 @@ def c12_name_map(spark, d):
 
 
 def _mapped(spark, d, fuzzy=False):
-    m, r = _m(spark, d), view(spark, d, "v_relation")
+    given = read_once(spark, d)
+    m, r = given["v_mention"], cut(view(spark, d, "v_relation", given))
     lead = _leaders(m)
-    mapping = C.name_map(C.canonical(m, lead), m, lead)
+    mapping = cut(C.name_map(cut(C.canonical(m, lead)), m, lead))
     ends = r.select("source").union(r.select("target")).toDF("name").distinct()
     return R.mapped(r, R.map_names(ends, mapping, fuzzy))
 
@@ -447,7 +479,8 @@ def r01_map_names_fuzzy(spark, d):
     m = _m(spark, d)
     lead = _leaders(m)
     mapping = C.name_map(C.canonical(m, lead), m, lead)
-    odd = m.where("chunk_id like '%7' and pos = 1").select(F.concat(F.substring(F.trim("title"), 1, 4), F.substring(F.trim("title"), 4, 200)).alias("name")).distinct()
+    t = F.trim("title")
+    odd = m.select(F.concat(F.substring(t, 1, 4), t.substr(F.lit(4), F.length(t))).alias("name")).distinct()
     return R.map_names(odd, mapping)
 
 
@@ -572,7 +605,15 @@ def q05_learning_paths(spark, d):
     return T.paths_into(_seeds(g), g.edges, 3).select("seed", F.array_join("path", " > ").alias("path"), "steps")
 
 
-@query()
+_FIVE = (
+    "with recursive " + CANON + EDGES + """, sd as (select title as seed from canon order by md5(title) limit 5),
+w as (select seed, [seed] as path, 0 as steps from sd union all select seed, list_prepend(pre.source, path), steps + 1 from w join pre on pre.target = path[1]
+ where steps < 5 and not list_contains(list_transform(range(1, len(path)), lambda i: concat(path[i], chr(1), path[i + 1])), concat(pre.source, chr(1), path[1])))
+select seed, array_to_string(path, ' > ') as path, cast(steps as integer) as steps from (select *, row_number() over (partition by seed order by steps, path) as r from w where steps > 0) where r <= 5"""
+)
+
+
+@query(_FIVE, "v_mention v_relation")
 def q05_shortest_five(spark, d):
     """The five shortest learning paths of up to five steps to each seed."""
     from pyspark.sql import Window as W
@@ -594,6 +635,13 @@ def q07_neighbourhood(spark, d):
     return Q.neighbourhood(g.vertices, g.edges, g.vertices.orderBy(F.md5("title")).first().title.upper())
 
 
+@graph_query("select title from canon where contains(lower(title), 'anvil') order by title limit 5")
+def q07_suggestions(spark, d):
+    """For a title that the graph does not have."""
+    g = graph_of(spark, d)
+    return Q.suggestions(g.vertices, "Anvil of nowhere")
+
+
 @graph_query("select title, definition, difficulty, 0 as depth, 'seed' as relation from canon where title in (select title from hits) and mention_count > 2")
 def q08_seed_lookup(spark, d):
     g = graph_of(spark, d)
@@ -655,6 +703,13 @@ def q15_topological_order(spark, d):
     return T.kahn_orders(_set(g), g.edges)
 
 
+@query()
+def q16_levels_whole_graph(spark, d):
+    """Over all prerequisite edges, cycles among them: vertices on and behind these have no level."""
+    g = graph_of(spark, d)
+    return T.topological_levels(g.vertices, g.edges)
+
+
 _DAG = ", dag as (select source, target from pre where source < target and substring(md5(source || target), 1, 1) < '4')"
 
 
@@ -705,10 +760,8 @@ def v05_collection_stats(spark, d):
 
 def _retrieved(spark, d):
     """Concept number n in title order has vector n; the queries are the search's."""
-    from pyspark.sql import Window as W
-
     g = graph_of(spark, d)
-    number = g.vertices.select("title", (F.row_number().over(W.orderBy("title")) - 1).cast("long").alias("id"))
+    number = V.numbered(g.vertices.select("title"), "title")
     seeds = _near(spark, d).join(number, "id").select("query_id", "title", "rank")
     queries = view(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
     return g, queries, seeds
@@ -736,10 +789,8 @@ def h01_retrieve_concepts(spark, d):
 
 @graph_query(_RETR + ", explicit as (select query_id, title, 1 as rank from (select distinct query_id from seeds) cross join (select title from num where id in (3, 40))) select query_id, title, cast(row_number() over (partition by query_id order by s, rank, title) as integer) as rank from (select query_id, title, min(s) as s, arg_min(rank, s) as rank from (select query_id, title, 0 as s, rank from explicit union all select query_id, seed, 1, rank from seeds) group by query_id, title)")
 def h02_explicit_seeds(spark, d):
-    from pyspark.sql import Window as W
-
     g, _, seeds = _retrieved(spark, d)
-    two = g.vertices.select("title", (F.row_number().over(W.orderBy("title")) - 1).alias("id")).where("id in (3, 40)").select("title", F.lit(1).alias("rank"))
+    two = V.numbered(g.vertices.select("title"), "title").where("id in (3, 40)").select("title", F.lit(1).alias("rank"))
     explicit = seeds.select("query_id").distinct().join(F.broadcast(two))
     return H.union_seeds(explicit, seeds)
 
@@ -777,6 +828,43 @@ def h06_math_delimiters(spark, d):
 # --- sources, sinks, streams ------------------------------------------------------------------------
 
 
+def _scratch(spark, name):
+    import uuid
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_CHUNK_ROW = "chunk_id string, text string, source_url string, source_type string, source_title string, chunk_index int, token_count int"
+
+
+@query(_CHUNKS + " select chunk_id, text, source_url, source_type, source_title, chunk_index, token_count from ch", "v_document")
+def s01_json_arrays(spark, d):
+    """Chunks written as JSON arrays and read back."""
+    path = _scratch(spark, "chunks")
+    io.write_json_arrays(D.chunk(view(spark, d, "v_document")), path, "chunk_id")
+    return io.read_json_array(spark, path, _CHUNK_ROW)
+
+
+@query(_LINKS.replace("select url as page, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href", "select url as page, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href") + f" select url, arg_min(case kind when 'image' then 'external' else kind end, page) as resource_type, min(page) as discovered_from from (select page, url, {_CLASS} as kind from l) where kind <> 'internal' group by url")
+def k01_discover_stream(spark, d):
+    """Pages come as a stream of files, in one batch; resources are stored by batch."""
+    base = _scratch(spark, "discover")
+    view(spark, d, "pages").write.parquet(f"{base}/pages")
+    pages = spark.readStream.schema(view(spark, d, "pages").schema).parquet(f"{base}/pages")
+    upserts.discover_stream(pages, SCOPE, f"{base}/store", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/store").select("url", "resource_type", "discovered_from")
+
+
+@query(ORACLE_SQL["d06_failure_log"])
+def k02_failure_stream(spark, d):
+    """Attempts come as a stream of files, one a batch; the state is a row a url."""
+    base = _scratch(spark, "failures")
+    a = view(spark, d, "v_attempt")
+    a.repartitionByRange(3, "ts", "event_id").write.parquet(f"{base}/attempts")
+    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/attempts")
+    return upserts.run_failures(spark, stream, f"{base}/store", f"{base}/checkpoint").drop("first_failed_at", "last_failed_at")
+
+
 @query(_CHUNKS + " select chunk_id, text, source_url, coalesce(nullif(source_type, 'src3'), 'unknown') as source_type, source_title, chunk_index, token_count from ch", "v_document")
 def s02_export_chunks(spark, d):
     return io.export_chunks(D.chunk(view(spark, d, "v_document")).withColumn("source_type", F.when(F.col("source_type") != "src3", F.col("source_type"))))
@@ -795,25 +883,26 @@ def s04_upsert(spark, d):
     return io.upsert(base, updates, "user_id", "event_id")
 
 
-@graph_query("select 'Concept' as label, title as key, difficulty as about from canon union all select distinct 'Resource', url, case when contains(lower(url), 'youtu') then 'video' when lower(url) like '%.pdf' then 'pdf' when lower(url) like '%.pptx' then 'slide' else 'web' end from x")
+@graph_query("select 'Concept' as label, title as key, difficulty as about from canon union all select distinct 'Resource', url, case when contains(lower(url), 'youtu') then 'video' when lower(url) like '%.pdf' then 'pdf' when lower(url) like '%.pptx' then 'slide' else 'web' end from x union all select 'Example', example_id, example_type from ex")
 def s05_graph_export_nodes(spark, d):
     g = graph_of(spark, d)
-    nodes, _ = io.graph_export(g.vertices, g.resources, g.explains, g.edges)
+    nodes, _ = io.graph_export(g.vertices, g.resources, g.explains, g.edges, g.examples, g.exemplifies)
     p = F.col("properties")
-    return nodes.select("label", F.coalesce(p["title"], p["url"]).alias("key"), F.coalesce(p["difficulty"], p["type"]).alias("about"))
+    return nodes.select("label", F.coalesce(p["title"], p["url"], p["example_id"]).alias("key"), F.coalesce(p["difficulty"], p["type"], p["example_type"]).alias("about"))
 
 
-@graph_query("select 'Concept' as from_label, source as from_key, rel_type as type, target as to_key from e union all select 'Resource', url, 'EXPLAINS', concept from x")
+@graph_query("select 'Concept' as from_label, source as from_key, rel_type as type, target as to_key from e union all select 'Resource', url, 'EXPLAINS', concept from x union all select 'Example', example_id, 'EXEMPLIFIES', concept from lk")
 def s06_graph_import_edges(spark, d):
     g = graph_of(spark, d)
-    nodes, rel = io.graph_export(g.vertices, g.resources, g.explains, g.edges)
+    nodes, rel = io.graph_export(g.vertices, g.resources, g.explains, g.edges, g.examples, g.exemplifies)
     _, edges = io.graph_import(nodes.unionByName(nodes), rel.unionByName(rel))
     return edges.select("from_label", "from_key", "type", "to_key")
 
 
-@query("select 'nation' as name, count(*) as rows, 3 as columns from nation union all select 'region', count(*), 2 from region union all select 'part', count(*), 6 from part")
-def s07_snapshot_manifest(spark, d):
-    import tempfile
+#: The columns of the test tables.
+_COLUMNS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return io.snapshot({n: view(spark, d, n) for n in ("nation", "region", "part")}, f"{base}/snapshot-{spark.sparkContext.applicationId}")
+
+@query(" union all ".join(f"select '{n}' as name, count(*) as rows, {k} as columns from {n}" for n, k in _COLUMNS.items()))
+def s07_snapshot_manifest(spark, d):
+    return io.snapshot({n: view(spark, d, n) for n in TABLES}, _scratch(spark, "snapshot"))

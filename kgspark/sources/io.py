@@ -14,6 +14,14 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, key: str, rows: int = 1000) -> None:
+    """Text files with one JSON array of about `rows` objects each, dealt by key."""
+    files = df.count() // rows + 1
+    text = df.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("file"), F.to_json(F.struct(*df.columns)).alias("row"))
+    whole = text.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value"))
+    whole.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -46,12 +54,16 @@ def upsert_counts(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return u.agg(F.count_if(F.col("_old").isNull()).alias("inserted"), F.count_if(F.col("_old").isNotNull()).alias("updated"))
 
 
-def graph_export(vertices: DataFrame, resources: DataFrame, explains: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def graph_export(vertices: DataFrame, resources: DataFrame, explains: DataFrame, edges: DataFrame, examples: DataFrame | None = None, exemplifies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes: label, properties map; relationships: from_label, from_key, type, properties, to_label, to_key)."""
     m = lambda *cs: F.create_map(*[x for c in cs for x in (F.lit(c), F.col(c).cast("string"))])
     nodes = vertices.select(F.lit("Concept").alias("label"), m("title", "definition", "difficulty", "mention_count").alias("properties")).unionByName(resources.select(F.lit("Resource").alias("label"), m("url", "type").alias("properties")))
+    if examples is not None:
+        nodes = nodes.unionByName(examples.select(F.lit("Example").alias("label"), m("example_id", "text", "concept", "example_type", "chunk_id", "source_url").alias("properties")))
     rel = edges.select(F.lit("Concept").alias("from_label"), F.col("source").alias("from_key"), F.col("rel_type").alias("type"), m("count").alias("properties"), F.lit("Concept").alias("to_label"), F.col("target").alias("to_key"))
     none = F.create_map().cast("map<string,string>")
+    if exemplifies is not None:
+        rel = rel.unionByName(exemplifies.select(F.lit("Example").alias("from_label"), F.col("example_id").alias("from_key"), F.lit("EXEMPLIFIES").alias("type"), none.alias("properties"), F.lit("Concept").alias("to_label"), F.col("concept").alias("to_key")))
     return nodes, rel.unionByName(explains.select(F.lit("Resource").alias("from_label"), F.col("url").alias("from_key"), F.lit("EXPLAINS").alias("type"), none.alias("properties"), F.lit("Concept").alias("to_label"), F.col("concept").alias("to_key")))
 
 

@@ -59,12 +59,14 @@ def with_views(names: str, sql: str) -> str:
     return f"with {parts} {body}"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a table, as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view, or a table, as a DataFrame; views in `given` are taken as they are there."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    frames = {}
+    frames = dict(given or {})
     for n in _closure([name]):
+        if n in frames:
+            continue
         frames[n] = spark.sql(
             _with_places(VIEWS[n]), **{k: frames[k] if k in frames else spark.read.parquet(f"{sf_dir}/{k}.parquet") for k in _used(VIEWS[n])}
         )

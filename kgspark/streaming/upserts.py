@@ -22,10 +22,10 @@ def discover_stream(stream: DataFrame, scope: Scope, store: str, checkpoint: str
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(store).where(F.col("batch") < number)
-        except Exception:  # noqa: BLE001  nothing stored yet
-            known = None
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+        stored = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        # the batch's own folder may be there from a run that was cut short
+        known = spark.read.schema("url string, batch long").parquet(store).where(F.col("batch") < number) if stored else None
         new = resources.discover(page_resource_links(batch, scope), known)
         new.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
@@ -38,8 +38,14 @@ def failure_stream(attempts: DataFrame, watermark: str | None = None) -> DataFra
     return resources.failures(s)
 
 
-def run_failures(spark: SparkSession, source: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """The final state of failure_stream over what there is now."""
-    q = failure_stream(source).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_failures(spark: SparkSession, source: DataFrame, store: str, checkpoint: str) -> DataFrame:
+    """The final state of failure_stream over what there is now; each batch writes the urls that changed, and the last row of a url stands."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    q = failure_stream(source).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.parquet(store)
+    names = [c for c in rows.columns if c not in ("url", "batch")]
+    return rows.groupBy("url").agg(F.max_by(F.struct(*names), "batch").alias("x")).select("url", "x.*")

@@ -1,5 +1,8 @@
 """Rules of the graph operators on literal rows, against plain Python, and a sample of the registered queries against DuckDB."""
 
+import random
+from urllib.parse import urljoin
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -36,8 +39,6 @@ def test_lcs_and_titles(spark):
 
 
 def test_similar_pairs_and_leaders_equal_greedy(spark):
-    import random
-
     rng = random.Random(1)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(120)})
     df = spark.createDataFrame([(w,) for w in words], "title string")
@@ -64,6 +65,11 @@ def test_urls(spark):
     rows = [("https://h.org/a//", "https://h.org/a"), ("/c#f", "https://h.org/c"), ("d.pdf", "https://h.org/a/d.pdf"), ("//o.org/x", "https://o.org/x"), ("?q=1", "https://h.org/a/b?q=1"), ("#z", "https://h.org/a/b?x=1")]
     df = spark.createDataFrame(rows[:5], "h string, n string")
     assert df.where(urls.normalize(F.col("h"), F.lit(base)) != F.col("n")).count() == 0
+    rng = random.Random(2)
+    bases = ["https://h.org", "https://h.org/", "https://h.org/a/b/c?q=/x/../y", "https://h.org/a//b/", "https://h.org/a/./b/../c/d.html"]
+    links = {(rng.choice(bases), rng.choice(["", "/"]) + "/".join(rng.choice(["..", ".", "a", "b.pdf", "..c"]) for _ in range(rng.randint(1, 5))) + rng.choice(["", "/", "?x=../y", "/..", "/."])) for _ in range(300)}
+    df = spark.createDataFrame([(b, h, urljoin(b, h)) for b, h in links], "b string, h string, n string")
+    assert [tuple(r) for r in df.where(urls.resolve(F.col("h"), F.col("b")) != F.col("n")).select("b", "h", "n", urls.resolve(F.col("h"), F.col("b"))).limit(5).collect()] == []
     v = spark.createDataFrame([("https://youtu.be/abc/", "abc"), ("https://www.youtube.com/embed/x_1/2", "x_1"), ("https://www.youtube.com/watch?v=a-b&t=1", "a-b")], "u string, v string")
     assert v.where(urls.video_id(F.col("u")) != F.col("v")).count() == 0
 
@@ -88,6 +94,9 @@ def test_cycles_and_levels(spark):
     assert {r.seed: r.chain for r in T.longest_chain(seeds, e, 2).collect()} == {"a": ["a", "b", "a"], "q": ["q"]}
     v = spark.createDataFrame([(t,) for t in "abcxyq"], "title string")
     assert {r.title: r.level for r in T.topological_levels(v, e).collect()} == {"a": None, "b": None, "c": None, "x": 0, "y": 1, "q": 0}
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "url string, link string")
+    start = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    assert {tuple(r) for r in T.reachable(start("a"), links).collect()} == {("a", 0), ("b", 1), ("c", 2)} and T.reachable(start(), links).count() == 0
     c = spark.createDataFrame([(1, t, i) for i, t in enumerate("cbay")], "query_id long, title string, pos int")
     assert [r.title for r in T.kahn_orders(c, e).orderBy("place").collect()] == ["y", "c", "b", "a"]
 
@@ -107,7 +116,7 @@ def test_streams_equal_batch(spark, tmp_path):
     src = src.withColumn("ts", F.timestamp_seconds("t")).drop("t")
     src.repartition(3).write.parquet(str(tmp_path / "a"))
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a"))
-    got = upserts.run_failures(spark, stream, "failed_now", str(tmp_path / "c1"))
+    got = upserts.run_failures(spark, stream, str(tmp_path / "s1"), str(tmp_path / "c1"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in RS.failures(src).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").limit(40)
     pages.repartition(3).write.parquet(str(tmp_path / "p"))
