@@ -180,12 +180,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     return prints.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets given as sorted distinct values; 1 if both are empty."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / total if (total := len(a) + len(b) - both) else 1.0
-
-
 BINS = 128  # of a sketch, a byte each
 
 
@@ -237,66 +231,92 @@ def set_fingerprint(h: np.ndarray, block: int = 1 << 15) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def _near_pairs(radius: int, least: float, slack: float, forest: bool, at_once: int = 1 << 16):
-    """Pairs of two tiles, of different labels, within the radius, of sizes that allow the similarity.
-
-    All those whose sketches come within slack of it; or, as a forest, a few
-    that join what the sketches take for similar, the likest of each block first.
-    """
+def _involved(radius: int, least: float, slack: float):
+    """Of two tiles, the rows that have a candidate: within the radius, of a size and a sketch that allow the similarity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 same = r.tile == r.tile2
-                x, y = (np.frombuffer(v, "<i8").reshape(-1, 4) for v in (r.xs, r.xs2))
+                x, y = (np.frombuffer(v, "<i8").reshape(-1, 3) for v in (r.xs, r.xs2))
                 m, m2 = (np.frombuffer(v, np.uint8).reshape(-1, BINS) for v in (r.ms, r.ms2))
-                labels, flat = np.unique(np.concatenate([x[:, 3], y[:, 3]]), return_inverse=True)
-                part = np.arange(len(labels))  # of labels joined so far
-                lx, ly = flat[: len(x)], flat[len(x) :]
-                us, vs, held = [], [], 0
+                ax, ay = np.zeros(len(x), bool), np.zeros(len(y), bool)
+                low, high = np.ceil(least * y[:, 1] - 1e-6), np.floor(y[:, 1] / least + 1e-6)
                 for i in range(0, len(x), 128):
                     some = x[i : i + 128]
                     near = np.bitwise_count(some[:, 0].view(np.uint64)[:, None] ^ y[:, 0].view(np.uint64)) <= radius
-                    near &= np.minimum(some[:, None, 1], y[None, :, 1]) >= least * np.maximum(some[:, None, 1], y[None, :, 1])
-                    near &= part[lx[i : i + 128]][:, None] != part[ly][None, :]
-                    a, b = np.nonzero(near)
-                    a = a + i
+                    near &= (some[:, None, 1] >= low) & (some[:, None, 1] <= high)
                     if same:
-                        a, b = a[a < b], b[a < b]
-                    like = likeness(m, m2, a, b)
-                    if forest:
-                        kept = np.flatnonzero(like >= least)
-                        for k in kept[np.argsort(-like[kept], kind="stable")]:
-                            p, q = part[lx[a[k]]], part[ly[b[k]]]
-                            if p != q:
-                                part[part == max(p, q)] = min(p, q)
-                                us.append(x[a[k] : a[k] + 1, 2])
-                                vs.append(y[b[k] : b[k] + 1, 2])
-                        continue
-                    kept = like >= least - slack
-                    us.append(x[a[kept], 2])
-                    vs.append(y[b[kept], 2])
-                    held += len(us[-1])
-                    if held > at_once:
-                        yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-                        us, vs, held = [], [], 0
-                if us:
-                    yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+                        near[np.arange(len(some)), np.arange(i, i + len(some))] = False
+                    # one pair settles both rows; later ones of two settled rows say nothing new
+                    while True:
+                        near &= ~(ax[i : i + 128, None] & ay[None, :])
+                        a, b = np.nonzero(near)
+                        if not len(a):
+                            break
+                        a, b = a[:4096], b[:4096]
+                        near[a, b] = False
+                        kept = likeness(m, m2, a + i, b) >= least - slack
+                        ax[a[kept] + i] = True
+                        ay[b[kept]] = True
+                        if same:
+                            ax |= ay
+                            ay |= ax
+                found = [("x", x[ax, 2])] if same else [("x", x[ax, 2]), ("y", y[ay, 2])]
+                yield pd.concat([pd.DataFrame({"tile": r.tile, "tile2": r.tile2, "side": k, "doc_id": v}) for k, v in found])
+
+    return run
+
+
+def _block_links(shingle: int, seed: int, least: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Forest of the pairs of a block's texts, of both sides, whose sets of shingles have the similarity."""
+        rows = rows.sort_values("doc_id")
+        ids, left = rows["doc_id"].to_numpy(), (rows["side"] == "x").to_numpy()
+        sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in rows["text"]]
+        sizes = np.array([len(v) for v in sets])
+        _, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(sets)), sizes)
+        kept = often[flat] > 1  # what one text alone has is in no intersection
+        flat, of = flat[kept], of[kept]
+        starts = np.searchsorted(of, np.arange(len(sets) + 1))
+        part, held = np.arange(len(sets)), np.zeros(len(often), bool)
+        us, vs = [], []
+        alone = not (~left).any()
+        for u in np.flatnonzero(left):
+            other = part != part[u]
+            if not alone:
+                other &= ~left
+            if not other.any():
+                continue
+            mine = flat[starts[u] : starts[u + 1]]
+            held[mine] = True
+            both = np.diff(np.concatenate([[0], np.cumsum(held[flat])])[starts])
+            held[mine] = False
+            alike = np.flatnonzero(other & (both >= least * (sizes + sizes[u] - both) - 1e-9))
+            for v in alike:
+                p, q = part[u], part[v]
+                if p != q:
+                    part[part == max(p, q)] = min(p, q)
+                    us.append(ids[u])
+                    vs.append(ids[v])
+        return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
 
     return run
 
 
-def _candidates(distinct: DataFrame, radius: int, least: float, slack: float, forest: bool, tile_rows: int) -> DataFrame:
-    """distinct (fp, n, rep, label, mins) → pairs (u, v) of reps within the radius, by tiles of like sizes."""
+def _set_links(distinct: DataFrame, texts: DataFrame, shingle: int, seed: int, radius: int, least: float, slack: float, tile_rows: int, tile_shingles: int) -> DataFrame:
+    """distinct (fp, n, rep, mins) → verified links (u, v) of reps whose closure is that of all within the radius."""
     spark = distinct.sparkSession
     # sets of similarity `least` have sizes in adjacent cells; 1e-9 keeps rounding on the near side
     cells = distinct.where("n > 0").withColumn("cell", F.floor(F.log("n") / F.lit(-math.log(least) + 1e-9)))
-    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile_rows)).alias("chunks"))
+    rows = F.greatest(F.lit(64), F.least(F.lit(tile_rows), F.floor(F.lit(tile_shingles) / F.max("n"))))
+    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("chunks"))  # a row a cell
     tiles = (
         cells.join(F.broadcast(parts), "cell")
         .withColumn("tile", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("rep"), F.col("chunks")))
         .groupBy("tile", "cell")
-        .agg(F.collect_list(F.struct(F.array("fp", "n", "rep", "label").alias("x"), "mins")).alias("xs"))
+        .agg(F.collect_list(F.struct(F.array("fp", "n", "rep").alias("x"), "mins")).alias("xs"))
         .mapInPandas(_pack_sets, "tile long, cell long, xs binary, ms binary")
     )
     tiles = materialize(tiles, "tiles")
@@ -304,7 +324,9 @@ def _candidates(distinct: DataFrame, radius: int, least: float, slack: float, fo
     pairs = names.join(tiles.select(F.col("tile").alias("tile2"), "cell"), "cell").where("tile <= tile2").select("tile", "tile2")
     wide = pairs.join(tiles.select("tile", "xs", "ms"), "tile").join(tiles.select(F.col("tile").alias("tile2"), F.col("xs").alias("xs2"), F.col("ms").alias("ms2")), "tile2")
     wide = wide.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile", "tile2")
-    return wide.mapInPandas(_near_pairs(radius, least, slack, forest), "u long, v long")
+    involved = materialize(wide.mapInPandas(_involved(radius, least, slack), "tile long, tile2 long, side string, doc_id long"), "involved")
+    # a block has the rows of two tiles at most
+    return involved.join(texts, "doc_id").groupBy("tile", "tile2").applyInPandas(_block_links(shingle, seed, least), "u long, v long")
 
 
 def _pack_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,51 +334,22 @@ def _pack_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"tile": b["tile"], "cell": b["cell"], "xs": [np.array([list(t["x"]) for t in xs], dtype="<i8").tobytes() for xs in b["xs"]], "ms": [b"".join(t["mins"] for t in xs) for xs in b["xs"]]})
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, least: float) -> DataFrame:
-    """The pairs whose sets of shingles, made anew from the texts, have the similarity."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            memo: dict[str, np.ndarray] = {}
-
-            def of(t: str) -> np.ndarray:
-                if t not in memo:
-                    memo[t] = np.unique(shingle_hashes(t, shingle, seed))
-                return memo[t]
-
-            yield b.loc[[jaccard(of(t), of(t2)) >= least for t, t2 in zip(b["text"], b["text2"])], ["u", "v"]]
-
-    wide = pairs.join(texts.select(F.col("doc_id").alias("u"), "text"), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text2")), "v")
-    return wide.select("u", "v", "text", "text2").mapInPandas(run, "u long, v long")
-
-
 def similar_groups(
-    docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 18, slack: float = 0.175, seed: int = 42, tile_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 18, slack: float = 0.175, seed: int = 42, tile_rows: int = 4096, tile_shingles: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id) for rows with distinct, non-null ids: closure of pairs whose sets of word shingles have Jaccard `least`.
 
     Equal sets are one vertex. SimHash finds candidates within `radius` bits,
     among sets of sizes that allow the similarity and sketches that come within
-    `slack` of it (five standard errors); each is verified by the exact sets.
-    Forests of what the sketches take for similar are verified first, as often
-    as that joins more, so that a group of k copies costs about k pairs; then
-    all candidates whose ends are not yet in one component. Wordless texts are
-    equal.
+    `slack` of it (five standard errors), by pairs of tiles; of each pair of
+    tiles the rows with a candidate meet with their texts, and a spanning forest
+    of the pairs whose exact sets have the similarity goes on: a group of k
+    texts costs k rows, alike or not. Tiles hold at most tile_rows rows and about
+    tile_shingles shingles. Wordless texts are equal.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialize(_sketches(texts, shingle, seed), "sketches")
     distinct = materialize(prints.groupBy("fp", "n", "digest").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "sets")
-    none = docs.sparkSession.createDataFrame([], "u long, v long")
-    close, parts, forest = none, none.select(F.col("u").alias("id"), F.col("v").alias("component")), True
-    while True:
-        labelled = distinct.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("component", "rep").alias("label"), "mins")
-        pairs = materialize(_candidates(labelled, radius, least, slack, forest, tile_rows).distinct(), "pairs")
-        more = materialize(_verified(pairs, texts, shingle, seed, least), "close")
-        if joined := bool(more.head(1)):
-            close = close.unionByName(more)
-            parts = materialize(connected_components(close), "parts")
-        if not forest:
-            break
-        forest = joined
+    parts = connected_components(_set_links(distinct, texts, shingle, seed, radius, least, slack, tile_rows, tile_shingles))
     by_set = distinct.join(parts, distinct.rep == parts.id, "left").select("fp", "n", "digest", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(by_set, ["fp", "n", "digest"]).select("doc_id", "component_id")
