@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,22 +36,20 @@ def infer(rows: DataFrame, model: Callable[[list[str]], list[str]], batch: int =
     return rows.mapInPandas(run, schema)
 
 
+THOUGHT = re.compile(r"(?s)\A(?=.*<think>).*?</think>")
+FENCE = re.compile(r"\A\s*(?:```json)?(?:```)?|```\s*\Z")
+BRACE = re.compile(r"[{}]")
+
+
 def clean(text: str | None) -> str:
     """The first brace-balanced object of a model's answer, without thinking and fences. Braces inside strings count."""
-    t = (text or "").strip()
-    if "<think>" in t and "</think>" in t:
-        t = t.split("</think>", 1)[1].strip()
-    for fence in ("```json", "```"):
-        t = t.removeprefix(fence)
-    t = t.removesuffix("```").strip()
-    at = t.find("{")
-    t = t[at:] if at > 0 else t
-    depth = 0
-    for i, c in enumerate(t):
-        depth += (c == "{") - (c == "}")
-        if c == "}" and depth == 0:
-            return t[: i + 1]
-    return t
+    t = FENCE.sub("", THOUGHT.sub("", text or "", 1)).strip()
+    start, depth = max(t.find("{"), 0), 0
+    for m in BRACE.finditer(t, start):
+        depth += 1 if m[0] == "{" else -1
+        if depth == 0:
+            return t[start : m.end()]
+    return t[start:]
 
 
 def _text(x: object) -> str | None:

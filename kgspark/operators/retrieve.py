@@ -71,22 +71,22 @@ def context(queries: DataFrame, concepts: DataFrame, order: DataFrame, resources
     nl = F.lit("\n")
     c = concepts.join(order, ["query_id", "title"])
     head = F.concat(nl, F.lit("**"), (F.col("place") + 1).cast("string"), F.lit(". "), F.col("title"), F.lit("** ["), F.when(F.col("difficulty") != "", F.col("difficulty")).otherwise("unknown"), F.lit("]"))
-    text = F.when(F.col("definition") != "", F.col("definition")).otherwise("No definition available.")
-    note = F.when(F.col("relation") != "seed", F.concat(nl, F.lit("*(Relationship: "), F.col("relation"), F.lit(" of "), F.col("seed"), F.lit(")*"))).otherwise("")
+    text = F.when(F.col("definition") != "", F.col("definition")).otherwise("(not defined)")
+    note = F.when(F.col("relation") != "seed", F.concat(nl, F.lit("stands as "), F.col("relation"), F.lit(" to "), F.col("seed"))).otherwise("")
     s1 = _lines(c, ["place"], F.concat(head, nl, text, note), "c")
     e = examples.join(order.withColumnRenamed("title", "concept"), ["query_id", "concept"])
-    source = F.when(F.coalesce("source_url", F.lit("")) != "", F.concat(nl, F.lit("  Source: "), F.col("source_url"))).otherwise("")
-    line = F.concat(F.when(F.col("r") == 1, F.concat(nl, F.lit("**Examples for "), F.col("concept"), F.lit(":**"), nl)).otherwise(""), F.lit("- ["), F.col("example_type"), F.lit("] "), F.col("text"), source)
+    source = F.when(F.coalesce("source_url", F.lit("")) != "", F.concat(nl, F.lit("  from "), F.col("source_url"))).otherwise("")
+    line = F.concat(F.when(F.col("r") == 1, F.concat(nl, F.lit("#### "), F.col("concept"), nl)).otherwise(""), F.lit("- ["), F.col("example_type"), F.lit("] "), F.col("text"), source)
     s2 = _lines(e, ["place", "r"], line, "e")
     w = W.partitionBy("query_id", "type").orderBy("url")
     r = resources.withColumn("r", F.row_number().over(w)).where("r <= 5")
-    line = F.concat(F.when(F.col("r") == 1, F.concat(nl, F.lit("**"), F.upper("type"), F.lit(" Resources:**"), nl)).otherwise(""), F.lit("- "), F.col("url"), nl, F.lit("  Explains: "), F.array_join(F.slice("concepts", 1, 3), ", "))
+    line = F.concat(F.when(F.col("r") == 1, F.concat(nl, F.lit("#### "), F.col("type"), nl)).otherwise(""), F.lit("- "), F.col("url"), nl, F.lit("  on "), F.array_join(F.slice("concepts", 1, 3), ", "))
     s3 = _lines(r, ["type", "r"], line, "r")
     s4 = _lines(chain.where("size(chain) > 1"), ["rank"], F.concat(F.lit("- "), F.array_join("chain", " → ")), "p")
     out = queries.select("query_id").join(s1, "query_id", "left").join(s2, "query_id", "left").join(s3, "query_id", "left").join(s4, "query_id", "left")
     section = lambda title, col: F.when(F.col(col).isNotNull(), F.concat(F.lit(title), nl, F.array_join(col, "\n")))
-    first = F.concat(F.lit("### Relevant Concepts (ordered from foundational to advanced)"), F.when(F.col("c").isNotNull(), F.concat(nl, F.array_join("c", "\n"))).otherwise(""))
-    return out.select("query_id", F.concat_ws("\n", first, section("\n### Examples from Course Materials", "e"), section("\n### Available Resources for Further Reading", "r"), section("\n### Learning Path (Prerequisites → Target)", "p")).alias("context"))
+    first = F.concat(F.lit("### Concepts, basics first"), F.when(F.col("c").isNotNull(), F.concat(nl, F.array_join("c", "\n"))).otherwise(""))
+    return out.select("query_id", F.concat_ws("\n", first, section("\n### Worked examples", "e"), section("\n### Where to read on", "r"), section("\n### Ways to get there", "p")).alias("context"))
 
 
 def answer_prompt(rows: DataFrame) -> DataFrame:

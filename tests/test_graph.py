@@ -101,6 +101,48 @@ def test_cycles_and_levels(spark):
     assert [r.title for r in T.kahn_orders(c, e).orderBy("place").collect()] == ["y", "c", "b", "a"]
 
 
+def test_clean_and_context(spark):
+    want = {None: "", " ```json\n{}\n``` ": "{}", "``` {a}": "{a}", "x } {a{b}c} d }": "{a{b}c}", "<think>{</think>{b": "{b", "no </think> {c}": "{c}", "plain ```": "plain", "{{": "{{"}
+    assert {t: E.clean(t) for t in want} == want
+    q = spark.createDataFrame([(1,), (2,)], "query_id long")
+    c = spark.createDataFrame([(1, "B", "", "easy", "seed", "B", 1), (1, "A", "what A is", "", "prerequisite", "B", 2)], "query_id long, title string, definition string, difficulty string, relation string, seed string, pos int")
+    order = spark.createDataFrame([(1, "A", 0), (1, "B", 1)], "query_id long, title string, place int")
+    r = spark.createDataFrame([(1, "u2", "web", ["A", "B", "C", "D"]), (1, "u1", "web", ["A"]), (1, "p", "pdf", ["B"])], "query_id long, url string, type string, concepts array<string>")
+    x = spark.createDataFrame([(1, "B", "e1", "code", "do B", "s", 1), (1, "B", "e2", "math", "count B", "", 2)], "query_id long, concept string, example_id string, example_type string, text string, source_url string, r int")
+    ch = spark.createDataFrame([(1, 1, ["A", "B"]), (1, 2, ["B"])], "query_id long, rank int, chain array<string>")
+    text = """### Concepts, basics first
+
+**1. A** [unknown]
+what A is
+stands as prerequisite to B
+
+**2. B** [easy]
+(not defined)
+
+### Worked examples
+
+#### B
+- [code] do B
+  from s
+- [math] count B
+
+### Where to read on
+
+#### pdf
+- p
+  on B
+
+#### web
+- u1
+  on A
+- u2
+  on A, B, C
+
+### Ways to get there
+- A → B"""
+    assert {t.query_id: t.context for t in H.context(q, c, order, r, x, ch).collect()} == {1: text, 2: "### Concepts, basics first"}
+
+
 def test_math_and_upsert(spark):
     t = spark.createDataFrame([("a \\[x\ny\\] \\(z\\)",)], "t string")
     assert t.select(H.math_delimiters(F.col("t"))).first()[0] == "a $$x\ny$$ $z$"
