@@ -1,6 +1,6 @@
 """Language-model scores of whole documents: a unigram base, and a causal self-attention model.
 
-Documents are packed into chunks of about a megabyte with their words as
+Documents are packed into chunks of about two megabytes with their words as
 places in the chunk's list of distinct words, so that each word is hashed and
 tokenized once a chunk. Word counts travel as arrays of hashes, by hash bucket;
 model parameters are trained in each task, on every training document, and
@@ -25,7 +25,7 @@ from kgspark.llm.common import lower_words, materialize
 from kgspark.llm.tokenids import WordEncoder
 
 CHUNK = "chunk long, n_train long, docs binary, words binary, hashes binary, pieces binary"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 REMEMBER = 200_000  # words whose ids a Python worker keeps; a memory bound, not a cut
 LOG10 = np.log(10)
 NONE = 0xFFFFFFFF  # first id of a word without ids

@@ -1,6 +1,5 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, with nulls, empty and long texts, ties, repeats and empty tables."""
 
-import hashlib
 import math
 import re
 import zlib
@@ -220,6 +219,16 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(docs, toxicity.learn(docs, lb.limit(0))).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("sf, found, spared", [("sf0.01", 0.6, 1.0), ("sf0.1", 0.9, 0.98)])
+def test_toxicity_on_held_out_labels(spark, sf, found, spared):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.learn(docs, toxicity.training_labels(labels)))
+    rows = got.join(labels.where(in_split(F.col("doc_id"), 5, 0)).select("doc_id", "toxic"), "doc_id").collect()
+    bad, good = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
+    assert sum(bad) >= found * len(bad) and sum(good) <= (1 - spared) * len(good)
+    assert got.where("predicted = 0").count() > 0.8 * docs.count()
+
+
 def test_automata_equal_edit_distance():
     lexicon = toxicity.Lexicon({"moron": 1.0, "worthless": 1.0, "scum": 1.0})
 
@@ -394,7 +403,7 @@ def test_pipeline_equals_its_operators(spark):
     rows = out.collect()
     assert len(rows) == sum(again.values()) and {r.doc_id for r in rows} == set(again)
     clean = [r for r in docs.collect() if not any(w in r.text for w in ("idiot", "clown", "scum", "moron", "loser", "trash", "stupid", "pathetic", "worthless", "disgusting"))]
-    assert hashlib.md5(b"").hexdigest() and len({r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf).collect()} & {r.doc_id for r in clean}) == len(clean)
+    assert len({r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf).collect()} & {r.doc_id for r in clean}) == len(clean)
 
 
 def test_pipeline_rows_are_judged_by_their_own_text(spark, tmp_path):
