@@ -138,6 +138,11 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[frozenset[
     return whole.groupBy("doc").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with value computed once a row however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start, rank, stop>> of a rule's matches in code points, leftmost first, short ones dropped."""
     gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -146,9 +151,9 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     wide = lambda x: (F.coalesce(x["gap"], F.lit(0)) + F.coalesce(x["len"], F.lit(0))).cast("long")
     zero, ends = F.lit(0).cast("long"), F.array().cast("array<long>")
     # running sums over blocks of matches, and inside each block: appending to one long array would take quadratic time
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / SPANS).cast("int")), lambda k: F.slice(steps, k * SPANS + 1, F.lit(SPANS)))
+    blocks = _once(steps, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / SPANS).cast("int")), lambda k: F.slice(all_, k * SPANS + 1, F.lit(SPANS))))
     upto = lambda xs: F.aggregate(xs, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    starts = upto(F.transform(blocks, lambda xs: F.aggregate(xs, zero, lambda n, x: n + wide(x))))
+    starts_of = lambda bs: upto(F.transform(bs, lambda xs: F.aggregate(xs, zero, lambda n, x: n + wide(x))))
 
     def spans(xs: Column, at: Column) -> Column:
         def add(acc: Column, x: Column) -> Column:
@@ -157,7 +162,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         ended = F.aggregate(xs, F.struct(at.alias("at"), ends.alias("ends")), add, lambda acc: acc["ends"])
         return F.zip_with(xs, ended, lambda x, e: F.struct((e - x["len"]).cast("long").alias("start"), F.lit(rank).alias("rank"), e.alias("stop"), x["counted"].alias("counted")))
 
-    every = F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), spans))
+    every = F.flatten(_once(blocks, lambda bs: F.zip_with(bs, F.slice(starts_of(bs), F.lit(1), F.size(bs)), spans)))
     # the last gap has no match and no length
     return F.transform(F.filter(every, lambda s: s["counted"] >= rule.min_length), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop")))
 
