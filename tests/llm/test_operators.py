@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kgspark.llm import attention, decontaminate, htmltext, lmscore, mixing, rangecoder, secrets, simhash, tokencounts, tokenids, topk, toxicity
-from kgspark.llm.common import in_split
+from kgspark.llm.common import in_split, scratch
 
 DOCS = "doc_id long, text string, source string, mix_size string"
 TOK = PT.path("word_bpe_49k.json")
@@ -479,3 +479,15 @@ def test_logistic_fit_does_not_run_away():
     w = toxicity.fit_logistic(x, y, toxicity.PRIOR)
     said = np.hstack([x, np.ones((3800, 1))]) @ w >= 0
     assert np.abs(w).max() < 30 and (said == y).mean() > 0.95
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(Session, "x")
