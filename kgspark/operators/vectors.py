@@ -55,12 +55,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float
 
     score = 1 / (1 + squared distance), to four places; the cut compares it
     unrounded. Queries go out in blocks of block_bytes, each with a pass over the
-    vectors; a task keeps k rows a query and batch before the shuffle.
+    vectors and a result that is kept before the next one; a task keeps k rows a query and batch before the shuffle.
     """
     spark = vectors.sparkSession
     size = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
     blocks = (size[0] or 0) * 4 * (size[1] or 0) // block_bytes + 1
     found = None
+    if blocks > 1:
+        queries = cut(queries)
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").collect()
         shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)))
@@ -80,6 +82,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float
                     yield pd.DataFrame({"query_id": ids[i], "id": own[at], "distance": ((v[at] - q[i]) ** 2).sum(1)})
 
         part = vectors.select("id", "embedding").mapInPandas(run, f"query_id long, id {vectors.schema['id'].dataType.simpleString()}, distance double")
+        if blocks > 1:
+            part = cut(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     w = W.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
     best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("raw", 1 / (1 + F.col("distance")))

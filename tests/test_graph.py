@@ -16,6 +16,7 @@ from kgspark.operators import pages as P
 from kgspark.operators import resources as RS
 from kgspark.operators import retrieve as H
 from kgspark.operators import traverse as T
+from kgspark.operators import vectors as V
 from kgspark.sources import io
 from kgspark.streaming import upserts
 
@@ -169,6 +170,15 @@ def test_streams_equal_batch(spark, tmp_path):
     assert found == {r.url for r in RS.discover(upserts.page_resource_links(pages, scope)).collect()}
 
 
+def test_vector_search_in_blocks(spark):
+    rows = [(i, [float(i % 7), float(i % 11), float(i)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = vectors.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    want = sorted((q, k + 1, i) for q, a in rows if q % 10 == 0 for k, (_, i) in enumerate(sorted((sum((x - y) ** 2 for x, y in zip(a, b)), i) for i, b in rows)[:3]))
+    for size in (32 << 20, 24):
+        assert sorted((r.query_id, r["rank"], r.id) for r in V.search(vectors, queries, 3, block_bytes=size).collect()) == want
+
+
 @pytest.mark.parametrize("name", ["p11_page_links", "d06_failure_log", "t04_chunk_documents", "c06_best_title_definition_difficulty", "r03_count_relations", "q09_prerequisite_expansion", "v04_vector_search", "h01_retrieve_concepts"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
