@@ -125,7 +125,7 @@ def runs(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[str
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids binary): ids as little-endian unsigned numbers of 16 bits, or of 32 for a vocabulary beyond those, with end_id last. Null texts are empty."""
+    """(doc_id, n_tokens, ids binary, mark): ids as little-endian unsigned numbers of 16 bits, or of 32 for a vocabulary beyond those, with end_id last; mark is their crc32. Null texts are empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder.of_worker(tokenizer_path, narrow=end_id < 1 << 16)
@@ -135,9 +135,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_c
             ids: list[bytes] = []
             for texts in runs(b["text"]):
                 ids += [x + end for x in encoder.many(texts)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) // width for x in ids], "ids": ids})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) // width for x in ids], "ids": ids, "mark": [zlib.crc32(x) for x in ids]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids binary, mark long")
 
 
 def _write_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,12 +184,15 @@ def write_files(encoded: DataFrame, file_ids: int = 8 << 20) -> DataFrame:
     whether it is set, number of ids, column by column), kind 1 a range-coded
     block. Files follow each other in id order, each about file_ids long, and
     are committed by Spark's own writer, so a lost executor leaves no half file.
+    Rows of one id, or without any, are ordered by length, mark and place in the
+    encoded table, and as many files as they need hold them.
     """
     stored = materialize(encoded, "ids")
     total = stored.agg(F.sum("n_tokens")).first()[0] or 0
     files = int(total // file_ids) + 1
-    ordered = stored.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
-    ordered = ordered.withColumn("file_no", F.spark_partition_id())
+    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", "mark", "place"]
+    ordered = stored.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    ordered = ordered.select("doc_id", "n_tokens", "ids", F.spark_partition_id().alias("file_no"))
     return materialize(ordered.mapInPandas(_write_file, "file_no int, kind int, part int, payload binary"), "idfiles", codec="none")
 
 
@@ -209,7 +212,7 @@ def _read_file(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def read_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in files, from their decoded ids.
 
-    A group is one file, whose length write_files bounds. Block checksums are
+    A group is one file: about as many ids as write_files was told, or one document where that is longer. Block checksums are
     verified; a damaged block fails the job.
     """
     read = materialize(files.groupBy("file_no").applyInPandas(_read_file, "file_no int, file_ids long, doc_id long, offset long, n_tokens long, ids_crc32 long"), "read")
