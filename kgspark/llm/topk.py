@@ -127,8 +127,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, til
     no part; shorter vectors count as padded with zeros; repeated query rows ask
     once; fewer candidates give fewer rows, an empty table none. Queries go to
     the tasks in blocks of block_bytes, each block with its own pass over the
-    tiles, so any number of them works; scores of the `probes` longest vectors
-    give each query its first threshold.
+    tiles and a result that is written before the next one, so any number of
+    them works; scores of the `probes` longest vectors, one of each id, give each
+    query its first threshold.
     """
     spark = vectors.sparkSession
     coded = materialize(codes(vectors, scale, id_col, vector_col), "codes")
@@ -136,19 +137,23 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, til
     asked = coded.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.max("codes").alias("codes"))
     size = asked.agg(F.count("*"), F.max(F.size("codes"))).first()
     blocks = (size[0] or 0) * 8 * (size[1] or 0) // block_bytes + 1
+    if blocks > 1:
+        asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).sort("block"), "asked")
+    else:
+        asked = asked.withColumn("block", F.lit(0))
     head = coded.orderBy(F.desc("norm2"), "vec_id").limit(probes).collect()
+    head = list({r.vec_id: r for r in reversed(head)}.values())  # of a repeated id the longest
     widest = max([size[1] or 0, *(len(r.codes) for r in head)])
     probe_ids, probe = np.array([r.vec_id for r in head], dtype=np.int64), matrix([r.codes for r in head], widest)
     found = None
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
+        rows = asked.where(F.col("block") == b).orderBy("vec_id").collect()
         q_ids, q = np.array([r.vec_id for r in rows], dtype=np.int64), matrix([r.codes for r in rows], widest)
         least = np.full(len(rows), -np.inf)
         for i in range(0, len(rows), 256):
             score = products(q[i : i + 256], probe).astype(float)
             score[q_ids[i : i + 256, None] == probe_ids[None, :]] = -np.inf
-            # a repeated probe id would count twice towards the k-th best
-            if score.shape[1] >= k and len(np.unique(probe_ids)) == len(probe_ids):
+            if score.shape[1] >= k:
                 least[i : i + 256] = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
         shared = spark.sparkContext.broadcast((q_ids, q, least))
 
@@ -164,6 +169,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, til
                         yield pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
 
         part = tiles.mapInPandas(run, FOUND)
+        if blocks > 1:
+            part = materialize(part, "found")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
