@@ -58,9 +58,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
-def _forest(fps: np.ndarray, other: np.ndarray, ids: np.ndarray, ids2: np.ndarray, same: bool, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (u, smallest id linked to u) of the links between two tiles."""
+def _forest(fps: np.ndarray, other: np.ndarray, ids: np.ndarray, ids2: np.ndarray, same: bool, radius: int, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (u, smallest id linked to u) of the links between two tiles; at_once pairs are compared in one step."""
     n, m = len(fps), 0 if same else len(other)
+    rows = max(1, at_once // len(other))
     label = np.arange(n + m)
     left, right = [], []
     kept = 0
@@ -130,8 +131,13 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 4096) -> DataFrame:
-    """distinct (fp, rep), one row per fingerprint → edges (u, v) of reps whose closure is that of all links."""
+def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 1 << 15) -> DataFrame:
+    """distinct (fp, rep), one row per fingerprint → edges (u, v) of reps whose closure is that of all links.
+
+    A tile goes to a task with each tile it meets, so that the bytes moved fall
+    as tiles grow; one of 1 << 15 rows has half a megabyte and meets as many
+    others in a billion comparisons.
+    """
     spark = distinct.sparkSession
     mask = F.lit(HALF).cast("long")
     keyed = distinct.select("fp", "rep", F.bit_count(F.col("fp").bitwiseAND(mask)).alias("a"), F.bit_count(F.shiftrightunsigned("fp", 32).bitwiseAND(mask)).alias("b"))
@@ -161,7 +167,7 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = 4096) -> DataFr
     return wide.mapInPandas(_tile_links(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 3, tile_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 3, tile_rows: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint string, component_id), one row per input row.
 
     component_id is the smallest id reachable over links of at most `radius`
