@@ -170,6 +170,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float =
 
 #: What a feature is worth before labels speak: a hit, its weight, its aim, a quoted hit, being misspelt.
 PRIOR = np.array([2.0, 1.0, 0.5, 0.2, -0.3])
+UNTOLD = -3.0  # log-odds of every text where no term tells toxic ones
 
 
 class Model:
@@ -194,14 +195,16 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_suppo
     slurs are;
     words near a term that clean documents of the
     sample use as well are not taken for misspellings of it. Rows with null ids or labels are not learnt from;
-    without labels the lexicon is empty and every score is the same.
+    without labels, or with too few for any term, the lexicon is empty and every
+    score is the same, far under 0.5: nothing tells toxic documents, none is
+    rejected.
     """
     usable = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(7), "doc_id")
     ids = usable.where("toxic = 1").orderBy(order, "doc_id").limit(most_rows // 2).unionByName(usable.where("toxic = 0").orderBy(order, "doc_id").limit(most_rows // 2)).collect()
     if not ids:
-        return Model({}, fit_logistic(np.zeros((0, FEATURES)), np.zeros(0), PRIOR))
+        return Model({}, np.append(PRIOR, UNTOLD))
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -219,6 +222,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, min_suppo
     votes = sample.where("toxic = 1").select("component_id", word.alias("word")).join(telling, "word").withColumn("best", F.max("odds").over(W.partitionBy("component_id")))
     top = votes.where(F.col("odds") >= beside * F.col("best")).groupBy("word", "odds").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).orderBy("word").collect()
     terms = {r.word: float(min(r.odds, 8.0)) for r in top}
+    if not terms:
+        sample.unpersist()
+        return Model({}, np.append(PRIOR, UNTOLD))
 
     def misspelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(terms)

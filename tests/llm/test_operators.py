@@ -49,6 +49,25 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_in_blocks_with_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i % 150, rng.standard_normal(8).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = {}
+    for i, v in rows:
+        asked[i] = max(asked.get(i, []), np.floor(np.array(v) * 256).tolist())
+    # a repeated query id asks once, with the greatest of its vectors; a repeated candidate counts each time
+    want = {}
+    for q in range(0, 150, 10):
+        s = sorted((-sum(int(a) * math.floor(b * 256) for a, b in zip(asked[q], v)), i) for i, v in rows if i != q)[:5]
+        want[q] = [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    for bytes_ in (32 << 20, 200):  # one block, and several
+        got = {}
+        for r in topk.top_k(table, every=10, tile_rows=64, probes=50, block_bytes=bytes_).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert {q: sorted(x) for q, x in got.items()} == want
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(2)
     blocks = [rng.zipf(1.4, n).clip(0, 2**32 - 1).astype("<u4") for n in (4096, 4096, 1, 7, 300, 0)] + [np.array([5] * 2000, "<u4"), np.array([0, 2**32 - 1] * 20, "<u4")]
@@ -75,6 +94,17 @@ def test_token_files(spark, docs, none):
     assert tokenids.token_files(none, TOK).count() == 0
 
 
+def test_rows_of_one_id_are_split_over_files(spark):
+    rows = [(None, "one and the same text") for _ in range(600)] + [(7, f"text {i}") for i in range(600)] + [(9, "the last")]
+    encoded = tokenids.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), TOK)
+    files = tokenids.write_files(encoded, file_ids=500)
+    got = sorted(tokenids.read_files(files).collect(), key=lambda r: r.start)
+    assert files.select("file_no").distinct().count() > 8
+    assert [r.doc_id for r in got] == [None] * 600 + [7] * 600 + [9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+    assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((r.n_tokens, zlib.crc32(np.frombuffer(r.ids, f"<u{len(r.ids) // r.n_tokens}").astype("<u4").tobytes())) for r in encoded.collect())
+
+
 def base_spans(t):
     kinds = (("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
     out = sorted((m.start(), k, m.end(), n) for k, (n, p, g, least) in enumerate(kinds) for m in p.finditer(t) if len(m[g]) >= least)
@@ -217,6 +247,9 @@ def test_toxicity(spark, docs, none):
     assert r[1].predicted == 1 and r[1].abusive_hits == 3 and r[2].predicted == 0 and r[2].quoted_hits == 1 and r[3].score == r[4].score
     assert toxicity.score(docs, model).count() == len(ROWS) and toxicity.score(none, model).count() == 0
     assert toxicity.score(docs, toxicity.learn(docs, lb.limit(0))).count() == len(ROWS)
+    # labels that give no term, most of them toxic: nothing tells toxic documents
+    few = spark.createDataFrame([(1, 1), (4, 1), (3, 0)], "doc_id long, toxic int")
+    assert {r.predicted for r in toxicity.score(docs, toxicity.learn(docs, few)).collect()} == {0} == {r.predicted for r in toxicity.score(docs, toxicity.learn(docs, lb.limit(0))).collect()}
 
 
 @pytest.mark.parametrize("sf, found, spared", [("sf0.01", 0.6, 1.0), ("sf0.1", 0.9, 0.98)])
@@ -417,6 +450,34 @@ def test_pipeline_rows_are_judged_by_their_own_text(spark, tmp_path):
     assert left(corpus_pipeline.drop_near_copies, rows) == [(3, other), (3, third), (None, copy)]
 
 
+def test_pipeline_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    extra = "predicted score _id _text _row component_id mix_copies mix_copy mix_note mix_pattern".split()
+    spark.createDataFrame([(1, "nothing that any document has in it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, f"words of text {i} and more", "s", *[f"{c}{i}" for c in extra]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == rows, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 6
+
+
+def test_forest_equals_links_whatever_is_compared_at_once():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 20).astype("<u8")
+    fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 20).astype("<u8")) for _ in range(6)]))
+    ids = rng.permutation(len(fps)).astype("<i8")
+    x, y = fps[: len(fps) // 2], fps[len(fps) // 2 :]
+    forests = [simhash._forest(x, y, ids[: len(x)], ids[len(x) :], False, 3, n) for n in (1, 1000, 1 << 20)]
+    links = {(int(ids[i]), int(ids[len(x) + j])) for i in range(len(x)) for j in range(len(y)) if int(x[i] ^ y[j]).bit_count() <= 3}
+    least = {int(i): int(i) for i in ids}
+    for _ in ids:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    for u, v in forests:
+        assert links and dict(zip(u.tolist(), v.tolist())) == {i: m for i, m in least.items() if i != m}
+
+
 def test_simhash_links_through_rows_without_id(spark, monkeypatch):
     # bits 0-2 and 3-5 apart: 1 and 2 are near only by way of the row without an id
     prints = {"a": 0b000000, "b": 0b000111, "c": 0b111111}
