@@ -164,8 +164,8 @@ with recursive d as (select doc_id, list_filter(string_split_regex(translate(coa
 s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as xs from d),
 u as (select doc_id, unnest(xs) as x from s),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as both from u a join u b on a.x = b.x and a.doc_id <> b.doc_id group by all),
-l as (select p.a, p.b from p join s x on x.doc_id = p.a join s y on y.doc_id = p.b where 100 * both >= 85 * (len(x.xs) + len(y.xs) - both)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from u a join u b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+l as (select p.a, p.b from p join s x on x.doc_id = p.a join s y on y.doc_id = p.b where 100 * common >= 85 * (len(x.xs) + len(y.xs) - common)),
 r(a, b) as (select doc_id, doc_id from s union select r.a, l.b from r join l on l.a = r.b)
 select s.doc_id, len(s.xs) as n_shingles, min(r.b) as component_id, s.doc_id = min(r.b) as kept from s join r on r.a = s.doc_id group by s.doc_id, s.xs""",
     "op13_phrase_collocations": r"""
