@@ -3,9 +3,11 @@
 A set of word shingles has `bands * rows` minima. Bands of whole minima find
 candidates; what is kept of a minimum are its low bits, packed in planes, and
 the bits in which two signatures differ estimate their similarity, corrected
-for chance agreement. Full sets decide. Rows are first held against the least
-row of a bucket, which settles most of any group at linear cost; only buckets
-that still hold several components are compared in blocks of bounded size.
+for chance agreement. Full sets decide. Rows are first held against one row of
+each of their buckets, the likest of these, in turns at linear cost, which
+settle most of any group; what still holds several components after that is
+compared in blocks of bounded size, rows of the largest component only with
+the others.
 """
 
 from __future__ import annotations
@@ -205,10 +207,16 @@ def _block_links(members: DataFrame, rows: DataFrame, shingle: int, seed: int, p
     """members (band, key, v, n, sig, comp) of buckets with several components → verified links (u, v) between components."""
     spark = members.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sizes = members.groupBy("band", "key").agg(F.ceil(F.greatest(F.count("*") / F.lit(tile_rows), F.sum("n") / F.lit(tile_shingles))).alias("tiles"))
-    tiled = members.join(sizes, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("v"), F.col("tiles")))
-    # a tile meets itself and each other one of its bucket
-    met = tiled.withColumn("o", F.explode(F.expr("sequence(0L, tiles - 1)"))).select("*", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j")).drop("o", "tiles")
+    by_comp = members.groupBy("band", "key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    tiles = lambda c, s: F.ceil(F.greatest(c / F.lit(tile_rows), s / F.lit(tile_shingles)))
+    sizes = by_comp.groupBy("band", "key").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max_by(F.struct("comp", "c", "s"), F.struct("c", "comp")).alias("home"))
+    whole = tiles(F.col("c"), F.col("s"))
+    sizes = sizes.select("band", "key", F.when(whole > 1, F.col("home.comp")).alias("home"), F.when(whole > 1, tiles(F.col("c") - F.col("home.c"), F.col("s") - F.col("home.s"))).otherwise(whole).alias("rest"), F.when(whole > 1, tiles(F.col("home.c"), F.col("home.s"))).otherwise(0).alias("homes"))
+    at_home = F.coalesce(F.col("comp") == F.col("home"), F.lit(False))
+    tiled = members.join(sizes, ["band", "key"]).withColumn("tile", F.when(at_home, F.col("rest") + F.pmod(F.xxhash64("v"), F.col("homes"))).otherwise(F.pmod(F.xxhash64("v"), F.col("rest"))))
+    # a tile meets itself and each other one of its bucket, but for those of the largest component among themselves
+    others = F.sequence(F.lit(0).cast("long"), F.when(at_home, F.col("rest")).otherwise(F.col("rest") + F.col("homes")) - 1)
+    met = tiled.withColumn("o", F.explode(others)).select("*", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"))
     kept = [*_BLOCK, "tile", "v", "n", "comp", "sig"]
 
     def involved(r: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -260,15 +268,10 @@ def near_duplicates(
     sets = materialize(sets.join(all_rows.select(F.col("row").alias("v"), "sig", "keys"), "v"), "sets")
     signs = sets.select("v", "n", "sig")
 
-    keyed = sets.select("v", F.posexplode("keys").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min("v").alias("pivot"), F.max("v").alias("last")).where("pivot < last").drop("last")
-    members = materialize(keyed.join(buckets, ["band", "key"]), "members")
+    members = sets.select("v", F.posexplode("keys").alias("band", "key"), F.col("v").alias("comp"))
 
     share = percent / 100
     least = share - deviations * math.sqrt(share * (1 - share) / (bands * rows))
-    pairs = members.where("v <> pivot").select("v", "pivot").distinct().join(signs, "v").join(signs.select(F.col("v").alias("pivot"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "pivot")
-    pairs = pairs.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-
     def estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
@@ -276,16 +279,30 @@ def near_duplicates(
                 found = estimate(differing(x, y, bits), bands * rows, bits)
                 yield pd.DataFrame({"v": b["v"], "pivot": b["pivot"], "n": b["n"], "like": found})[found >= least]
 
-    near = pairs.select("v", "pivot", "n", "sig", "sig2").mapInPandas(estimates, "v long, pivot long, n long, like double")
-    best = near.groupBy("v", "n").agg(F.max_by("pivot", F.struct("like", -F.col("pivot"))).alias("pivot"))
-    star = materialize(_star_links(best, all_rows, shingle, seed, percent, 1 << 16), "star_links")
-    comps = connected_components(star)
-
-    placed = members.join(comps.withColumnRenamed("id", "v"), "v", "left").select("band", "key", "v", F.coalesce("component", "v").alias("comp"))
-    several = placed.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band", "key")
-    open_members = materialize(placed.join(several, ["band", "key"]), "open_members").join(signs, "v")
-    block = _block_links(open_members, all_rows, shingle, seed, percent, least, rows, bits, tile_rows, tile_shingles)
-    comps = connected_components(star.unionByName(materialize(block, "block_links")))
+    star, comps, before, turn = None, None, 0, 0
+    while True:
+        placed = members if comps is None else members.drop("comp").join(comps.withColumnRenamed("id", "v"), "v", "left").select("band", "key", "v", F.coalesce("component", "v").alias("comp"))
+        several = placed.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band", "key")
+        members = materialize(placed.join(several, ["band", "key"]), "open_members")
+        by_comp = members.groupBy("band", "key", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("band", "key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        work = by_comp.agg(F.sum(F.col("n") * F.col("n") - F.col("same"))).first()[0] or 0  # pairs of rows of unlike components
+        if not work or turn > 1 and work > 0.75 * before:
+            break
+        # first the least row of a bucket, then another one in each band and turn; rows of its own component pass it by
+        first = F.struct(F.xxhash64("v", "band", F.lit(turn)) if turn else F.lit(0).cast("long"), "v", "comp")
+        pivots = members.groupBy("band", "key").agg(F.min(first).alias("p")).select("band", "key", F.col("p.v").alias("pivot"), F.col("p.comp").alias("of"))
+        pairs = members.join(pivots, ["band", "key"]).where("comp <> of").select("v", "pivot").distinct()
+        pairs = pairs.join(signs, "v").join(signs.select(F.col("v").alias("pivot"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "pivot")
+        pairs = pairs.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+        near = pairs.select("v", "pivot", "n", "sig", "sig2").mapInPandas(estimates, "v long, pivot long, n long, like double")
+        best = near.groupBy("v", "n").agg(F.max_by("pivot", F.struct("like", -F.col("pivot"))).alias("pivot"))
+        found = _star_links(best, all_rows, shingle, seed, percent, 1 << 16)
+        star = materialize(found if star is None else star.unionByName(found), "star_links")
+        comps = connected_components(star)
+        before, turn = work, turn + 1
+
+    block = materialize(_block_links(members.join(signs, "v"), all_rows, shingle, seed, percent, least, rows, bits, tile_rows, tile_shingles), "block_links")
+    comps = connected_components(block if star is None else star.unionByName(block))
 
     by_set = sets.join(comps, sets.v == comps.id, "left").select("n", "d1", "d2", "least", F.coalesce("component", "v").alias("part"))
     ids = by_set.groupBy("part").agg(F.min("least").alias("component_id"))
