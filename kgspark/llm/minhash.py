@@ -101,11 +101,15 @@ def _signatures(docs: DataFrame, shingle: int, seed: int, bands: int, rows: int,
 
 def _with_texts(wanted: DataFrame, rows: DataFrame, bits: int = 1 << 27) -> DataFrame:
     """wanted (v, …) with the text of row v. Texts that nobody asks for are told by a filter of fixed size and not shuffled."""
-    asked = bit_filter(wanted.select(F.pmod(F.col("v"), F.lit(bits)).alias("slot")), bits)
+    # row numbers have their partition in the upper 31 bits
+    slot = lambda part, at: part * 1_000_003 + at
+    low = (1 << 33) - 1
+    asked = bit_filter(wanted.select(F.pmod(slot(F.shiftright("v", 33), F.col("v").bitwiseAND(F.lit(low))), F.lit(bits)).alias("slot")), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = b.filter(pa.array(in_filter(asked, b.column(0).to_numpy() % bits)))
+            v = b.column(0).to_numpy()
+            kept = b.filter(pa.array(in_filter(asked, slot(v >> 33, v & low) % bits)))
             if kept.num_rows:
                 yield kept
 
@@ -264,11 +268,13 @@ def near_duplicates(
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     all_rows = materialize(_signatures(numbered, shingle, seed, bands, rows, bits), "signatures")
-    sets = all_rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("v"), F.min("doc_id").alias("least"))
-    sets = materialize(sets.join(all_rows.select(F.col("row").alias("v"), "sig", "keys"), "v"), "sets")
+    sets = all_rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("v"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    sets = materialize(sets, "sets")
     signs = sets.select("v", "n", "sig")
 
-    members = sets.select("v", F.posexplode("keys").alias("band", "key"), F.col("v").alias("comp"))
+    keyed = sets.select("v", F.posexplode("keys").alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("band", "key")
+    members = materialize(keyed.join(buckets, ["band", "key"]), "members").withColumn("comp", F.col("v"))
 
     share = percent / 100
     least = share - deviations * math.sqrt(share * (1 - share) / (bands * rows))
