@@ -133,11 +133,13 @@ def _count(chunks: DataFrame, order: int, least: int, words: Broadcast | None =
                 known[0] = False
                 ids = np.where(known[ids], ids, 0)
                 start = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-                key, of, c = np.unique(ids[start] * v + ids[start + 1], return_inverse=True, return_counts=True)
-                a, z = key // v, key % v
+                both = ids[start] * v + ids[start + 1]
                 if order == 2:
-                    yield from rows(lang, vocabulary, [a, z], c)
+                    key, c = np.unique(both, return_counts=True)
+                    yield from rows(lang, vocabulary, [key // v, key % v], c)
                     continue
+                key, of = np.unique(both, return_inverse=True)
+                a, z = key // v, key % v
                 pair = np.full(len(ids), -1, np.int64)
                 pair[start] = np.where(_holds(pairs, _pair_hashes(hashes[a], hashes[z])), np.arange(len(key)), -1)[of]
                 start = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
@@ -201,7 +203,7 @@ def _lockstep(stream: DataFrame, keys: list[str], one: str, two: str, parts: int
 
 
 def collocations(
-    docs: DataFrame, least: int = 10, cover_percent: int = 50, per_lang: int = 2000, chunk_bytes: int = 1 << 25, filter_bits: int = 1 << 27, salts: int = 32, lang_col: str = "lang", text_col: str = "text"
+    docs: DataFrame, least: int = 10, cover_percent: int = 50, per_lang: int = 2000, chunk_bytes: int = 1 << 23, filter_bits: int = 1 << 27, salts: int = 32, lang_col: str = "lang", text_col: str = "text"
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of 2 or 3 words of each language.
 
