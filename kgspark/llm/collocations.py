@@ -53,28 +53,29 @@ def _chunks(docs: DataFrame, chunk_bytes: int, lang_col: str, text_col: str) ->
     """(lang, words, ids, n): runs of texts of one language, their words joined by spaces and the numbers of these."""
     narrow = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
 
-    def close(held: dict[str, tuple[_Numbers, list[np.ndarray]]]) -> pd.DataFrame:
-        rows = []
+    def close(held: dict[str, tuple[_Numbers, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         for lang, (numbers, parts) in held.items():
             ids = np.concatenate(parts)
-            rows.append((lang, b" ".join(list(numbers)[1:]), ids.tobytes(), int(np.count_nonzero(ids))))
+            row = [[lang], [b" ".join(list(numbers)[1:])], [ids.tobytes()], [int(np.count_nonzero(ids))]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.binary(), pa.binary(), pa.int64()))], names=["lang", "words", "ids", "n"])
         held.clear()
-        return pd.DataFrame(rows, columns=["lang", "words", "ids", "n"])
+        pa.default_memory_pool().release_unused()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
         size = 0
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"]):
+            for lang, value in zip(b.column(0).to_pylist(), b.column(1)):
+                text = value.as_py()
                 numbers, parts = held.setdefault(lang, (_Numbers(), []))
                 parts.append(numbered(text, numbers))
                 size += len(text or b"") + 64
                 if size >= chunk_bytes:
-                    yield close(held)
+                    yield from close(held)
                     size = 0
-        yield close(held)
+        yield from close(held)
 
-    return narrow.mapInPandas(run, "lang string, words binary, ids binary, n long")
+    return narrow.mapInArrow(run, "lang string, words binary, ids binary, n long")
 
 
 def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -110,7 +111,7 @@ def _filter(frequent: DataFrame, bits: int) -> Broadcast:
 def _count(chunks: DataFrame, order: int, least: int, words: Broadcast | None = None, pairs: Broadcast | None = None) -> DataFrame:
     """(lang, w1, w2, w3, c) of the phrases of `order` words that occur at least `least` times."""
 
-    def rows(lang: str, vocabulary: pa.Array, columns: list[np.ndarray], c: np.ndarray, step: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    def rows(lang: str, vocabulary: pa.Array, columns: list[np.ndarray], c: np.ndarray, step: int = 1 << 15) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(c), step):
             own = [vocabulary.take(pa.array(x[i : i + step])) for x in columns]
             n = len(own[0])
@@ -145,6 +146,7 @@ def _count(chunks: DataFrame, order: int, least: int, words: Broadcast | None =
                 start = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
                 key, c = np.unique(pair[start] * v + ids[start + 2], return_counts=True)
                 yield from rows(lang, vocabulary, [a[key // v], z[key // v], key % v], c)
+            pa.default_memory_pool().release_unused()
 
     return chunks.select("lang", "words", "ids").mapInArrow(run, _COUNTS).groupBy(*KEYS).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
@@ -203,7 +205,7 @@ def _lockstep(stream: DataFrame, keys: list[str], one: str, two: str, parts: int
 
 
 def collocations(
-    docs: DataFrame, least: int = 10, cover_percent: int = 50, per_lang: int = 2000, chunk_bytes: int = 1 << 23, filter_bits: int = 1 << 27, salts: int = 32, lang_col: str = "lang", text_col: str = "text"
+    docs: DataFrame, least: int = 10, cover_percent: int = 50, per_lang: int = 2000, chunk_bytes: int = 1 << 22, filter_bits: int = 1 << 26, salts: int = 32, lang_col: str = "lang", text_col: str = "text"
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of 2 or 3 words of each language.
 
