@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,15 +40,18 @@ def _grams(df: DataFrame, text: str, loss: float) -> DataFrame:
     rows = df.select(text, F.explode(numbered).alias("gram"), keep.alias("keep"))
     rare = rows.groupBy("gram").agg(F.count("*").alias("frequency"))
     w = W.partitionBy(text).orderBy("frequency", "gram")
-    return rows.join(rare, "gram").withColumn("at", F.row_number().over(w)).where("at <= keep").select(text, "gram")
+    return rows.join(rare, "gram").withColumn("at", F.row_number().over(w)).where("at <= keep").select(text, "gram", "frequency")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, strict: bool, length_gap: int | None = None, text: str = "title") -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, strict: bool, length_gap: int | None = None, text: str = "title", block: int = 1024) -> DataFrame:
     """(a, b, score) with ratio >= least (> if strict), of distinct texts; right None: pairs a < b of left itself.
 
     Candidates share one of the rarest bigrams of each and have lengths that
     allow the ratio; each is then verified by its LCS. No pair is lost: a ratio
-    of least bounds the number of edits, each of which spoils two bigrams.
+    of least bounds the number of edits, each of which spoils two bigrams. The
+    index is cut by length: texts of a pair lie in the same or in adjacent cells.
+    A bigram of more than `block` texts is dealt into squares, so that a key
+    pairs about block texts with as many, however common it is.
     """
     loss = 1 - least / 100
     l = left.select(F.col(text).alias("a")).where("a <> ''").distinct()
@@ -61,7 +65,16 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, strict
     near = (low * (2 - least / 100) >= high * (least / 100) - 1e-9) & ((F.col("a") < F.col("b")) if right is None else F.lit(True))
     if length_gap is not None:
         near = near & (high - low <= length_gap)
-    pairs = ga.join(gb, "gram").where(near).select("a", "b").distinct()
+    # lengths of a pair differ by this factor at most; the added part keeps rounding on the near side
+    factor = math.log((2 - least / 100) / (least / 100)) + 1e-9
+    cell = lambda c: F.floor(F.log(F.length(c)) / F.lit(factor))
+    squares = F.ceil(F.col("frequency") / F.lit(block))
+    place = lambda c: F.pmod(F.xxhash64(c), squares)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), squares - 1))
+    ga = ga.select("a", "gram", cell("a").alias("cell"), place("a").alias("x"), every.alias("y"))
+    gb = gb.select("b", "gram", F.explode(F.array(*[cell("b") + d for d in (-1, 0, 1)])).alias("cell"), place("b").alias("y"), squares.alias("squares"))
+    gb = gb.select("b", "gram", "cell", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("squares") - 1)).alias("x"))
+    pairs = ga.join(gb, ["gram", "cell", "x", "y"]).where(near).select("a", "b").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

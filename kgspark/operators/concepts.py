@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kgspark.functions.fuzzy import normalize_title, similar_pairs, strip
-from kgspark.sources.checkpoints import cut
+from kgspark.sources.checkpoints import cut, stored
 
 ORDER = ("chunk_id", "pos")
 
@@ -60,7 +60,7 @@ def exact_leaders(groups: DataFrame) -> DataFrame:
 
 def merge_similar(mentions: DataFrame, least: float = 87.5, length_gap: int = 10) -> DataFrame:
     groups = cut(title_groups(normalized(mentions)))
-    pairs = cut(similar_pairs(groups.select(F.col("norm").alias("title")), None, least, False, length_gap))
+    pairs = stored(similar_pairs(groups.select(F.col("norm").alias("title")), None, least, False, length_gap), "similar_titles")
     return leaders(groups, pairs)
 
 

@@ -106,10 +106,17 @@ def loose_parse(text: Column) -> Column:
     return F.struct(good.alias("parsed"), F.coalesce(got["entities"], none).alias("entities"), F.coalesce(got["relationships"], none).alias("relationships"), F.when(~good, text).alias("raw_response"))
 
 
-def siblings(tagged: DataFrame) -> DataFrame:
-    """(chunk_id, source, target, relation_type): titles that follow each other in a chunk's order of titles, as sibling candidates; a row a title, not a pair of all."""
-    nxt = F.lead("title").over(W.partitionBy("chunk_id").orderBy("title"))
-    return tagged.select("chunk_id", F.col("title").alias("source"), nxt.alias("target"), F.lit("sibling").alias("relation_type")).where("target is not null")
+def siblings(tagged: DataFrame, block: int = 64) -> DataFrame:
+    """(chunk_id, source, target, relation_type): all pairs source < target of a chunk's titles, as sibling candidates.
+
+    Titles are put in blocks of `block`, and pairs are made inside rows of one
+    or two blocks, so that no row holds all titles or pairs of a long chunk.
+    """
+    at = F.row_number().over(W.partitionBy("chunk_id").orderBy("title")) - 1
+    blocks = tagged.select("chunk_id", "title").distinct().withColumn("i", F.floor(at / F.lit(block))).groupBy("chunk_id", "i").agg(F.sort_array(F.collect_list("title")).alias("xs"))
+    both = blocks.join(blocks.select("chunk_id", F.col("i").alias("j"), F.col("xs").alias("ys")), "chunk_id").where("i <= j")
+    ones = both.select("chunk_id", F.explode("xs").alias("source"), "ys").select("chunk_id", "source", F.explode(F.filter("ys", lambda y: y > F.col("source"))).alias("target"))
+    return ones.withColumn("relation_type", F.lit("sibling"))
 
 
 def error_sample(extractions: DataFrame, k: int = 5, width: int = 80) -> DataFrame:

@@ -31,14 +31,14 @@ def read_once(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return given | {"v_mention": cut(view(spark, sf_dir, "v_mention", given))}
 
 
-_BUILT: dict[tuple[str, str], Graph] = {}
+_BUILT: dict[tuple[str, str, bool], Graph] = {}
 
 
-def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of the test tables' mentions, built once a session and folder and kept in the checkpoint folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def graph_of(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> Graph:
+    """The graph of the test tables' mentions, built once a session and folder and kept in the checkpoint folder; with fuzzy, of merged similar titles."""
+    key = (spark.sparkContext.applicationId, sf_dir, fuzzy)
     if key not in _BUILT:
         given = read_once(spark, sf_dir)
-        g = build(given["v_mention"], view(spark, sf_dir, "v_relation", given), view(spark, sf_dir, "v_example", given))[0]
+        g = build(given["v_mention"], view(spark, sf_dir, "v_relation", given), view(spark, sf_dir, "v_example", given), fuzzy)[0]
         _BUILT[key] = Graph(*(cut(x) for x in (g.vertices, g.edges, g.resources, g.explains, g.examples, g.exemplifies)))
     return _BUILT[key]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from kgspark.functions import urls
 from kgspark.functions.fuzzy import normalize_title, similar_pairs
@@ -245,6 +247,30 @@ def d03_crawl_reachability(spark, d):
     return T.reachable(start, links, 5)
 
 
+_NEXT = """with recursive p as (select page_id, url, html, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') as bare, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) as origin, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) as host from pages),
+n as (select *, lead(url, 1) over w as n1, lead(url, 3) over w as n3 from p window w as (partition by host order by page_id)),
+l as (select distinct bare as a, url from (select bare, regexp_replace(regexp_replace(concat(origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1))), '#.*$', ''), '/+$', '') as url from n
+ union all select bare, regexp_replace(regexp_replace(n1, '#.*$', ''), '/+$', '') from n union all select bare, regexp_replace(regexp_replace(n3, '#.*$', ''), '/+$', '') from n) where url is not null),
+"""
+_INTERNAL = f"({_IN} and not regexp_matches(lower({_PATH}), '\\.(pdf|png|jpg|jpeg|gif|svg|webp|mp4|mp3|zip|pptx|ppt|docx|doc|css|js|json|xml|rss)$'))"
+
+
+@query(_NEXT + f"""i as (select a, url as b from l where {_INTERNAL}),
+s as (select bare as url from (select bare as url, bare, page_id from p) where {_INTERNAL} order by page_id limit 1),
+w as (select url, 0 as depth from s union select i.b, w.depth + 1 from w join i on i.a = w.url where w.depth < 100)
+select url, cast(min(depth) as integer) as depth, url in (select bare from p) as fetched from w group by url""")
+def d03_crawl_frontier(spark, d):
+    """Parsed pages, each with links to the next page of its host and the third after it; a crawl from the first internal page, in scope only."""
+    w = W.partitionBy(F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)).orderBy("page_id")
+    link = lambda k: F.coalesce(F.concat(F.lit('<a href="'), F.lead("url", k).over(w), F.lit('">on</a>')), F.lit(""))
+    pages = view(spark, d, "pages").withColumn("html", F.concat("html", link(1), link(3)))
+    parsed = cut(P.parse_pages(pages))
+    found = P.page_links(parsed, SCOPE).where(urls.internal_page(F.col("link"), SCOPE)).select(urls.normalize(F.col("url")).alias("url"), "link")
+    fetched = pages.select("page_id", urls.normalize(F.col("url")).alias("url"))
+    start = fetched.where(urls.internal_page(F.col("url"), SCOPE)).orderBy("page_id").limit(1).select("url")
+    return T.crawl(start, found, fetched)
+
+
 @query(_DISC + " select 'pages' as what, '' as name, count(*) as n from pages union all select 'resources', '', count(*) from res union all select 'type', resource_type, count(*) from res group by 2 union all select 'status', status, count(*) from res group by 2 union all select 'failures', '', count(distinct url) from v_attempt", "v_mention v_attempt")
 def d04_corpus_stats(spark, d):
     return RS.corpus_stats(view(spark, d, "pages"), _discovered(spark, d), RS.failures(view(spark, d, "v_attempt")))
@@ -358,9 +384,17 @@ def e06_dictionary_tagger(spark, d):
     return E.tag(part.select(F.col("p_partkey").alias("chunk_id"), text.alias("text")), part.select(F.col("p_name").alias("name"), F.col("p_name").alias("title")).distinct())
 
 
-@query(_TAGS + " select * from (select chunk_id, title as source, lead(title) over (partition by chunk_id order by title) as target, 'sibling' as relation_type from tagged) where target is not null")
+@query("""with n as (select distinct lower(p_name) as name, p_name as title from part),
+c as (select p_partkey // 8 as chunk_id, list_filter(regexp_split_to_array(lower(string_agg(p_name, ' and ' order by p_partkey)), '[^a-z0-9#]+'), lambda x: x <> '') as w from part group by 1),
+g as (select chunk_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])), list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])))) as name from c),
+tagged as (select distinct chunk_id, title from g join n using (name))
+select a.chunk_id, a.title as source, b.title as target, 'sibling' as relation_type from tagged a join tagged b on a.chunk_id = b.chunk_id and a.title < b.title""")
 def e06_sibling_candidates(spark, d):
-    return E.siblings(e06_dictionary_tagger(spark, d))
+    """Chunks of eight parts' names."""
+    part = view(spark, d, "part")
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), " and ")
+    chunks = part.groupBy(F.floor(F.col("p_partkey") / 8).alias("chunk_id")).agg(names.alias("text"))
+    return E.siblings(E.tag(chunks, part.select(F.col("p_name").alias("name"), F.col("p_name").alias("title")).distinct()))
 
 
 def _extractions(spark, d):
@@ -429,6 +463,19 @@ def c05_greedy_merge(spark, d):
     return C.merge_similar(m)
 
 
+@query()
+def c05_merge_all_titles(spark, d):
+    """Leaders of all normalized titles of the mentions; the candidate pairs are an index cut by length, common bigrams dealt out."""
+    return C.merge_similar(_m(spark, d))
+
+
+@query()
+def g11_graph_of_merged_titles(spark, d):
+    """Vertices a label and edges a type of the graph with similar titles merged and similar names mapped."""
+    g = graph_of(spark, d, fuzzy=True)
+    return G.summary(g.vertices, g.resources, g.examples, g.edges, g.explains, g.exemplifies)
+
+
 @query("with " + CANON + " select title, definition, difficulty, mention_count from canon", "v_mention")
 def c06_best_title_definition_difficulty(spark, d):
     return _canon(spark, d).select("title", "definition", "difficulty", "mention_count")
@@ -787,12 +834,12 @@ def h01_retrieve_concepts(spark, d):
     return H.expand(seeds, g).select("query_id", "title", "depth", "relation", "seed", "pos")
 
 
-@graph_query(_RETR + ", explicit as (select query_id, title, 1 as rank from (select distinct query_id from seeds) cross join (select title from num where id in (3, 40))) select query_id, title, cast(row_number() over (partition by query_id order by s, rank, title) as integer) as rank from (select query_id, title, min(s) as s, arg_min(rank, s) as rank from (select query_id, title, 0 as s, rank from explicit union all select query_id, seed, 1, rank from seeds) group by query_id, title)")
+@graph_query(_RETR + ", explicit as (select query_id, title, 1 as rank from (select distinct query_id from seeds) cross join (select title from num where id in (3, 40))) select query_id, title, cast(row_number() over (partition by query_id order by s, rank, title) as integer) as rank from (select query_id, title, min(s) as s, arg_min(rank, s) as rank from (select query_id, title, 0 as s, rank from explicit union all select query_id, seed, 1, rank from seeds where rank <= 3) group by query_id, title)")
 def h02_explicit_seeds(spark, d):
     g, _, seeds = _retrieved(spark, d)
     two = V.numbered(g.vertices.select("title"), "title").where("id in (3, 40)").select("title", F.lit(1).alias("rank"))
     explicit = seeds.select("query_id").distinct().join(F.broadcast(two))
-    return H.union_seeds(explicit, seeds)
+    return H.union_seeds(explicit, seeds.where("rank <= 3"))  # three beside those asked for
 
 
 def _parts(spark, d):
@@ -905,4 +952,22 @@ _COLUMNS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "
 
 @query(" union all ".join(f"select '{n}' as name, count(*) as rows, {k} as columns from {n}" for n, k in _COLUMNS.items()))
 def s07_snapshot_manifest(spark, d):
-    return io.snapshot({n: view(spark, d, n) for n in TABLES}, _scratch(spark, "snapshot"))
+    return io.snapshot({n: view(spark, d, n) for n in TABLES}, _scratch(spark, "snapshot")).select("name", "rows", "columns")
+
+
+#: Tables whose columns have one text form in any engine.
+_CHECKED = {"documents": ("doc_id", "text", "lang", "source", "n_chars"), "pages": ("page_id", "url", "html"), "benchmark": ("item_id", "text"), "conversations": ("conv_id", "turn", "role", "text")}
+
+
+def _checksum_sql(name: str, columns: tuple[str, ...]) -> str:
+    texts = ", ".join(f"coalesce('=' || cast({c} as varchar), '-')" for c in columns)
+    return f"select '{name}' as name, count(*) as rows, cast(coalesce(sum(cast(('0x' || substring(md5(concat_ws(chr(31), {texts})), 1, 15)) as hugeint)), 0) as varchar) as checksum from {name}"
+
+
+@query(" union all ".join(_checksum_sql(n, cs) for n, cs in _CHECKED.items()))
+def s07_restored_checksums(spark, d):
+    """A snapshot's tables as restored, which fails where one is damaged, with their checksums."""
+    path = _scratch(spark, "snapshot")
+    io.snapshot({n: view(spark, d, n).select(*cs) for n, cs in _CHECKED.items()}, path)
+    tables = io.restore(spark, path)
+    return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("rows"), io.checksum(t).alias("checksum")).select(F.lit(n).alias("name"), "rows", "checksum") for n, t in sorted(tables.items())])

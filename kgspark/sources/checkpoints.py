@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read from there, with its statistics and only the columns asked for."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str | None = None) -> str:
+    """Name of a table of df in the shared folder, bucketed by key: joins on it do not shuffle it again. With a name, rows are added to that table."""
+    given = name or f"t_{uuid.uuid4().hex}"
+    df.write.mode("append").option("path", f"{shared_folder(df.sparkSession)}/{given}").bucketBy(buckets, key).saveAsTable(given)
+    return given

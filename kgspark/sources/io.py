@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,13 +79,39 @@ def graph_import(nodes: DataFrame, relationships: DataFrame) -> tuple[DataFrame,
     return merged, r.groupBy("from_label", "from_key", "type", "to_label", "to_key").agg(F.max(F.to_json("properties")).alias("properties"))
 
 
+def checksum(df: DataFrame) -> Column:
+    """Sum over rows of 60 bits of the MD5 of their columns' texts: the same in any order of rows, and told apart from one with a row twice or less."""
+    texts = [F.coalesce(F.when(F.col(c).isNotNull(), F.concat(F.lit("="), F.to_json(F.struct(c)) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else F.col(c).cast("string"))), F.lit("-")) for f in df.schema for c in [f.name]]
+    return F.coalesce(F.sum(F.conv(F.substring(F.md5(F.concat_ws("\x1f", *texts)), 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+
 def snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Each table as Parquet under path, and the manifest (name, rows, columns)."""
+    """Each table as Parquet under path, and the manifest (name, rows, columns, checksum, taken_at) in path/_manifest, as read back from the files."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    read = {n: spark.read.parquet(f"{path}/{n}") for n in tables}
-    return reduce(DataFrame.unionByName, [d.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows", F.lit(len(d.columns)).alias("columns")) for n, d in read.items()])
+    manifest = _described({n: spark.read.schema(df.schema).parquet(f"{path}/{n}") for n, df in tables.items()})
+    manifest.withColumn("taken_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/_manifest")
+    return spark.read.parquet(f"{path}/_manifest")
+
+
+def _described(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [d.agg(F.count("*").alias("rows"), checksum(d).alias("checksum")).select(F.lit(n).alias("name"), "rows", F.lit(len(d.columns)).alias("columns"), "checksum") for n, d in tables.items()])
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """(name, rows, found_rows): tables of a snapshot whose rows or checksum are not those of its manifest."""
+    manifest = spark.read.parquet(f"{path}/_manifest")
+    names = [r.name for r in manifest.select("name").collect()]  # a row a table
+    found = _described({n: spark.read.parquet(f"{path}/{n}") for n in names}).select("name", F.col("rows").alias("found_rows"), F.col("checksum").alias("found"))
+    return manifest.join(found, "name").where("rows <> found_rows or checksum <> found").select("name", "rows", "found_rows")
+
+
+def restore(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a snapshot, checked against its manifest; a ValueError names those that are damaged."""
+    if bad := [r.name for r in damaged(spark, path).orderBy("name").collect()]:
+        raise ValueError(f"damaged: {', '.join(bad)}")
+    return {r.name: spark.read.parquet(f"{path}/{r.name}") for r in spark.read.parquet(f"{path}/_manifest").select("name").collect()}
 
 
 def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
