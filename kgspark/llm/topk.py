@@ -24,8 +24,9 @@ def codes(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_c
     """(vec_id, codes array<double>, norm2): floor(scale * x), x as double, kept as exact doubles; unusable vectors left out."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     fine = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rint = lambda x: (x * scale) - F.pmod(x * scale, F.lit(1.0))
-    out = vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, rint).alias("codes"))
+    # beyond 2^53 a double is whole; below, its floor fits a long, and tiny negatives go to -1
+    floor = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+    out = vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: floor(x * scale)).alias("codes"))
     return out.withColumn("norm2", F.aggregate("codes", F.lit(0.0), lambda a, x: a + x * x))
 
 
