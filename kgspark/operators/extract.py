@@ -128,7 +128,13 @@ def tag(chunks: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
     """(chunk_id, title): names (name, title) found as runs of up to `longest` words of a chunk, without case."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9#]+"), lambda w: w != "")
     n = F.size("words")
-    runs = F.array_distinct(F.flatten(F.array(*[F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.array_join(F.slice("words", i, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1)])))
+
+    def of(k: int) -> Column:
+        # a lambda of one argument: a second one would be the place in the list
+        runs = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice("words", i, k), " "))
+        return F.when(n >= k, runs).otherwise(F.array().cast("array<string>"))
+
+    runs = F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, longest + 1)])))
     grams = chunks.select("chunk_id", words.alias("words")).where("size(words) > 0").select("chunk_id", F.explode(runs).alias("name"))
     return grams.join(names.select(F.lower("name").alias("name"), "title").distinct(), "name").select("chunk_id", "title").distinct()
 

@@ -47,6 +47,12 @@ def test_siblings_are_all_pairs(spark):
     assert len(got) == len(want) and {(r.chunk_id, r.source, r.target) for r in got} == want and {r.relation_type for r in got} == {"sibling"}
 
 
+def test_tagger_finds_names_anywhere(spark):
+    chunks = spark.createDataFrame([(1, "A red bolt, the Blue gear and one very long name here; red"), (2, ""), (3, None)], "chunk_id long, text string")
+    names = spark.createDataFrame([("Red bolt", "R"), ("red bolt", "R"), ("blue gear", "B"), ("red", "red"), ("very long name here", "L"), ("gear one", "no"), ("one very long name here", "five words")], "name string, title string")
+    assert sorted(tuple(r) for r in E.tag(chunks, names).collect()) == [(1, "B"), (1, "L"), (1, "R"), (1, "red")]
+
+
 def titles(n, seed=5):
     rng = random.Random(seed)
     words = ["gradient", "descent", "linear", "map", "graph", "neural", "network", "tree", "search", "the"]
