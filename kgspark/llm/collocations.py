@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -26,8 +27,6 @@ from kgspark.llm.common import bit_filter, in_filter, materialize
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(BREAKS + b"\t", b"\n" * len(BREAKS) + b" ")
-KEYS = ["lang", "w1", "w2", "w3"]
-_COUNTS = "lang string, w1 binary, w2 binary, w3 binary, c long"
 
 
 class _Numbers(dict):
@@ -113,10 +112,10 @@ def _count(chunks: DataFrame, order: int, least: int, words: Broadcast | None =
 
     def rows(lang: str, vocabulary: pa.Array, columns: list[np.ndarray], c: np.ndarray, step: int = 1 << 15) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(c), step):
+            # one short key a row: the words, which hold no space, and then the language
             own = [vocabulary.take(pa.array(x[i : i + step])) for x in columns]
-            n = len(own[0])
-            own += [pa.nulls(n, pa.binary())] * (3 - len(own))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), *own, pa.array(c[i : i + step], pa.int64())], names=[*KEYS, "c"])
+            key = pc.binary_join_element_wise(*own, pa.scalar(lang.encode(), pa.binary()), pa.scalar(b" ", pa.binary()))
+            yield pa.RecordBatch.from_arrays([key, pa.array(c[i : i + step], pa.int64())], names=["key", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,7 +147,12 @@ def _count(chunks: DataFrame, order: int, least: int, words: Broadcast | None =
                 yield from rows(lang, vocabulary, [a[key // v], z[key // v], key % v], c)
             pa.default_memory_pool().release_unused()
 
-    return chunks.select("lang", "words", "ids").mapInArrow(run, _COUNTS).groupBy(*KEYS).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    counted = chunks.select("lang", "words", "ids").mapInArrow(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    text = F.col("key").cast("string")
+    words_only = F.substring_index(text, " ", order)
+    word = lambda i: F.substring_index(F.substring_index(words_only, " ", i), " ", -1) if i <= order else F.lit(None)
+    lang = F.substr(text, F.length(words_only) + 2)
+    return counted.select(lang.alias("lang"), *[word(i).cast("binary").alias(f"w{i}") for i in (1, 2, 3)], "c")
 
 
 def _in_order(stream: DataFrame, keys: list[str], parts: int) -> DataFrame:
