@@ -132,11 +132,13 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInPandas(run, PARSED)
 
 
-def page_links(parsed: DataFrame, scope: urls.Scope) -> DataFrame:
-    """(url, pos, link, kind): links of each page, made absolute and bare, the first place of each; images count as external."""
+def page_links(parsed: DataFrame, scope: urls.Scope, once: bool = True) -> DataFrame:
+    """(url, pos, link, kind): links of each page, made absolute and bare, the first place of each (or, unless once, every place); images count as external."""
     rows = parsed.where("error is null").select("url", F.explode("hrefs").alias("h")).select("url", F.col("h.pos").alias("pos"), urls.normalize(F.col("h.href"), F.col("url")).alias("link"))
     kind = urls.classify(F.col("link"), scope)
-    return rows.groupBy("url", "link").agg(F.min("pos").alias("pos")).select("url", "pos", "link", F.when(kind == "image", "external").otherwise(kind).alias("kind"))
+    if once:
+        rows = rows.groupBy("url", "link").agg(F.min("pos").alias("pos"))
+    return rows.select("url", "pos", "link", F.when(kind == "image", "external").otherwise(kind).alias("kind"))
 
 
 def links_found(links: DataFrame) -> DataFrame:

@@ -9,15 +9,25 @@ from pyspark.sql import functions as F
 def discover(links: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """links (url, resource_type, discovered_from, ord) → new resources; the first in order gives type and origin. Combined before the shuffle."""
     first = links.where("resource_type <> 'internal'").groupBy("url").agg(F.min_by(F.struct("resource_type", "discovered_from"), "ord").alias("x")).select("url", "x.*")
-    status = F.when(F.col("resource_type").isin("pdf", "video"), "pending").when(F.col("resource_type") == "image", "ingested").otherwise("skipped")
-    out = first.withColumn("status", status)
+    out = first.withColumn("status", first_status(F.col("resource_type")))
     return out if existing is None else out.join(existing.select("url"), "url", "left_anti")
 
 
+def first_status(resource_type: Column) -> Column:
+    return F.when(resource_type.isin("pdf", "video"), "pending").when(resource_type == "image", "ingested").otherwise("skipped")
+
+
 def apply_results(resources: DataFrame, results: DataFrame) -> DataFrame:
-    """results (url, ok): pending resources become ingested or failed."""
-    now = F.when((F.col("status") == "pending") & F.col("ok").isNotNull(), F.when(F.col("ok"), "ingested").otherwise("failed")).otherwise(F.col("status"))
-    return resources.join(results, "url", "left").withColumn("status", now).drop("ok")
+    """results (url, ok, and where known local_path, metadata, at): pending resources become ingested, with what is known of them, or failed, which changes the status alone."""
+    known = {"local_path": "local_path", "metadata": "metadata", "at": "ingested_at"}
+    r = results.select("url", F.struct("ok", *[c for c in known if c in results.columns]).alias("_r"))
+    turned = (F.col("status") == "pending") & F.col("_r.ok").isNotNull()
+    put = {"status": F.when(turned, F.when(F.col("_r.ok"), "ingested").otherwise("failed")).otherwise(F.col("status"))}
+    for given, name in known.items():
+        if given in results.columns:
+            old = F.col(name) if name in resources.columns else F.lit(None)
+            put[name] = F.when(turned & F.col("_r.ok"), F.col(f"_r.{given}")).otherwise(old)
+    return resources.join(r, "url", "left").withColumns(put).drop("_r")
 
 
 def reset_failed(resources: DataFrame, kind: str = "video") -> DataFrame:
@@ -45,11 +55,22 @@ def transcript_failure(message: Column) -> Column:
 
 def failures(attempts: DataFrame) -> DataFrame:
     """One row per url: the first failure's type, the last message and status, count, first and last time."""
-    t = attempts.withColumn("failure_type", fetch_failure(F.col("status_code"), F.col("error_kind"))).withColumn("at", F.struct("ts", "event_id"))
-    return t.groupBy("url").agg(
-        F.min_by("failure_type", "at").alias("failure_type"), F.max_by("message", "at").alias("error_message"), F.max_by("status_code", "at").alias("status_code"),
-        F.count("*").alias("attempts"), F.min("ts").alias("first_failed_at"), F.max("ts").alias("last_failed_at"),
-    )
+    return finished_failures(failure_parts(attempts))
+
+
+def failure_parts(attempts: DataFrame) -> DataFrame:
+    """(url, first, last, attempts) of some attempts; parts of several lots merge to that of all."""
+    kind = fetch_failure(F.col("status_code"), F.col("error_kind"))
+    one = attempts.select("url", F.struct("ts", "event_id", kind.alias("failure_type")).alias("first"), F.struct("ts", "event_id", F.col("message").alias("error_message"), "status_code").alias("last"), F.lit(1).cast("long").alias("attempts"))
+    return merge_failure_parts(one)
+
+
+def merge_failure_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("url").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("attempts").alias("attempts"))
+
+
+def finished_failures(parts: DataFrame) -> DataFrame:
+    return parts.select("url", "first.failure_type", "last.error_message", "last.status_code", "attempts", F.col("first.ts").alias("first_failed_at"), F.col("last.ts").alias("last_failed_at"))
 
 
 def corpus_stats(pages: DataFrame, resources: DataFrame, failed: DataFrame) -> DataFrame:

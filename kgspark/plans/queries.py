@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from kgspark.functions import urls
 from kgspark.functions.fuzzy import normalize_title, similar_pairs
@@ -25,6 +26,7 @@ from kgspark.operators import vectors as V
 from kgspark.plans.build import graph_of, read_once
 from kgspark.sources import io
 from kgspark.sources.checkpoints import cut, shared_folder
+from kgspark.sources.tables import KeyedTable
 from kgspark.sources.views import TABLES, view, with_views
 from kgspark.streaming import upserts
 
@@ -226,11 +228,21 @@ def d01_discover_resources(spark, d):
     return _discovered(spark, d).select("url", "resource_type", "discovered_from", "status")
 
 
-@query(_DISC + " select url, resource_type, case when status = 'pending' and contains(url, '5') then case when contains(url, '3') then case when resource_type = 'video' then 'pending' else 'failed' end else 'ingested' end else status end as status from res", "v_mention")
+_DONE = "status = 'pending' and contains(url, '5')"
+
+
+@query(
+    _DISC
+    + f""" select url, resource_type, case when {_DONE} then case when contains(url, '3') then case when resource_type = 'video' then 'pending' else 'failed' end else 'ingested' end else status end as status,
+case when {_DONE} and not contains(url, '3') then concat('/data/', md5(url)) end as local_path, case when {_DONE} and not contains(url, '3') then length(url) end as pages, case when {_DONE} and not contains(url, '3') then timestamp '2024-01-01 00:00:00' end as ingested_at from res""",
+    "v_mention",
+)
 def d02_status_lifecycle(spark, d):
+    """Results turn pending resources; what is known of a fetched one is put beside it."""
     r = _discovered(spark, d)
-    results = r.where("contains(url, '5')").select("url", (~F.contains("url", F.lit("3"))).alias("ok"))
-    return RS.reset_failed(RS.apply_results(r, results)).select("url", "resource_type", "status")
+    known = [F.concat(F.lit("/data/"), F.md5("url")).alias("local_path"), F.struct(F.length("url").cast("long").alias("pages")).alias("metadata"), F.to_timestamp(F.lit("2024-01-01")).alias("at")]
+    results = r.where("contains(url, '5')").select("url", (~F.contains("url", F.lit("3"))).alias("ok"), *known)
+    return RS.reset_failed(RS.apply_results(r, results)).select("url", "resource_type", "status", "local_path", "metadata.pages", "ingested_at")
 
 
 _LG = """l as (select distinct concat('c', cast(o_custkey as string)) as a, concat('p', cast(l_partkey as string)) as b from orders join lineitem on l_orderkey = o_orderkey where l_quantity > 47
@@ -283,11 +295,11 @@ def d05_url_listing(spark, d):
 
 @query(
     """with o as (select *, case when status_code is not null then 'http_error' when error_kind = 'timeout' then 'timeout' else 'request_error' end as ft, row_number() over (partition by url order by ts, event_id) as a, row_number() over (partition by url order by ts desc, event_id desc) as z from v_attempt)
-select url, max(ft) filter (a = 1) as failure_type, max(message) filter (z = 1) as error_message, max(status_code) filter (z = 1) as status_code, count(*) as attempts from o group by url""",
+select url, max(ft) filter (a = 1) as failure_type, max(message) filter (z = 1) as error_message, max(status_code) filter (z = 1) as status_code, count(*) as attempts, min(ts) as first_failed_at, max(ts) as last_failed_at from o group by url""",
     "v_attempt",
 )
 def d06_failure_log(spark, d):
-    return RS.failures(view(spark, d, "v_attempt")).drop("first_failed_at", "last_failed_at")
+    return RS.failures(view(spark, d, "v_attempt"))
 
 
 # --- documents --------------------------------------------------------------------------------------
@@ -894,22 +906,26 @@ def s01_json_arrays(spark, d):
 
 @query(_LINKS.replace("select url as page, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href", "select url as page, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href") + f" select url, arg_min(case kind when 'image' then 'external' else kind end, page) as resource_type, min(page) as discovered_from from (select page, url, {_CLASS} as kind from l) where kind <> 'internal' group by url")
 def k01_discover_stream(spark, d):
-    """Pages come as a stream of files, in one batch; resources are stored by batch."""
+    """Pages come as a stream of files in order of url, one a batch; a batch adds the resources that none before had."""
     base = _scratch(spark, "discover")
-    view(spark, d, "pages").write.parquet(f"{base}/pages")
-    pages = spark.readStream.schema(view(spark, d, "pages").schema).parquet(f"{base}/pages")
-    upserts.discover_stream(pages, SCOPE, f"{base}/store", f"{base}/checkpoint").awaitTermination()
+    pages = view(spark, d, "pages")
+    pages.repartitionByRange(3, "url").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{base}/parts")
+    for n in range(3):  # files are taken by their time
+        spark.read.schema(StructType([*pages.schema.fields, StructField("part", IntegerType())])).parquet(f"{base}/parts").where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/pages")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/pages")
+    upserts.discover_stream(stream, SCOPE, f"{base}/store", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/store").select("url", "resource_type", "discovered_from")
 
 
 @query(ORACLE_SQL["d06_failure_log"])
 def k02_failure_stream(spark, d):
-    """Attempts come as a stream of files, one a batch; the state is a row a url."""
+    """Attempts come as a stream of files in no order, four batches; parts of urls are merged, the first two batches' in a folder of their own."""
     base = _scratch(spark, "failures")
     a = view(spark, d, "v_attempt")
-    a.repartitionByRange(3, "ts", "event_id").write.parquet(f"{base}/attempts")
+    a.repartition(4, "event_id").write.parquet(f"{base}/attempts")
     stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/attempts")
-    return upserts.run_failures(spark, stream, f"{base}/store", f"{base}/checkpoint").drop("first_failed_at", "last_failed_at")
+    upserts.failure_stream(stream, f"{base}/store", f"{base}/checkpoint", every=2).awaitTermination()
+    return upserts.stored_failures(spark, f"{base}/store")
 
 
 @query(_CHUNKS + " select chunk_id, text, source_url, coalesce(nullif(source_type, 'src3'), 'unknown') as source_type, source_title, chunk_index, token_count from ch", "v_document")
@@ -930,6 +946,29 @@ def s04_upsert(spark, d):
     return io.upsert(base, updates, "user_id", "event_id")
 
 
+_S04_SPLIT = "event_type <> 'error' and user_id % 3 <> 0"
+
+
+@query(ORACLE_SQL["s04_upsert"])
+def s04_incremental_upsert(spark, d):
+    """The same rows by two puts into a bucketed table, the first compacted."""
+    e = view(spark, d, "events")
+    table = KeyedTable(spark, _scratch(spark, "users"), "user_id")
+    table.create(e.where(_S04_SPLIT).groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.min("props").alias("props")))
+    updates = e.where("event_type = 'error'").select("user_id", "event_id", F.nullif("props", F.lit("")).alias("props"))
+    middle = updates.agg(F.avg("event_id")).first()[0] or 0
+    table.put(updates.where(F.col("event_id") <= middle), "event_id")
+    table.compact()
+    table.put(updates.where(F.col("event_id") > middle), "event_id")
+    return table.read()
+
+
+@query(f"select count(*) filter (b.user_id is null) as inserted, count(b.user_id) as updated from (select distinct user_id from events where event_type = 'error') u left join (select distinct user_id from events where {_S04_SPLIT}) b on u.user_id = b.user_id")
+def s04_upsert_counts(spark, d):
+    e = view(spark, d, "events")
+    return io.upsert_counts(e.where(_S04_SPLIT).select("user_id").distinct(), e.where("event_type = 'error'"), "user_id")
+
+
 @graph_query("select 'Concept' as label, title as key, difficulty as about from canon union all select distinct 'Resource', url, case when contains(lower(url), 'youtu') then 'video' when lower(url) like '%.pdf' then 'pdf' when lower(url) like '%.pptx' then 'slide' else 'web' end from x union all select 'Example', example_id, example_type from ex")
 def s05_graph_export_nodes(spark, d):
     g = graph_of(spark, d)

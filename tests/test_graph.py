@@ -18,6 +18,7 @@ from kgspark.operators import retrieve as H
 from kgspark.operators import traverse as T
 from kgspark.operators import vectors as V
 from kgspark.sources import io
+from kgspark.sources.tables import complete
 from kgspark.streaming import upserts
 
 SF = "/root/testdata/sf0.001"
@@ -159,15 +160,36 @@ def test_streams_equal_batch(spark, tmp_path):
     src = src.withColumn("ts", F.timestamp_seconds("t")).drop("t")
     src.repartition(3).write.parquet(str(tmp_path / "a"))
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a"))
-    got = upserts.run_failures(spark, stream, str(tmp_path / "s1"), str(tmp_path / "c1"))
+    q = upserts.failure_stream(stream, str(tmp_path / "s1"), str(tmp_path / "c1"), every=2)
+    q.awaitTermination()
+    got = upserts.stored_failures(spark, str(tmp_path / "s1"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in RS.failures(src).collect()}
+    assert complete(spark, str(tmp_path / "s1")) == [f"batch={i:09}" for i in range(3)] + [f"upto={1:09}"] and not q.lastProgress["stateOperators"]
+    # later attempts, of earlier times too, go on from the store; a merged folder cut short does not count
+    late = src.withColumn("ts", F.col("ts") - F.expr("interval 1 day")).limit(7)
+    late.write.mode("append").parquet(str(tmp_path / "a"))
+    upserts.failure_stream(stream, str(tmp_path / "s1"), str(tmp_path / "c1"), every=2).awaitTermination()
+    (tmp_path / "s1" / "upto=000000099").mkdir()
+    want = {tuple(r) for r in RS.failures(spark.read.parquet(str(tmp_path / "a"))).collect()}
+    assert {tuple(r) for r in upserts.stored_failures(spark, str(tmp_path / "s1")).collect()} == want
     pages = spark.read.parquet(f"{SF}/pages.parquet").limit(40)
-    pages.repartition(3).write.parquet(str(tmp_path / "p"))
+    pages = pages.union(pages.limit(5)).repartition(3)
+    pages.write.parquet(str(tmp_path / "p"))
     scope = urls.Scope("none.example.org", ("/",))
     ps = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p"))
+    q = upserts.discover_stream(ps, scope, str(tmp_path / "store"), str(tmp_path / "c2"))
+    q.awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "store"))
+    found = [r.url for r in stored.collect()]
+    assert len(found) == len(set(found)) and set(found) == {r.url for r in RS.discover(upserts.page_resource_links(pages, scope)).collect()}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == len(found) and "rocksdbCommitFlushLatency" in str(q.lastProgress)
+    # the same pages once more bring nothing new, and a link keeps its first origin
+    before = {r.url: r.discovered_from for r in stored.collect()}
+    again = pages.limit(40).withColumn("url", F.concat(F.lit("http://a.example/"), "page_id"))
+    again.write.mode("append").parquet(str(tmp_path / "p"))
     upserts.discover_stream(ps, scope, str(tmp_path / "store"), str(tmp_path / "c2")).awaitTermination()
-    found = {r.url for r in spark.read.parquet(str(tmp_path / "store")).collect()}
-    assert found == {r.url for r in RS.discover(upserts.page_resource_links(pages, scope)).collect()}
+    after = {r.url: r.discovered_from for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert {u: f for u, f in after.items() if u in before} == before
 
 
 def test_vector_search_in_blocks(spark):

@@ -9,7 +9,9 @@ from kgspark.operators import extract as E
 from kgspark.operators import relations as R
 from kgspark.operators import traverse as T
 from kgspark.plans.build import build
+from kgspark.operators import resources as RS
 from kgspark.sources import io
+from kgspark.sources.tables import KeyedTable
 
 
 def test_crawl_equals_plain_search(spark):
@@ -140,3 +142,54 @@ def test_snapshot_tells_damage(spark, tmp_path):
         assert [r.name for r in io.damaged(spark, path).collect()] == ["a"]
         with pytest.raises(ValueError, match="damaged: a"):
             io.restore(spark, path)
+
+
+def files(path):
+    return {str(f): f.read_bytes() for f in path.rglob("*.parquet")}
+
+
+def test_keyed_table_equals_plain_dict(spark, tmp_path):
+    rng = random.Random(8)
+    table = KeyedTable(spark, str(tmp_path / "t"), "k", buckets=8)
+    want = {i: {"x": f"b{i}", "kept": i * 10, "n": None} for i in range(60)} | {None: {"x": None, "kept": 1, "n": None}}
+    table.create(spark.createDataFrame([(k, r["x"], r["kept"]) for k, r in want.items()], "k int, x string, kept int"))
+    schemas = {"x": "string", "n": "map<string, int>"}
+    for turn in range(4):
+        names = [["x"], ["n"], ["x", "n"], ["x"]][turn]
+        keys = [rng.choice([None, *range(70)]) for _ in range(12)]
+        rows = [(k, v, *[None if rng.random() < 0.3 else f"{turn}-{v}" if c == "x" else {"a": v} for c in names]) for v, k in enumerate(keys)]
+        for k, _, *values in rows:
+            want.setdefault(k, {"x": None, "kept": None, "n": None}).update(zip(names, values))
+        table.put(spark.createDataFrame(rows, "k int, v int, " + ", ".join(f"{c} {schemas[c]}" for c in names)), "v")
+        if turn == 1:
+            before = files(tmp_path)
+            touched = table.compact()
+            assert touched and table.compact() == [] and files(tmp_path).items() >= before.items()
+        if turn:
+            got = {r.k: {c: r[c] for c in ("x", "kept", "n")} for r in table.read().collect()}
+            assert got == want
+    # a put and a compaction that were cut short change nothing; an empty put neither
+    (tmp_path / "t" / "delta=000000090").mkdir()
+    (tmp_path / "t" / "where=000000091").mkdir()
+    table.put(spark.createDataFrame([], "k int, v int, x string"), "v")
+    assert {r.k: r.x for r in table.read().collect()} == {k: r["x"] for k, r in want.items()}
+    # one touched bucket: the others' rows lie where they lay
+    table.compact()
+    where = table._where()
+    table.put(spark.createDataFrame([(3, 1, "last")], "k int, v int, x string"), "v")
+    (bucket,) = table.compact()
+    assert {b: v for b, v in table._where().items() if b != bucket} == {b: v for b, v in where.items() if b != bucket}
+    assert table.read().where("k = 3").first().x == "last" and table.read().count() == len(want)
+    empty = KeyedTable(spark, str(tmp_path / "e"), "k", buckets=4)
+    empty.create(spark.createDataFrame([], "k int, x string"))
+    assert empty.read().count() == 0
+    empty.put(spark.createDataFrame([(1, 1, "a"), (1, 1, "b")], "k int, v int, x string"), "v")
+    assert [tuple(r) for r in empty.read().collect()] == [(1, "b")]
+
+
+def test_results_turn_pending_resources(spark):
+    r = spark.createDataFrame([("a", "pending"), ("b", "pending"), ("c", "ingested"), ("d", "pending")], "url string, status string").withColumn("local_path", F.lit("old"))
+    results = spark.createDataFrame([("a", True, "pa", {"pages": 3}), ("b", False, "pb", None), ("c", True, "pc", None)], "url string, ok boolean, local_path string, metadata map<string, int>")
+    got = {x.url: (x.status, x.local_path, x.metadata) for x in RS.apply_results(r, results).collect()}
+    assert got == {"a": ("ingested", "pa", {"pages": 3}), "b": ("failed", "old", None), "c": ("ingested", "old", None), "d": ("pending", "old", None)}
+    assert {x.url: x.status for x in RS.apply_results(r, results.select("url", "ok")).collect()}["a"] == "ingested"
