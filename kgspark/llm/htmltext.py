@@ -6,10 +6,11 @@ occurrence vectors over the distinct pages of a host are equal make an
 equivalence class. A class on at least half of the pages is valid if its tokens
 have an order and lie in one gap of each class around it; valid classes nested
 so are the host's template, and the gaps between their tokens are its slots. The
-article is what the slots of one template element hold: texts of the template
-itself are left out, wherever they stand. Element names decide only what the
-template leaves open: which of the slots' texts are surroundings that differ
-from page to page. Occurrence vectors are compared by a commutative 64-bit
+article is what the slots of one template element hold. Texts of the template
+itself are left out unless they stand inside an article or main element: a note
+that many articles of a host share belongs to each of them. Element names decide
+what the template leaves open: which of the slots' texts are surroundings that
+differ from page to page. Occurrence vectors are compared by a commutative 64-bit
 digest, so that no host is gathered in one place: counts and digests are
 combined before the shuffle.
 """
@@ -33,7 +34,7 @@ from kgspark.llm.common import materialize
 #: Element names by what they mean for the layout of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes noscript head template form button select option svg canvas object audio video map math dialog".split())
+HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes noscript head template form button select option svg canvas audio video dialog".split())
 ASIDE = frozenset("nav footer aside menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -46,6 +47,8 @@ MARKS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar side aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner notice notices cookie cookies consent gdpr alert popup modal "
     "newsletter subscribe signup comment comments reply replies respond disqus discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager widget contentinfo complementary search toolbar".split()
 )
+#: Words of such values that tell a place or shape of what another word names.
+SHAPES = frozenset("box slot list links block bar container wrapper wrap section area inner outer top bottom left right item items unit form button buttons content body panel region group main page site global primary secondary".split())
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(?:/?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[!?][^>]*>)|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -59,18 +62,26 @@ class Element:
         self.name, self.parent, self.chars = name, parent, 0
         values = [v.strip("\"'").lower() for _, v in ATTRIBUTE.findall(attributes)] if "=" in attributes else []
         self.marks = {w for v in values for w in SPLIT.split(v) if w}
+        inside = parent.main if parent else False
+        # inside an article a value counts if all of it says so: related-links does, related-work is of the article
+        marked = self.marks & MARKS if not inside else any(names_aside(w) for v in values for w in v.split())
         label = name + "".join("." + v for v in sorted(values) if not any(c.isdigit() for c in v))
         # of the whole path, made step by step
         self.path = digest(label, parent.path) if parent else 0
         self.depth = parent.depth + 1 if parent else 0
         self.block = self if parent is None or name in BLOCKS else parent.block
         self.slot = False
-        inside = parent.main if parent else False
         self.main = inside or name in ("article", "main") or "main" in self.marks and name != "body"
-        own = name in HIDDEN or name in ASIDE or (name == "header" and not inside) or (name not in ("html", "body", "article", "main", "h1", "h2", "h3", "p") and bool(self.marks & MARKS)) or (name == "article" and bool(self.marks & {"comment", "reply", "related", "teaser", "promo", "ad"}))
+        own = name in HIDDEN or name in ASIDE or (name == "header" and not inside) or (name not in ("html", "body", "article", "main", "h1", "h2", "h3", "p") and bool(marked)) or (name == "article" and bool(self.marks & {"comment", "reply", "related", "teaser", "promo", "ad"}))
         self.hidden = own or (parent.hidden if parent else False)
 
 
+def names_aside(value: str) -> bool:
+    """Is one class, id or role made of words for surroundings and, beside them, shapes and numbers only?"""
+    words = [w for w in SPLIT.split(value) if w and not any(c.isdigit() for c in w)]
+    return any(w in MARKS for w in words) and all(w in MARKS or w in SHAPES for w in words)
+
+
 STOPS = frozenset("td th li button article body".split())
 
 
@@ -248,7 +259,7 @@ def extract(page: str | None, template: Template | None = None) -> str:
     """Blocks of the article, one a line.
 
     The region is what lies in the slots of the template's main element, without
-    the template's own texts. Of that, hidden elements and those marked as
+    the template's own texts that no article or main element holds. Of that, hidden elements and those marked as
     surroundings do not count; if any of it lies in article or main elements,
     only that does. A page without that element goes by such elements, or as a
     whole.
@@ -279,7 +290,7 @@ def extract(page: str | None, template: Template | None = None) -> str:
         if e.block is not last:
             end()
             last = e.block
-        if e.hidden or texts and (words := text.split()) and text_token(e, words) in texts:
+        if e.hidden or texts and not e.main and (words := text.split()) and text_token(e, words) in texts:
             continue
         parts["body"].append(text)
         for kind, inside in (("main", e.slot and e.main), ("slot", e.slot), ("named", e.main)):

@@ -302,6 +302,18 @@ def test_html(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_the_article_holds(spark):
+    note = "The standard editorial note of this series applies here."
+    page = lambda i: f"<html><body><nav>Home</nav><article><h1>T{i}</h1><p>own {i}</p><p>{note}</p></article><div>All rights reserved</div></body></html>"
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.main_text(df).collect()} == {i: f"T{i}\nown {i}\n{note}" for i in range(8)}
+    inside = lambda x: htmltext.extract(f"<body><article><p>before</p>{x}<p>after</p></article></body>").split("\n")[1:-1]
+    for kept in ('<section class="related-work"><p>x</p></section>', '<div class="notice-period">x</div>', '<div id="search-algorithms"><p>x</p></div>', '<table class="header-table"><tr><td>x</td></tr></table>', "<p><math><mi>x</mi></math></p>", "<object><p>x</p></object>", '<div class="content comment-theory">x</div>'):
+        assert inside(kept) == ["x"], kept
+    for gone in ('<div class="related-links">x</div>', '<div class="box ad-slot-3">x</div>', '<section id="comments"><p>x</p></section>', '<div class="newsletter-signup">x</div>', '<div class="share_buttons">x</div>', "<aside>x</aside>", '<div role="complementary">x</div>', '<ul class="breadcrumb"><li>x</ul>'):
+        assert inside(gone) == [], gone
+
+
 def test_html_template_equals_plain_deduction(spark):
     rng = np.random.default_rng(12)
     said = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"], n)) + f" {rng.integers(1 << 40)}"
