@@ -969,20 +969,50 @@ def s04_upsert_counts(spark, d):
     return io.upsert_counts(e.where(_S04_SPLIT).select("user_id").distinct(), e.where("event_type = 'error'"), "user_id")
 
 
-@graph_query("select 'Concept' as label, title as key, difficulty as about from canon union all select distinct 'Resource', url, case when contains(lower(url), 'youtu') then 'video' when lower(url) like '%.pdf' then 'pdf' when lower(url) like '%.pptx' then 'slide' else 'web' end from x union all select 'Example', example_id, example_type from ex")
+_NODES = """select 'Concept' as label, title as key, difficulty as about, definition, aliases, mention_count from canon union all select distinct 'Resource', url, case when contains(lower(url), 'youtu') then 'video' when lower(url) like '%.pdf' then 'pdf' when lower(url) like '%.pptx' then 'slide' else 'web' end, null, null, null from x union all select 'Example', example_id, example_type, null, null, null from ex"""
+_RELS = "select 'Concept' as from_label, source as from_key, rel_type as type, target as to_key, n from e union all select 'Resource', url, 'EXPLAINS', concept, null from x union all select 'Example', example_id, 'EXEMPLIFIES', concept, null from lk"
+
+
+def _exported(spark, d):
+    """The graph as JSON files, read back."""
+    g, path = graph_of(spark, d), _scratch(spark, "graph")
+    io.write_graph(*io.graph_export(g.vertices, g.resources, g.explains, g.edges, g.examples, g.exemplifies), path)
+    return io.read_graph(spark, path)
+
+
+def _node_columns(p):
+    return [F.coalesce(p["title"], p["url"], p["example_id"]).alias("key"), F.coalesce(p["difficulty"], p["type"], p["example_type"]).alias("about")]
+
+
+@graph_query(_NODES)
 def s05_graph_export_nodes(spark, d):
-    g = graph_of(spark, d)
-    nodes, _ = io.graph_export(g.vertices, g.resources, g.explains, g.edges, g.examples, g.exemplifies)
     p = F.col("properties")
-    return nodes.select("label", F.coalesce(p["title"], p["url"], p["example_id"]).alias("key"), F.coalesce(p["difficulty"], p["type"], p["example_type"]).alias("about"))
+    return _exported(spark, d)[0].select(F.col("labels")[0].alias("label"), *_node_columns(p), p["definition"].alias("definition"), F.array_join(p["aliases"], "|").alias("aliases"), p["mention_count"].alias("mention_count"))
+
+
+@graph_query(f"select r.*, a.about as from_about, b.aliases as to_aliases from ({_RELS}) r join ({_NODES}) a on a.label = from_label and a.key = from_key join ({_NODES}) b on b.label = 'Concept' and b.key = to_key")
+def s05_graph_export_relationships(spark, d):
+    a, b = F.col("from"), F.col("to.properties")
+    key, about = _node_columns(F.col("from.properties"))
+    return _exported(spark, d)[1].select(a["labels"][0].alias("from_label"), key.alias("from_key"), "type", b["title"].alias("to_key"), F.col("properties.count").alias("n"), about.alias("from_about"), F.array_join(b["aliases"], "|").alias("to_aliases"))
 
 
-@graph_query("select 'Concept' as from_label, source as from_key, rel_type as type, target as to_key from e union all select 'Resource', url, 'EXPLAINS', concept from x union all select 'Example', example_id, 'EXEMPLIFIES', concept from lk")
+@graph_query(_RELS)
 def s06_graph_import_edges(spark, d):
-    g = graph_of(spark, d)
-    nodes, rel = io.graph_export(g.vertices, g.resources, g.explains, g.edges, g.examples, g.exemplifies)
-    _, edges = io.graph_import(nodes.unionByName(nodes), rel.unionByName(rel))
-    return edges.select("from_label", "from_key", "type", "to_key")
+    """Everything comes twice, first with other counts; the last stands."""
+    nodes, rel = _exported(spark, d)
+    older = rel.withColumn("properties", F.col("properties").withField("count", F.lit(10**9).cast("long")))
+    _, edges = io.graph_import(nodes.unionByName(nodes).withColumn("ord", F.lit(0)), older.withColumn("ord", F.lit(0)).unionByName(rel.withColumn("ord", F.lit(1))), "ord")
+    return edges.select("from_label", "from_key", "type", "to_key", F.col("properties.count").alias("n"))
+
+
+@graph_query(_NODES)
+def s06_graph_import_nodes(spark, d):
+    nodes, rel = _exported(spark, d)
+    older = nodes.withColumn("properties", F.col("properties").withField("difficulty", F.lit("zzz")).withField("mention_count", F.lit(10**9).cast("long")))
+    merged, _ = io.graph_import(older.withColumn("ord", F.lit(0)).unionByName(nodes.withColumn("ord", F.lit(1))), rel.withColumn("ord", F.lit(1)), "ord")
+    p = F.col("properties")
+    return merged.select("label", "key", _node_columns(p)[1], p["definition"].alias("definition"), F.array_join(p["aliases"], "|").alias("aliases"), p["mention_count"].alias("mention_count"))
 
 
 #: The columns of the test tables.

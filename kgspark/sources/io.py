@@ -55,28 +55,67 @@ def upsert_counts(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return u.agg(F.count_if(F.col("_old").isNull()).alias("inserted"), F.count_if(F.col("_old").isNotNull()).alias("updated"))
 
 
+#: Properties of an exported node of any label, and of a relationship; JSON leaves out those that are null.
+NODE = "title string, definition string, difficulty string, aliases array<string>, mention_count long, url string, type string, example_id string, text string, concept string, example_type string, chunk_id string, source_url string"
+RELATIONSHIP = "count long"
+KEYS = ("title", "url", "example_id")
+
+
+def _fields(schema: str, given: DataFrame) -> Column:
+    return F.struct(*[(F.col(n) if n in given.columns else F.lit(None)).cast(t).alias(n) for n, t in (f.split() for f in schema.split(", "))])
+
+
+def _label_and_key(labels: Column, properties: Column) -> tuple[Column, Column]:
+    """What tells a node: all its labels, null where it has none, and its title, else its url, else its example_id."""
+    return F.when(F.size(labels) > 0, F.array_join(labels, ":")), F.coalesce(*[properties[k] for k in KEYS])
+
+
 def graph_export(vertices: DataFrame, resources: DataFrame, explains: DataFrame, edges: DataFrame, examples: DataFrame | None = None, exemplifies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes: label, properties map; relationships: from_label, from_key, type, properties, to_label, to_key)."""
-    m = lambda *cs: F.create_map(*[x for c in cs for x in (F.lit(c), F.col(c).cast("string"))])
-    nodes = vertices.select(F.lit("Concept").alias("label"), m("title", "definition", "difficulty", "mention_count").alias("properties")).unionByName(resources.select(F.lit("Resource").alias("label"), m("url", "type").alias("properties")))
+    """(nodes: labels, properties; relationships: from {labels, properties}, type, properties, to {labels, properties}); relationships without one of their ends are left out."""
+    node = lambda df, label: df.select(F.array(F.lit(label)).alias("labels"), _fields(NODE, df).alias("properties"))
+    rel = lambda df, a, source, kind, b, target: df.select(F.lit(a).alias("a"), F.col(source).alias("a_key"), kind.alias("type"), _fields(RELATIONSHIP, df).alias("properties"), F.lit(b).alias("b"), F.col(target).alias("b_key"))
+    nodes = node(vertices, "Concept").unionByName(node(resources, "Resource"))
+    rels = rel(edges, "Concept", "source", F.col("rel_type"), "Concept", "target").unionByName(rel(explains, "Resource", "url", F.lit("EXPLAINS"), "Concept", "concept"))
     if examples is not None:
-        nodes = nodes.unionByName(examples.select(F.lit("Example").alias("label"), m("example_id", "text", "concept", "example_type", "chunk_id", "source_url").alias("properties")))
-    rel = edges.select(F.lit("Concept").alias("from_label"), F.col("source").alias("from_key"), F.col("rel_type").alias("type"), m("count").alias("properties"), F.lit("Concept").alias("to_label"), F.col("target").alias("to_key"))
-    none = F.create_map().cast("map<string,string>")
+        nodes = nodes.unionByName(node(examples, "Example"))
     if exemplifies is not None:
-        rel = rel.unionByName(exemplifies.select(F.lit("Example").alias("from_label"), F.col("example_id").alias("from_key"), F.lit("EXEMPLIFIES").alias("type"), none.alias("properties"), F.lit("Concept").alias("to_label"), F.col("concept").alias("to_key")))
-    return nodes, rel.unionByName(explains.select(F.lit("Resource").alias("from_label"), F.col("url").alias("from_key"), F.lit("EXPLAINS").alias("type"), none.alias("properties"), F.lit("Concept").alias("to_label"), F.col("concept").alias("to_key")))
-
-
-def graph_import(nodes: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merged nodes by natural key (title, url or example_id) and edges between known ends; the last of equals wins by its properties' text."""
-    key = F.coalesce(*[F.col("properties")[k] for k in ("title", "url", "example_id")])
-    keyed = nodes.where("label is not null").withColumn("key", key).where("key is not null").withColumn("text", F.to_json("properties"))
-    merged = keyed.groupBy("label", "key").agg(F.max("text").alias("properties"))
-    ends = merged.select("label", "key")
-    r = relationships.join(ends.select(F.col("label").alias("from_label"), F.col("key").alias("from_key")), ["from_label", "from_key"], "left_semi")
-    r = r.join(ends.select(F.col("label").alias("to_label"), F.col("key").alias("to_key")), ["to_label", "to_key"], "left_semi")
-    return merged, r.groupBy("from_label", "from_key", "type", "to_label", "to_key").agg(F.max(F.to_json("properties")).alias("properties"))
+        rels = rels.unionByName(rel(exemplifies, "Example", "example_id", F.lit("EXEMPLIFIES"), "Concept", "concept"))
+    label, key = _label_and_key(F.col("labels"), F.col("properties"))
+    for end, whole in (("a", "from"), ("b", "to")):
+        rels = rels.join(nodes.select(label.alias(end), key.alias(f"{end}_key"), F.struct("labels", "properties").alias(whole)), [end, f"{end}_key"])
+    return nodes, rels.select("from", "type", "properties", "to")
+
+
+def write_graph(nodes: DataFrame, relationships: DataFrame, path: str) -> None:
+    write_json(nodes, f"{path}/nodes")
+    write_json(relationships, f"{path}/relationships")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    node = f"labels array<string>, properties struct<{NODE.replace(' ', ':').replace(',:', ', ')}>"
+    end = f"struct<{node.replace(' array', ':array').replace('properties ', 'properties:')}>"
+    rel = f"`from` {end}, type string, properties struct<{RELATIONSHIP.replace(' ', ':')}>, `to` {end}"
+    return spark.read.schema(node).json(f"{path}/nodes"), spark.read.schema(rel).json(f"{path}/relationships")
+
+
+def graph_import(nodes: DataFrame, relationships: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(label, key, labels, properties) and (from_label, from_key, type, to_label, to_key, properties): one row per node and per relationship between known nodes.
+
+    Nodes without a label or key, and relationships without a type, are left out.
+    Of equals the properties of the last by the column `order` stand (of the
+    greatest as JSON where it ties or is not given).
+    """
+    last = lambda x: F.max_by(F.struct(*x), F.struct(*([order] if order else []), F.to_json("properties")))
+    label, key = _label_and_key(F.col("labels"), F.col("properties"))
+    keyed = nodes.withColumns({"label": label, "key": key}).where("label is not null and key is not null")
+    merged = keyed.groupBy("label", "key").agg(last(["labels", "properties"]).alias("x")).select("label", "key", "x.*")
+    r = relationships.where("type is not null")
+    for end in ("from", "to"):
+        label, key = _label_and_key(F.col(f"{end}.labels"), F.col(f"{end}.properties"))
+        known = merged.select(F.col("label").alias(f"{end}_label"), F.col("key").alias(f"{end}_key"))
+        r = r.withColumns({f"{end}_label": label, f"{end}_key": key}).join(known, [f"{end}_label", f"{end}_key"], "left_semi")
+    ends = ["from_label", "from_key", "type", "to_label", "to_key"]
+    return merged, r.groupBy(*ends).agg(last(["properties"]).alias("x")).select(*ends, "x.properties")
 
 
 def checksum(df: DataFrame) -> Column:

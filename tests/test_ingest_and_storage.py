@@ -1,6 +1,9 @@
+import json
 import random
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.fuzzy import normalize_title, ratio, similar_pairs
@@ -193,3 +196,32 @@ def test_results_turn_pending_resources(spark):
     got = {x.url: (x.status, x.local_path, x.metadata) for x in RS.apply_results(r, results).collect()}
     assert got == {"a": ("ingested", "pa", {"pages": 3}), "b": ("failed", "old", None), "c": ("ingested", "old", None), "d": ("pending", "old", None)}
     assert {x.url: x.status for x in RS.apply_results(r, results.select("url", "ok")).collect()}["a"] == "ingested"
+
+
+def test_graph_export_and_import(spark, tmp_path):
+    v = spark.createDataFrame([("A", "about", "beginner", ["a", "é"], 3), ("B", None, None, [], 1)], "title string, definition string, difficulty string, aliases array<string>, mention_count long")
+    r = spark.createDataFrame([("http://x", "web")], "url string, type string")
+    x = spark.createDataFrame([("http://x", "A"), ("http://gone", "A")], "url string, concept string")
+    e = spark.createDataFrame([("A", "B", "is-a", 2)], "source string, target string, rel_type string, count long")
+    path = str(tmp_path / "g")
+    io.write_graph(*io.graph_export(v, r, x, e), path)
+    lines = [json.loads(t.value) for t in spark.read.text(f"{path}/relationships").collect()]
+    a = {"labels": ["Concept"], "properties": {"title": "A", "definition": "about", "difficulty": "beginner", "aliases": ["a", "é"], "mention_count": 3}}
+    b = {"labels": ["Concept"], "properties": {"title": "B", "aliases": [], "mention_count": 1}}
+    web = {"labels": ["Resource"], "properties": {"url": "http://x", "type": "web"}}
+    want = [{"from": a, "type": "is-a", "properties": {"count": 2}, "to": b}, {"from": web, "type": "EXPLAINS", "properties": {}, "to": a}]
+    assert sorted(lines, key=lambda t: t["type"]) == sorted(want, key=lambda t: t["type"])
+    assert sorted((json.loads(t.value) for t in spark.read.text(f"{path}/nodes").collect()), key=str) == sorted([a, b, web], key=str)
+    nodes, rels = io.read_graph(spark, path)
+    # unlabelled and keyless nodes are skipped, and so are relationships without a known end; the last properties stand
+    p = F.col("properties")
+    odd = nodes.where("properties.title = 'A'")
+    more = reduce(DataFrame.unionByName, [odd.withColumn("labels", F.array().cast("array<string>")), odd.withColumn("labels", F.lit(None).cast("array<string>")), odd.withColumn("properties", p.withField("title", F.lit(None).cast("string"))), odd.withColumn("properties", p.withField("definition", F.lit("zzz")))])
+    lost = rels.where("type = 'is-a'").withColumn("to", F.col("to").withField("properties", F.col("to.properties").withField("title", F.lit("unknown"))))
+    unlabelled = rels.where("type = 'is-a'").withColumn("from", F.col("from").withField("labels", F.lit(None).cast("array<string>")))
+    late = rels.where("type = 'is-a'").withColumn("properties", F.col("properties").withField("count", F.lit(1).cast("long")))
+    at = lambda df, n: df.withColumn("at", F.lit(n))
+    got, edges = io.graph_import(at(more, 1).unionByName(at(nodes, 2)), reduce(DataFrame.unionByName, [at(rels, 1), at(lost, 1), at(unlabelled, 1), at(late, 2)]), "at")
+    assert {(q.label, q.key): q.properties.definition for q in got.collect()} == {("Concept", "A"): "about", ("Concept", "B"): None, ("Resource", "http://x"): None}
+    assert {(q.from_key, q.type, q.to_key): q.properties["count"] for q in edges.collect()} == {("A", "is-a", "B"): 1, ("http://x", "EXPLAINS", "A"): None}
+    assert io.graph_import(nodes.limit(0), rels)[1].count() == 0
