@@ -19,6 +19,27 @@ def assemble_pages(pages: DataFrame, first: int | None = None) -> DataFrame:
     )
 
 
+def offsets(parts: DataFrame, key: str, place: str, gap: int, skip_blank: bool = True, band: int = 1024) -> DataFrame:
+    """parts with begin (code points before the part in the joined text; null if left out), n_parts and n_chars of the whole.
+
+    The joined text has the non-blank parts (with skip_blank; else all but null
+    ones) by place, `gap` code points between two. It is never built: lengths
+    are summed by bands of `band` places, running sums go over a key's bands and
+    then inside each band, so that a document of any length is rows in many
+    tasks. Equal places are ordered by text; all of a band is one task's, so places should be distinct.
+    """
+    used = F.coalesce(F.trim("text") != "", F.lit(False)) if skip_blank else F.col("text").isNotNull()
+    rows = parts.withColumn("_band", F.floor(F.col(place) / F.lit(band))).withColumn("_len", F.when(used, F.length("text") + gap).otherwise(0).cast("long"))
+    bands = rows.groupBy(key, "_band").agg(F.sum("_len").alias("n"), F.count("*").alias("c"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy("_band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    whole = W.partitionBy(key)
+    total = F.greatest(F.sum("n").over(whole) - gap, F.lit(0))
+    bands = bands.select(F.col(key).alias("_key"), F.col("_band").alias("_of"), before.alias("_before"), F.sum("c").over(whole).alias("n_parts"), total.alias("n_chars"))
+    inside = F.coalesce(F.sum("_len").over(W.partitionBy(key, "_band").orderBy(place, "text").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = rows.withColumn("_inside", inside).join(bands, F.col(key).eqNullSafe(F.col("_key")) & F.col("_band").eqNullSafe(F.col("_of")))
+    return out.select(*parts.columns, F.when(F.col("_len") > 0, F.col("_before") + F.col("_inside")).alias("begin"), "n_parts", "n_chars")
+
+
 def choose_track(tracks: DataFrame) -> DataFrame:
     """Per video the first manual English track, else generated English, else the first of any."""
     rank = F.when(F.col("language_code").startswith("en"), F.col("is_generated").cast("int")).otherwise(2)

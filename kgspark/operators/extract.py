@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,59 +34,59 @@ def infer(rows: DataFrame, model: Callable[[list[str]], list[str]], batch: int =
     return rows.mapInPandas(run, schema)
 
 
-THOUGHT = re.compile(r"(?s)\A(?=.*<think>).*?</think>")
-FENCE = re.compile(r"\A\s*(?:```json)?(?:```)?|```\s*\Z")
-BRACE = re.compile(r"[{}]")
+# fixed forms around an answer: thinking before it, code fences about it
+THOUGHT = r"(?s)\A(?=.*<think>).*?</think>"
+FENCE = r"\A\s*(?:```json)?(?:```)?|```\s*\z"
+MARGIN = r"(?U)\A\s+|\s+\z"
 
 
-def clean(text: str | None) -> str:
-    """The first brace-balanced object of a model's answer, without thinking and fences. Braces inside strings count."""
-    t = FENCE.sub("", THOUGHT.sub("", text or "", 1)).strip()
-    start, depth = max(t.find("{"), 0), 0
-    for m in BRACE.finditer(t, start):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return t[start : m.end()]
-    return t[start:]
+def clean(text: Column) -> Column:
+    """The first brace-balanced object of a model's answer, without thinking and fences; what follows its first brace if it never closes. Braces inside strings count."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), THOUGHT, ""), FENCE, ""), MARGIN, "")
+    # pieces end behind their brace; what stands before the first { goes
+    pieces = F.split(F.when(F.contains(bare, F.lit("{")), F.regexp_replace(bare, r"\A[^{]+", "")).otherwise(bare), r"(?<=[{}])", -1)
 
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + F.when(x.endswith("{"), 1).when(x.endswith("}"), -1).otherwise(0)
+        shut = (depth == 0) & (x.endswith("{") | x.endswith("}"))
+        return F.when(acc["shut"], acc).otherwise(F.struct(depth.alias("depth"), (acc["n"] + 1).alias("n"), shut.alias("shut")))
 
-def _text(x: object) -> str | None:
-    return x if x is None or isinstance(x, str) else json.dumps(x)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("shut"))
+    # the pieces are named once: a lambda's argument is computed once a row
+    return F.get(F.transform(F.array(pieces), lambda xs: F.array_join(F.slice(xs, F.lit(1), F.aggregate(xs, start, step, lambda acc: acc["n"])), "")), 0)
 
 
-def parse(raw: DataFrame) -> DataFrame:
-    """(chunk_id, source_url, raw_text) → extractions; a bad answer becomes an error row."""
-    kinds = (("concepts", ("title", "definition", "difficulty")), ("relations", ("source", "target", "relation_type")), ("examples", ("text", "concept", "example_type")))
-
-    def one(text: str | None) -> dict:
-        out = {"concepts": [], "relations": [], "examples": [], "error": None, "raw_response": None}
-        try:
-            got = json.loads(clean(text))
-        except ValueError as e:
-            return out | {"error": f"JSON parse error: {e}", "raw_response": (text or "")[:500]}
-        if not isinstance(got, dict):
-            return out | {"error": "not an object"}
-        for kind, fields in kinds:
-            rows = got.get(kind, [])
-            if not isinstance(rows, list):
-                if kind == "examples":
-                    continue
-                return {"concepts": [], "relations": [], "examples": [], "error": f"{kind} is not a list", "raw_response": None}
-            for r in rows:
-                if isinstance(r, dict):
-                    row = {f: _text(r.get(f)) for f in fields}
-                    if kind == "concepts":
-                        names = r.get("aliases")
-                        row["aliases"] = [_text(a) for a in names] if isinstance(names, list) else []
-                    out[kind].append(row)
-        return out
+KINDS = (("concepts", ("title", "definition", "difficulty")), ("relations", ("source", "target", "relation_type")), ("examples", ("text", "concept", "example_type")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = pd.DataFrame([one(t) for t in b["raw_text"]], columns=["concepts", "relations", "examples", "error", "raw_response"])
-            yield pd.concat([b[["chunk_id", "source_url"]].reset_index(drop=True), got], axis=1)
 
-    return raw.select("chunk_id", "source_url", "raw_text").mapInPandas(run, RESULT)
+def parse(raw: DataFrame) -> DataFrame:
+    """(chunk_id, source_url, raw_text) → extractions; a bad answer becomes an error row. JVM only, no shuffle.
+
+    Concepts and relations that are no lists are errors, examples that are none
+    count as empty; items that are no objects are left out, fields that are no
+    strings are kept as JSON text. An answer with a name twice in one object is an error, as is one without JSON.
+    """
+    rows = raw.select("chunk_id", "source_url", "raw_text", F.try_parse_json(clean(F.col("raw_text"))).alias("v"))
+    item = lambda x, f, t="string": F.try_variant_get(x, f"$.{f}", t)
+    self = lambda x, t: F.try_variant_get(x, "$", t)
+
+    def of(kind: str, fields: tuple[str, ...]) -> Column:
+        def row(x: Column) -> Column:
+            cols = [item(x, f).alias(f) for f in fields]
+            if kind == "concepts":
+                names = F.transform(item(x, "aliases", "array<variant>"), lambda a: self(a, "string"))
+                cols.append(F.coalesce(names, F.array().cast("array<string>")).alias("aliases"))
+            return F.struct(*cols)
+
+        return F.transform(F.filter(item(F.col("v"), kind, "array<variant>"), lambda x: self(x, "map<string,variant>").isNotNull()), row)
+
+    listed = lambda kind: item(F.col("v"), kind, "variant").isNull() | item(F.col("v"), kind, "array<variant>").isNotNull()
+    error = F.when(F.col("v").isNull(), "JSON parse error").when(self(F.col("v"), "map<string,variant>").isNull(), "not an object")
+    for kind in ("concepts", "relations"):
+        error = error.when(~listed(kind), f"{kind} is not a list")
+    types = dict(p.split(" ", 1) for p in RESULT.split(", "))
+    lists = [F.when(error.isNull(), F.coalesce(of(k, f).cast(types[k]), F.array().cast(types[k]))).otherwise(F.array().cast(types[k])).alias(k) for k, f in KINDS]
+    return rows.select("chunk_id", "source_url", *lists, error.alias("error"), F.when(F.col("v").isNull(), F.substring(F.coalesce("raw_text", F.lit("")), 1, 500)).alias("raw_response"))
 
 
 def loose_slice(text: Column) -> Column:

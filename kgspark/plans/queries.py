@@ -338,6 +338,22 @@ def t05_chunk_stats(spark, d):
     return D.chunk_stats(D.chunk(view(spark, d, "v_document")))
 
 
+_LINES = "with p as (select doc_id as url, unnest(string_split(text, '\n')) as text, unnest(range(1, len(string_split(text, '\n')) + 1)) as page_no from documents), l as (select *, case when trim(text) <> '' then length(text) + 2 else 0 end as w from p)"
+
+
+@query(_LINES + " select url, page_no, case when w > 0 then cast(coalesce(sum(w) over (partition by url order by page_no rows between unbounded preceding and 1 preceding), 0) as bigint) end as begin, count(*) over (partition by url) as n_parts, cast(greatest(sum(w) over (partition by url) - 2, 0) as bigint) as n_chars from l")
+def t01_page_offsets(spark, d):
+    """Where each page of a document begins in its joined text, without joining it."""
+    pages = view(spark, d, "documents").select(F.col("doc_id").alias("url"), F.posexplode(F.split("text", "\n", -1)).alias("at", "text")).select("url", (F.col("at") + 1).cast("long").alias("page_no"), "text")
+    return D.offsets(pages, "url", "page_no", 2).select("url", "page_no", "begin", "n_parts", "n_chars")
+
+
+@query("select video_id, pos, start, case when text is not null then cast(coalesce(sum(length(text) + 1) over (partition by video_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) end as begin, count(*) over (partition by video_id) as n_parts, cast(greatest(coalesce(sum(length(text) + 1) over (partition by video_id), 0) - 1, 0) as bigint) as n_chars from v_segment", "v_segment")
+def t03_segment_offsets(spark, d):
+    """Where each segment of a transcript begins in its joined text, beside its time."""
+    return D.offsets(view(spark, d, "v_segment"), "video_id", "pos", 1, skip_blank=False).select("video_id", "pos", "start", "begin", "n_parts", "n_chars")
+
+
 # --- extraction -------------------------------------------------------------------------------------
 
 
@@ -361,7 +377,25 @@ def e02_batch_inference(spark, d):
     return E.infer(rows, lambda prompts: [max(p.split(), key=lambda w: (len(w), w)) for p in prompts]).select("chunk_id", "raw_text")
 
 
-@query()
+_PIECES = r"""p as (select doc_id, unnest(regexp_extract_all(t, '[^{}]*[{}]')) as x, unnest(range(len(regexp_extract_all(t, '[^{}]*[{}]')))) as i from r),
+o as (select *, sum(length(x)) over (partition by doc_id order by i) as upto, min(case when x like '%{' then i end) over (partition by doc_id) as f from p),
+s as (select *, sum(case when x like '%{' then 1 else -1 end) over (partition by doc_id order by i) as depth from o where i >= f),
+z as (select doc_id, cast(min(upto) as bigint) as a, cast(min(upto) filter (depth = 0) as bigint) as b from s group by doc_id)"""
+
+
+@query("with r as (select doc_id, case doc_id % 3 when 0 then concat('{\"t\": {', text, '}} x') when 1 then concat('{', text, '} }') else concat(text, ' {a {b} c} ', text, ' z') end as t from documents), " + _PIECES + " select doc_id, md5(case when b is null then substring(t, a) else substring(t, a, b - a + 1) end) as clean_md5 from r join z using (doc_id)")
+def e03_clean_answers(spark, d):
+    k = F.col("doc_id") % 3
+    text = F.coalesce("text", F.lit(""))
+    t = F.when(k == 0, F.concat(F.lit('```json\n{"t": {'), text, F.lit("}} x"))).when(k == 1, F.concat(F.lit("<think>{x}</think> {"), text, F.lit("} }"))).otherwise(F.concat(text, F.lit(" {a {b} c} "), text, F.lit(" z")))
+    return view(spark, d, "documents").select("doc_id", F.md5(E.clean(t)).alias("clean_md5"))
+
+
+@query(r"""with b as (select doc_id, regexp_extract_all(coalesce(text, ''), '[{}]') as br from documents),
+u as (select doc_id, i, sum(case when c = '{' then 1 else -1 end) over (partition by doc_id order by i) as depth from (select doc_id, unnest(br) as c, unnest(range(len(br))) as i from b)),
+z as (select doc_id, min(depth) as low, arg_max(depth, i) as last from u group by doc_id),
+f as (select doc_id, text, doc_id % 5 = 2 or coalesce(low, 0) <= -2 or coalesce(last, 0) <> 0 as failed from documents left join z using (doc_id))
+select cast(doc_id as varchar) as chunk_id, cast(case when failed then 0 else 1 end as integer) as concepts, case when not failed then text end as title, failed from f""")
 def e04_parse_answers(spark, d):
     return E.parse(_answers(spark, d)).select("chunk_id", F.size("concepts").alias("concepts"), F.get("concepts", 0)["title"].alias("title"), F.col("error").isNotNull().alias("failed"))
 
@@ -769,6 +803,19 @@ def q16_levels_whole_graph(spark, d):
     return T.topological_levels(g.vertices, g.edges)
 
 
+_COMPONENTS = """, walk as (with recursive w as (select source as a, target as b from pre union select w.a, pre.target from w join pre on pre.source = w.b) select a, b from w),
+comp as (select title, least(title, coalesce((select min(x.b) from walk x join walk y on x.a = y.b and x.b = y.a where x.a = canon.title), title)) as component from canon),
+between_ as (select distinct a.component as s, b.component as t from pre join comp a on a.title = pre.source join comp b on b.title = pre.target where a.component <> b.component),
+deep as (with recursive w as (select t, 1 as depth from between_ union select between_.t, w.depth + 1 from w join between_ on between_.s = w.t) select t, max(depth) as depth from w group by t)"""
+
+
+@graph_query(_COMPONENTS + " select title, component, cast(coalesce(depth, 0) as integer) as level from comp left join deep on deep.t = comp.component")
+def q16_component_levels(spark, d):
+    """Over all prerequisite edges: strong components and the levels of the graph of components, so that every vertex has one."""
+    g = graph_of(spark, d)
+    return T.component_levels(g.vertices, g.edges)
+
+
 _DAG = ", dag as (select source, target from pre where source < target and substring(md5(source || target), 1, 1) < '4')"
 
 

@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from kgspark.functions import urls
 from kgspark.functions.fuzzy import lcs_length, normalize_title, ratio, similar_pairs
 from kgspark.operators import concepts as C
+from kgspark.operators import documents as D
 from kgspark.operators import extract as E
 from kgspark.operators import pages as P
 from kgspark.operators import resources as RS
@@ -103,9 +104,84 @@ def test_cycles_and_levels(spark):
     assert [r.title for r in T.kahn_orders(c, e).orderBy("place").collect()] == ["y", "c", "b", "a"]
 
 
+def plain_clean(text):
+    t, depth = text.strip(), 0
+    if "{" not in t:
+        return t
+    t = t[t.index("{") :]
+    for i, ch in enumerate(t):
+        depth += {"{": 1, "}": -1}.get(ch, 0)
+        if depth == 0:
+            return t[: i + 1]
+    return t
+
+
+def plain_components(vs, es):
+    """Smallest title that each vertex reaches and is reached from, and the longest way into its component."""
+    reach = {}
+    for x in vs:
+        seen, todo = {x}, [x]
+        while todo:
+            a = todo.pop()
+            new = {t for s, t in es if s == a} - seen
+            seen |= new
+            todo += new
+        reach[x] = seen
+    comp = {x: min(y for y in vs if y in reach[x] and x in reach[y]) for x in vs}
+
+    def level(c):
+        return max((level(comp[a]) + 1 for a, b in es if comp[b] == c and comp[a] != c), default=0)
+
+    return {(x, comp[x], level(comp[x])) for x in vs}
+
+
+@pytest.mark.parametrize("n, m, seed", [(12, 14, 1), (30, 40, 2), (4, 0, 3)])
+def test_components_and_their_levels(spark, n, m, seed):
+    rng = random.Random(seed)
+    vs = [f"v{i}" for i in range(n)]
+    es = {(rng.choice(vs), rng.choice(vs)) for _ in range(m)}
+    v = spark.createDataFrame([(x,) for x in vs], "title string")
+    e = spark.createDataFrame([(a, b, "PREREQ_OF") for a, b in es] + [("v0", "v1", "IS_A")] * 2, "source string, target string, rel_type string")
+    assert {tuple(r) for r in T.component_levels(v, e).collect()} == plain_components(vs, es)
+
+
+def test_components_of_a_ring_and_a_missing_end(spark):
+    e = spark.createDataFrame([("c", "b", "PREREQ_OF"), ("b", "a", "PREREQ_OF"), ("a", "c", "PREREQ_OF"), ("c", "gone", "PREREQ_OF"), ("gone", "d", "PREREQ_OF")], "source string, target string, rel_type string")
+    v = spark.createDataFrame([(x,) for x in "abcd"], "title string")
+    assert {tuple(r) for r in T.component_levels(v, e).collect()} == {("a", "a", 0), ("b", "a", 0), ("c", "a", 0), ("d", "d", 2)}
+
+
+def test_answers_that_are_not_as_asked(spark):
+    rows = {
+        "list": "[1]", "none": None, "null": '{"concepts": null}', "twice": '{"a": 1, "a": 2}', "items": '{"concepts": [1, {"title": 5, "definition": {"a": [1]}, "aliases": "x"}, null], "relations": [{"source": "s"}]}',
+        "long": "x" * 1000, "aliases": '{"concepts": [{"title": "t", "aliases": ["a", null, 2]}], "examples": [{"text": "e"}, []]}',
+    }
+    got = {r.chunk_id: r for r in E.parse(spark.createDataFrame([(a, "u", b) for a, b in rows.items()], "chunk_id string, source_url string, raw_text string")).collect()}
+    assert {k: r.error for k, r in got.items()} == {"list": "not an object", "none": "JSON parse error", "null": "concepts is not a list", "twice": "JSON parse error", "items": None, "long": "JSON parse error", "aliases": None}
+    assert got["long"].raw_response == "x" * 500 and got["none"].raw_response == "" and got["list"].raw_response is None
+    assert [tuple(c) for c in got["items"].concepts] == [("5", '{"a":[1]}', None, [])] and [tuple(r) for r in got["items"].relations] == [("s", None, None)]
+    assert got["aliases"].concepts[0].aliases == ["a", None, "2"] and [tuple(x) for x in got["aliases"].examples] == [("e", None, None)]
+
+
+def test_offsets_of_parts(spark):
+    rows = [("a", i, t) for i, t in enumerate(["x", " ", None, "yé", "", "zzz"] * 500)] + [("b", 0, " "), (None, 3, "q"), (None, 9, "r")]
+    df = spark.createDataFrame(rows, "url string, page_no int, text string")
+    joined = {u: "\n\n".join(t for k, _, t in sorted((r for r in rows if r[0] == u), key=lambda r: r[1]) if t and t.strip(" ")) for u in ("a", "b", None)}
+    got = D.offsets(df, "url", "page_no", 2, band=64).collect()
+    assert len(got) == len(rows) and {(r.url, r.n_chars) for r in got} == {(u, len(t)) for u, t in joined.items()}
+    for r in got:
+        kept = bool(r.text and r.text.strip(" "))
+        assert (r.begin is not None) == kept and (not kept or joined[r.url][r.begin : r.begin + len(r.text)] == r.text)
+    assert D.offsets(df.where("false"), "url", "page_no", 2).count() == 0
+
+
 def test_clean_and_context(spark):
     want = {None: "", " ```json\n{}\n``` ": "{}", "``` {a}": "{a}", "x } {a{b}c} d }": "{a{b}c}", "<think>{</think>{b": "{b", "no </think> {c}": "{c}", "plain ```": "plain", "{{": "{{"}
-    assert {t: E.clean(t) for t in want} == want
+    want |= {"  x ": "x", "{}": "{}", "{ { }": "{ { }", "}}": "}}", "{a}{b}": "{a}", "} {a} {b}": "{a}"}
+    rng = random.Random(7)
+    want |= {t: plain_clean(t) for t in ("".join(rng.choice("{}{} a\n") for _ in range(rng.randrange(30))) for _ in range(200))}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", E.clean(F.col("t")).alias("c")).collect()
+    assert [r for r in rows if r.c != want[r.t]] == []
     q = spark.createDataFrame([(1,), (2,)], "query_id long")
     c = spark.createDataFrame([(1, "B", "", "easy", "seed", "B", 1), (1, "A", "what A is", "", "prerequisite", "B", 2)], "query_id long, title string, definition string, difficulty string, relation string, seed string, pos int")
     order = spark.createDataFrame([(1, "A", 0), (1, "B", 1)], "query_id long, title string, place int")
