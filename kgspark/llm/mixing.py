@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -30,63 +29,100 @@ def water_fill(sizes: list[int], weights: list[float], cap: float) -> list[float
     return out
 
 
-def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats: int) -> list[list[int]]:
-    """flow[p][s]: words of pattern p routed to source s.
+def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats: int) -> list[list[tuple[int, int]]]:
+    """flow[p]: (source, words) of pattern p routed to its sources, in their order, without zeros.
 
     Network: start → pattern (one edge per copy r = 1..repeats with capacity
     size and cost r², so that a second copy is used only when firsts are short)
-    → its sources → end (capacity: quota). Successive shortest paths with
-    potentials; the graph has one node per membership pattern, not per document.
+    → its sources → end (capacity: quota). Only edges of start cost anything and
+    no shortest path returns there, so shortest paths use up copy 1 first, then
+    copy 2 and so on: each copy opens its edges and pushes blocking flows until
+    none is left. A pattern that alone shares its only source has one way, and takes it at once.
     """
-    n_p, n_s = len(patterns), len(quotas)
-    start, end = n_p + n_s, n_p + n_s + 1
-    graph: list[list[list]] = [[] for _ in range(end + 1)]
-
-    def edge(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
-    for p, (members, size) in enumerate(patterns):
-        for r in range(1, repeats + 1):
-            edge(start, p, size, r * r)
+    users = [0] * len(quotas)
+    for members, _ in patterns:
         for s in members:
-            edge(p, n_p + s, repeats * size, 0)
-    for s, q in enumerate(quotas):
-        edge(n_p + s, end, q, 0)
-    high = [0] * (end + 1)
-    while True:
-        far, via = [None] * (end + 1), [None] * (end + 1)
-        far[start] = 0
-        queue = [(0, start)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > far[a]:
-                continue
-            for k, (b, room, cost, _) in enumerate(graph[a]):
-                if room > 0 and (far[b] is None or d + cost + high[a] - high[b] < far[b]):
-                    far[b] = d + cost + high[a] - high[b]
-                    via[b] = (a, k)
-                    heapq.heappush(queue, (far[b], b))
-        if far[end] is None:
+            users[s] += 1
+    out: list[dict[int, int]] = [{} for _ in patterns]
+    network = []
+    for p, (members, size) in enumerate(patterns):
+        if len(members) == 1 and users[members[0]] == 1:
+            out[p] = {members[0]: min(repeats * size, quotas[members[0]])}
+        else:
+            network.append(p)
+    room = {s: quotas[s] for p in network for s in patterns[p][0]}
+    holders: dict[int, list[int]] = {s: [] for s in room}  # patterns that may send to a source
+    for p in network:
+        for s in patterns[p][0]:
+            holders[s].append(p)
+    open_ = dict.fromkeys(network, 0)
+    for _ in range(repeats):
+        for p in network:
+            open_[p] += patterns[p][1]
+        while _block(patterns, holders, open_, room, out):
+            pass
+    return [[(s, n) for s, n in sorted(f.items()) if n] for f in out]
+
+
+def _block(patterns: list, holders: dict[int, list[int]], open_: dict[int, int], room: dict[int, int], out: list[dict[int, int]]) -> bool:
+    """Push one blocking flow along shortest ways; False if there is none.
+
+    A way goes pattern → source → pattern that sends there and can send elsewhere → … → source with room.
+    """
+    at_p, at_s = {p: 0 for p, n in open_.items() if n}, {}
+    front, depth, reached = list(at_p), 0, False
+    while front and not reached:
+        met = []
+        for p in front:
+            for s in patterns[p][0]:
+                if s not in at_s:
+                    at_s[s] = depth
+                    met.append(s)
+                    reached = reached or room[s] > 0
+        front, depth = [], depth + 1
+        if reached:
             break
-        high = [h + (f or 0) for h, f in zip(high, far)]
-        push, b = None, end
-        while b != start:
-            a, k = via[b]
-            push = graph[a][k][1] if push is None else min(push, graph[a][k][1])
-            b = a
-        b = end
-        while b != start:
-            a, k = via[b]
-            graph[a][k][1] -= push
-            graph[b][graph[a][k][3]][1] += push
-            b = a
-    out = [[0] * n_s for _ in patterns]
-    for p in range(n_p):
-        for b, _, _, back in graph[p]:
-            if n_p <= b < n_p + n_s:
-                out[p][b - n_p] += graph[b][back][1]
-    return out
+        for s in met:
+            for p in holders[s]:
+                if p not in at_p and out[p].get(s, 0) > 0:
+                    at_p[p] = depth
+                    front.append(p)
+    if not reached:
+        return False
+    next_p, next_s = dict.fromkeys(at_p, 0), dict.fromkeys(at_s, 0)
+    for first in [p for p, d in at_p.items() if d == 0]:
+        way: list[int] = [first]  # patterns and sources in turn
+        while open_[first] and way:
+            end = way[-1]
+            if len(way) % 2:  # a pattern: its next source one step on
+                members, i = patterns[end][0], next_p[end]
+                if i == len(members):
+                    way.pop()
+                    if way:
+                        next_s[way[-1]] += 1
+                elif at_s.get(members[i]) == at_p[end]:
+                    way.append(members[i])
+                else:
+                    next_p[end] += 1
+            elif room[end]:
+                push = min([open_[first], room[end]] + [out[way[k + 1]][way[k]] for k in range(1, len(way) - 1, 2)])
+                open_[first] -= push
+                room[end] -= push
+                for k in range(0, len(way), 2):
+                    out[way[k]][way[k + 1]] = out[way[k]].get(way[k + 1], 0) + push
+                for k in range(1, len(way) - 1, 2):
+                    out[way[k + 1]][way[k]] -= push
+                way = [first]
+            else:  # a source without room: a pattern that can make some
+                i = next_s[end]
+                if i == len(holders[end]):
+                    way.pop()
+                    next_p[way[-1]] += 1
+                elif at_p.get(holders[end][i]) == at_s[end] + 1 and out[holders[end][i]].get(end, 0) > 0:
+                    way.append(holders[end][i])
+                else:
+                    next_s[end] += 1
+    return True
 
 
 def _cutoffs(narrow: DataFrame, quotas: DataFrame, bucket_rows: int) -> DataFrame:
@@ -186,7 +222,7 @@ def mix(
     if sum(size_of) > total:  # overlapping sources count a document in each; shares are of what there is
         target = [t * total / sum(size_of) for t in target]
     flow = min_cost_flow([(tuple(place[s] for s in r.members), r["size"]) for r in stats], [round(t) for t in target], cap)
-    quotas = spark.createDataFrame([(r.pattern, sum(f)) for r, f in zip(stats, flow)], "pattern string, quota long")
+    quotas = spark.createDataFrame([(r.pattern, sum(n for _, n in f)) for r, f in zip(stats, flow)], "pattern string, quota long")
     sources = spark.createDataFrame([(s, size_of[i], target[i]) for s, i in place.items()], "source string, source_size long, target double")
     cut = materialize(_cutoffs(narrow.drop("members"), quotas, bucket_rows), "cutoffs")
     marked = docs.select(*docs.columns, key.alias("mix_pattern"), n_words(F.col(text_col)).alias("mix_size"), F.shiftrightunsigned(order, 1).alias("mix_place"))

@@ -1,7 +1,9 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -172,6 +174,53 @@ def test_tiling_equals_brute_force():
     assert h[200] == h[10] and len(set(h.tolist())) == 280
 
 
+def plain_flow(patterns, quotas, repeats):
+    """Words routed and their cost, one at a time: copies in turn, each word where a way to a free quota is found."""
+    sent, got, cost = [[0] * len(quotas) for _ in patterns], [0] * len(quotas), 0
+
+    def add(p, seen):
+        for s in set(patterns[p][0]) - seen:
+            seen.add(s)
+            if got[s] < quotas[s]:
+                got[s] += 1
+                sent[p][s] += 1
+                return True
+            for q in range(len(patterns)):
+                if sent[q][s] and add(q, seen):
+                    sent[q][s] -= 1
+                    sent[p][s] += 1
+                    return True
+        return False
+
+    for r in range(1, repeats + 1):
+        for p, (_, size) in enumerate(patterns):
+            cost += sum(r * r for _ in range(size) if add(p, set()))
+    return sum(got), cost
+
+
+def test_flow_costs_least():
+    rng = random.Random(5)
+    for _ in range(400):
+        n = rng.randint(1, 5)
+        members = {tuple(sorted(rng.sample(range(n), rng.randint(1, n)))) for _ in range(6)}
+        patterns, quotas = [(m, rng.randint(0, 6)) for m in members], [rng.randint(0, 12) for _ in range(n)]
+        flow = mixing.min_cost_flow(patterns, quotas, 3)
+        sums = [sum(k for _, k in f) for f in flow]
+        assert all(s in m and k > 0 for (m, _), f in zip(patterns, flow) for s, k in f) and all(t <= 3 * z for (_, z), t in zip(patterns, sums))
+        assert all(sum(k for f in flow for s, k in f if s == i) <= q for i, q in enumerate(quotas))
+        copies = [[min(max(t - z * r, 0), z) * (r + 1) ** 2 for r in range(3)] for (_, z), t in zip(patterns, sums)]
+        assert (sum(sums), sum(map(sum, copies))) == plain_flow(patterns, quotas, 3)
+
+
+def test_flow_of_many_sources():
+    """Ten thousand sources in seconds, whether apart or overlapping."""
+    n, rng = 10_000, random.Random(6)
+    assert mixing.min_cost_flow([((i,), i) for i in range(n)], [2 * i + 1 for i in range(n)], 3)[5:7] == [[(5, 11)], [(6, 13)]]
+    start = time.time()
+    flow = mixing.min_cost_flow([(tuple(sorted(rng.sample(range(n), 2))), rng.randint(1, 10**6)) for _ in range(n)], [rng.randint(1, 10**6) for _ in range(n)], 3)
+    assert len(flow) == n and time.time() - start < 30
+
+
 def test_mixing(spark, docs, none):
     rng = np.random.default_rng(4)
     rows = [(i, "w " * int(rng.integers(1, 60)), ["a", "b", "c", None][min(3, int(rng.exponential(1)))]) for i in range(3000)]
@@ -185,7 +234,7 @@ def test_mixing(spark, docs, none):
         assert math.isclose(targets[s], t) and abs(took - t) <= 2 and all(0 <= r.mix_copies <= 3 for r in got)
     assert {(r.doc_id, r.mix_copies) for r in mixing.mix(df.repartition(7))[0].collect()} == {(r.doc_id, r.mix_copies) for r in got}
     assert mixing.water_fill([10, 1000], [1, 1], 3) == [30.0, 980.0]
-    assert mixing.min_cost_flow([((0, 1), 10), ((1,), 10)], [10, 20], 3) == [[10, 0], [0, 20]] or sum(map(sum, mixing.min_cost_flow([((0, 1), 10), ((1,), 10)], [10, 20], 3))) == 30
+    assert mixing.min_cost_flow([((0, 1), 10), ((1,), 10)], [10, 20], 3) == [[(0, 10)], [(1, 20)]] and mixing.min_cost_flow([((0,), 5), ((1,), 5)], [100, 7], 3) == [[(0, 15)], [(1, 7)]]
     both, _ = mixing.mix(df.withColumn("source", F.array("source", F.lit("all"))))
     assert both.count() == 3000
     assert mixing.mix(docs)[0].count() == len(ROWS) and mixing.mix(none)[0].count() == 0
