@@ -69,8 +69,16 @@ def title_score(title) -> F.col:
     return F.when(first != F.lower(first), 10).otherwise(0) + F.when(title.contains(" "), 5).otherwise(0) + F.length(title)
 
 
-def canonical(mentions: DataFrame, leader_of: DataFrame) -> DataFrame:
-    """One row per leader: best title, longest definition, commonest difficulty, aliases, counts and sources.
+def sources_of(mentions: DataFrame, leader_of: DataFrame) -> DataFrame:
+    """(leader, url): sources of each leader's mentions, each once, as rows."""
+    m = normalized(mentions).where("source_url is not null and source_url <> ''")
+    return m.join(leader_of, "norm").select("leader", F.col("source_url").alias("url")).distinct()
+
+
+def canonical(mentions: DataFrame, leader_of: DataFrame, sources: bool = True) -> DataFrame:
+    """One row per leader: best title, longest definition, commonest difficulty, aliases, counts and, with sources, the list of sources.
+
+    A leader's list of sources grows with its mentions: large jobs leave it out and take sources_of().
 
     Needs an array column aliases or a string column alias. All but the sets are
     combined before the shuffle; sets are made of distinct values only.
@@ -79,7 +87,7 @@ def canonical(mentions: DataFrame, leader_of: DataFrame) -> DataFrame:
     if "aliases" not in mentions.columns:
         m = m.withColumn("aliases", F.array("alias"))
     # written once: the aggregates below read it again and again
-    m = cut(m.select("leader", "title", F.coalesce("definition", F.lit("")).alias("definition"), "difficulty", "aliases", "source_url", "chunk_id", "ord"))
+    m = stored(m.select("leader", "title", F.coalesce("definition", F.lit("")).alias("definition"), "difficulty", "aliases", "source_url", "chunk_id", "ord"), "mentions")
     t = F.col("title")
     n_length = F.length("definition")
     main = m.groupBy("leader").agg(
@@ -95,13 +103,17 @@ def canonical(mentions: DataFrame, leader_of: DataFrame) -> DataFrame:
     difficulty = votes.withColumn("r", F.row_number().over(w)).where("r = 1").select("leader", "difficulty")
     names = m.select("leader", F.explode(F.concat(F.array("title"), F.filter(F.coalesce("aliases", F.array()), lambda x: x.isNotNull() & (x != "")))).alias("alias")).distinct()
     aliases = names.join(main.select("leader", "title"), "leader").where(F.lower("alias") != F.lower("title")).groupBy("leader").agg(F.sort_array(F.collect_list("alias")).alias("aliases"))
-    urls = m.where("source_url is not null and source_url <> ''").select("leader", "source_url").distinct().groupBy("leader").agg(F.sort_array(F.collect_list("source_url")).alias("source_urls"))
     chunks = m.where("chunk_id is not null and chunk_id <> ''").groupBy("leader").agg(F.count_distinct("chunk_id").alias("chunk_count"))
-    out = main.join(definitions, "leader", "left").join(difficulty, "leader", "left").join(aliases, "leader", "left").join(urls, "leader", "left").join(chunks, "leader", "left")
+    out = main.join(definitions, "leader", "left").join(difficulty, "leader", "left").join(aliases, "leader", "left").join(chunks, "leader", "left")
     none = F.array().cast("array<string>")
+    lists = []
+    if sources:
+        urls = m.where("source_url is not null and source_url <> ''").select("leader", "source_url").distinct().groupBy("leader").agg(F.sort_array(F.collect_list("source_url")).alias("source_urls"))
+        out = out.join(urls, "leader", "left")
+        lists = [F.coalesce("source_urls", none).alias("source_urls")]
     return out.select(
         "leader", "title", F.coalesce("definition", F.lit("")).alias("definition"), F.coalesce("difficulty", F.lit("intermediate")).alias("difficulty"), F.coalesce("aliases", none).alias("aliases"),
-        "mention_count", F.coalesce("source_urls", none).alias("source_urls"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "first_seen",
+        "mention_count", *lists, F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "first_seen",
     )
 
 

@@ -12,13 +12,18 @@ def concept_vertices(concepts: DataFrame) -> DataFrame:
     return concepts.select("title", "definition", "difficulty", "aliases", "mention_count").dropDuplicates(["title"])
 
 
-def resource_vertices(concepts: DataFrame) -> DataFrame:
-    urls = concepts.select(F.explode("source_urls").alias("url")).distinct()
-    return urls.select("url", resource_type(F.col("url")).alias("type"))
+def resource_vertices(sources: DataFrame) -> DataFrame:
+    """(url, type) of sources (leader, url)."""
+    return sources.select("url").distinct().select("url", resource_type(F.col("url")).alias("type"))
 
 
-def explains_edges(concepts: DataFrame) -> DataFrame:
-    return concepts.select(F.explode("source_urls").alias("url"), F.col("title").alias("concept")).distinct()
+def resources_by_type(resources: DataFrame) -> DataFrame:
+    return resources.groupBy("type").agg(F.count("*").alias("resources"))
+
+
+def explains_edges(concepts: DataFrame, sources: DataFrame) -> DataFrame:
+    """(url, concept): sources (leader, url) under their concept's title; a concept's sources stay rows."""
+    return sources.join(concepts.select("leader", "title"), "leader").select("url", F.col("title").alias("concept")).distinct()
 
 
 def concept_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kgspark.operators import concepts as C
 from kgspark.operators import graph as G
 from kgspark.operators import relations as R
 from kgspark.operators.retrieve import Graph
-from kgspark.sources.checkpoints import cut
+from kgspark.sources.checkpoints import cut, stored
 from kgspark.sources.views import view
 
 
 def build(mentions: DataFrame, relations: DataFrame, examples: DataFrame, fuzzy: bool = False) -> tuple[Graph, DataFrame]:
     """(graph, canonical concepts). fuzzy merges similar titles and maps similar names; without it titles group by their normal form."""
     leader_of = C.merge_similar(mentions) if fuzzy else C.exact_leaders(C.title_groups(C.normalized(mentions)))
-    concepts = cut(C.canonical(mentions, leader_of))
+    concepts = cut(C.canonical(mentions, leader_of, sources=False))
+    sources = stored(C.sources_of(mentions, leader_of), "sources")
     mapping = cut(C.name_map(concepts, mentions, leader_of))
     ends = relations.select("source").union(relations.select("target")).toDF("name").distinct()
     names = R.map_names(ends, mapping, fuzzy)
     vertices = G.concept_vertices(concepts)
     edges = cut(G.concept_edges(R.edges(R.mapped(relations, names)), vertices))
     found = G.examples(examples)
-    return Graph(vertices, edges, G.resource_vertices(concepts), G.explains_edges(concepts), found, G.exemplifies(found, vertices)), concepts
+    return Graph(vertices, edges, G.resource_vertices(sources), G.explains_edges(concepts, sources), found, G.exemplifies(found, vertices)), concepts
 
 
 def read_once(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -31,14 +33,20 @@ def read_once(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return given | {"v_mention": cut(view(spark, sf_dir, "v_mention", given))}
 
 
-_BUILT: dict[tuple[str, str, bool], Graph] = {}
+def state_of(spark: SparkSession, folder: str) -> int | None:
+    """A number that changes with names, times and lengths of a folder's files; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder)
+    return files.agg(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")).alias("n")).first().n
+
+
+_BUILT: dict[tuple, tuple[int | None, Graph]] = {}
 
 
 def graph_of(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> Graph:
-    """The graph of the test tables' mentions, built once a session and folder and kept in the checkpoint folder; with fuzzy, of merged similar titles."""
-    key = (spark.sparkContext.applicationId, sf_dir, fuzzy)
-    if key not in _BUILT:
+    """The graph of the test tables' mentions, kept in the checkpoint folder and built again once the tables' files have changed; with fuzzy, of merged similar titles."""
+    key, state = (spark.sparkContext.applicationId, sf_dir, fuzzy), state_of(spark, sf_dir)
+    if key not in _BUILT or _BUILT[key][0] != state:
         given = read_once(spark, sf_dir)
         g = build(given["v_mention"], view(spark, sf_dir, "v_relation", given), view(spark, sf_dir, "v_example", given), fuzzy)[0]
-        _BUILT[key] = Graph(*(cut(x) for x in (g.vertices, g.edges, g.resources, g.explains, g.examples, g.exemplifies)))
-    return _BUILT[key]
+        _BUILT[key] = state, Graph(*(stored(x, "graph") for x in (g.vertices, g.edges, g.resources, g.explains, g.examples, g.exemplifies)))
+    return _BUILT[key][1]

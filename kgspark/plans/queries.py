@@ -546,7 +546,7 @@ def c11_concept_ranking(spark, d):
 def c12_name_map(spark, d):
     m = _m(spark, d)
     lead = _leaders(m)
-    return C.name_map(C.canonical(m, lead), m, lead).select("name", "title")
+    return C.name_map(C.canonical(m, lead, sources=False), m, lead).select("name", "title")
 
 
 # --- relations and graph ----------------------------------------------------------------------------
@@ -556,7 +556,7 @@ def _mapped(spark, d, fuzzy=False):
     given = read_once(spark, d)
     m, r = given["v_mention"], cut(view(spark, d, "v_relation", given))
     lead = _leaders(m)
-    mapping = cut(C.name_map(cut(C.canonical(m, lead)), m, lead))
+    mapping = cut(C.name_map(cut(C.canonical(m, lead, sources=False)), m, lead))
     ends = r.select("source").union(r.select("target")).toDF("name").distinct()
     return R.mapped(r, R.map_names(ends, mapping, fuzzy))
 
@@ -571,7 +571,7 @@ def r01_map_names_fuzzy(spark, d):
     """Names with a letter doubled go to the most similar title."""
     m = _m(spark, d)
     lead = _leaders(m)
-    mapping = C.name_map(C.canonical(m, lead), m, lead)
+    mapping = C.name_map(C.canonical(m, lead, sources=False), m, lead)
     t = F.trim("title")
     odd = m.select(F.concat(F.substring(t, 1, 4), t.substr(F.lit(4), F.length(t))).alias("name")).distinct()
     return R.map_names(odd, mapping)
@@ -607,6 +607,11 @@ def g02_resource_vertices(spark, d):
     return graph_of(spark, d).resources
 
 
+@graph_query("select type, count(*) as resources from (select distinct url, case when contains(lower(url), 'youtu') then 'video' when lower(url) like '%.pdf' then 'pdf' when lower(url) like '%.pptx' then 'slide' else 'web' end as type from x) group by type")
+def g02_resources_by_type(spark, d):
+    return G.resources_by_type(graph_of(spark, d).resources)
+
+
 @graph_query("select url, concept from x")
 def g03_explains_edges(spark, d):
     return graph_of(spark, d).explains

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from kgspark.functions.fuzzy import normalize_title, ratio, similar_pairs
 from kgspark.operators import concepts as C
 from kgspark.operators import extract as E
+from kgspark.operators import graph as G
 from kgspark.operators import relations as R
 from kgspark.operators import traverse as T
-from kgspark.plans.build import build
+from kgspark.plans.build import build, state_of
 from kgspark.operators import resources as RS
 from kgspark.sources import io
 from kgspark.sources.tables import KeyedTable
@@ -225,3 +226,21 @@ def test_graph_export_and_import(spark, tmp_path):
     assert {(q.label, q.key): q.properties.definition for q in got.collect()} == {("Concept", "A"): "about", ("Concept", "B"): None, ("Resource", "http://x"): None}
     assert {(q.from_key, q.type, q.to_key): q.properties["count"] for q in edges.collect()} == {("A", "is-a", "B"): 1, ("http://x", "EXPLAINS", "A"): None}
     assert io.graph_import(nodes.limit(0), rels)[1].count() == 0
+
+
+def test_state_of_a_folder_changes_with_its_files(spark, tmp_path):
+    f = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(f)
+    a, again = state_of(spark, str(tmp_path)), state_of(spark, str(tmp_path))
+    spark.range(4).write.mode("append").parquet(f)
+    assert a == again != state_of(spark, str(tmp_path))
+
+
+def test_sources_stay_rows(spark):
+    m = spark.createDataFrame([("1", 0, "u1", "Tree"), ("1", 1, "u1", "trees"), ("2", 0, "u2", "Tree"), ("2", 1, "", "Tree"), ("3", 0, None, "Leaf")], "chunk_id string, pos int, source_url string, title string")
+    m = m.selectExpr("*", "'d' as definition", "cast(null as string) as difficulty", "cast(null as string) as alias")
+    lead = C.exact_leaders(C.title_groups(C.normalized(m)))
+    sources, concepts = C.sources_of(m, lead), C.canonical(m, lead, sources=False)
+    lists = {r.title: r.source_urls for r in C.canonical(m, lead).collect()}
+    assert {(u, t) for t, us in lists.items() for u in us} == {tuple(r) for r in G.explains_edges(concepts, sources).collect()}
+    assert {tuple(r) for r in G.resources_by_type(G.resource_vertices(sources)).collect()} == {("web", 2)} and "source_urls" not in concepts.columns
