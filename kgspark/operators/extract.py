@@ -134,7 +134,9 @@ def tag(chunks: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
 
     runs = F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, longest + 1)])))
     grams = chunks.select("chunk_id", words.alias("words")).where("size(words) > 0").select("chunk_id", F.explode(runs).alias("name"))
-    return grams.join(names.select(F.lower("name").alias("name"), "title").distinct(), "name").select("chunk_id", "title").distinct()
+    # the planner takes exploded runs for as small as their texts and would send them to every task: both sides are sorted instead
+    wanted = names.select(F.lower("name").alias("name"), "title").distinct().hint("merge")
+    return grams.join(wanted, "name").select("chunk_id", "title").distinct()
 
 
 def summary(extractions: DataFrame) -> DataFrame:

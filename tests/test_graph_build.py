@@ -1,11 +1,18 @@
 """The kept table of mentions gives the rows of the views' texts; facts give what all mentions give."""
 
+import os
 from collections import Counter
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from kgspark.functions.fuzzy import similar_pairs
 from kgspark.operators import concepts as C
+from kgspark.operators import extract as E
+from kgspark.operators import traverse as T
+from kgspark.sources import io
+from kgspark.sources.checkpoints import shared_folder
 from kgspark.sources.views import graph_views, view
 
 
@@ -47,3 +54,45 @@ def test_facts_count_mentions_that_say_the_same(spark):
     assert C.with_chunk_counts(narrow, m, C.leaders_of_titles(f, lead)).first().chunk_count == 3
     by_facts, by_mentions = C.name_map(narrow, f, lead), C.name_map(narrow, m, lead)
     assert rows(by_facts.withColumn("first_place", F.to_json("first_place"))) == rows(by_mentions.withColumn("first_place", F.to_json("first_place")))
+
+
+def test_runs_of_words_are_not_broadcast(spark):
+    chunks = spark.createDataFrame([(1, "A hot bolt and a bolt"), (2, "nothing")], "chunk_id int, text string")
+    names = spark.createDataFrame([("Hot Bolt", "Hot Bolt"), ("bolt", "Bolt"), ("nut", "Nut")], "name string, title string")
+    got = E.tag(chunks, names)
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert rows(got) == {(1, "Hot Bolt"): 1, (1, "Bolt"): 1}
+
+
+def test_the_longest_paths_are_not_written(spark):
+    base = shared_folder(spark)
+    edges = spark.createDataFrame([(a, b, "PREREQ_OF") for a, b in ["ab", "bc", "cd", "bd", "da"]], "source string, target string, rel_type string")
+    before = set(os.listdir(base))
+    got = T.paths_into(spark.createDataFrame([("d",)], "seed string"), edges, 3)
+    assert sum(n.startswith("paths-") for n in set(os.listdir(base)) - before) == 2
+    assert {"".join(r.path) for r in got.collect()} == {"cd", "bd", "bcd", "abd", "abcd", "dabd"}
+
+
+def test_similar_pairs_are_verified_by_many_tasks(spark):
+    words = spark.createDataFrame([(f"large ring {i}",) for i in range(30)], "title string")
+    pairs = similar_pairs(words, None, 80.0, False)
+    pairs.collect()
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_exported_lines_are_compressed_and_nodes_stand_alone(spark, tmp_path):
+    nodes = spark.createDataFrame([(["Concept"], ("A",), 1), (["Concept"], ("B",), 1)], "labels array<string>, properties struct<title:string>, ord int")
+    nodes = nodes.select("labels", F.from_json(F.to_json("properties"), "struct<" + io.NODE.replace(" ", ":").replace(",:", ",") + ">").alias("properties"), "ord")
+    io.write_graph(nodes.drop("ord"), None, str(tmp_path / "g"))
+    files = [n for n in os.listdir(tmp_path / "g" / "nodes") if n.startswith("part-")]
+    assert files and all(n.endswith(".json.gz") for n in files) and not os.path.exists(tmp_path / "g" / "relationships")
+    back = io.read_nodes(spark, str(tmp_path / "g"))
+    late = back.withColumn("properties", F.col("properties").withField("definition", F.lit("new"))).withColumn("ord", F.lit(2))
+    got = io.import_nodes(back.withColumn("ord", F.lit(1)).unionByName(late), "ord")
+    assert {(r.label, r.key, r.properties.definition) for r in got.collect()} == {("Concept", "A", "new"), ("Concept", "B", "new")}
+
+
+def test_explicit_seeds_stand_beside_all_semantic_ones(spark):
+    most = entry.queries()["h02_explicit_seeds"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().agg(F.max("count")).first()[0]
+    near = entry.queries()["v04_vector_search"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert near == 5 and most > 5
