@@ -24,7 +24,8 @@ def write_json_arrays(df: DataFrame, path: str, key: str, rows: int = 1000) -> N
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """JSON lines, compressed: ends of relationships repeat their properties in every line."""
+    df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def export_chunks(chunks: DataFrame, limit: int | None = None) -> DataFrame:
@@ -73,29 +74,57 @@ def _label_and_key(labels: Column, properties: Column) -> tuple[Column, Column]:
 def graph_export(vertices: DataFrame, resources: DataFrame, explains: DataFrame, edges: DataFrame, examples: DataFrame | None = None, exemplifies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes: labels, properties; relationships: from {labels, properties}, type, properties, to {labels, properties}); relationships without one of their ends are left out."""
     node = lambda df, label: df.select(F.array(F.lit(label)).alias("labels"), _fields(NODE, df).alias("properties"))
-    rel = lambda df, a, source, kind, b, target: df.select(F.lit(a).alias("a"), F.col(source).alias("a_key"), kind.alias("type"), _fields(RELATIONSHIP, df).alias("properties"), F.lit(b).alias("b"), F.col(target).alias("b_key"))
-    nodes = node(vertices, "Concept").unionByName(node(resources, "Resource"))
-    rels = rel(edges, "Concept", "source", F.col("rel_type"), "Concept", "target").unionByName(rel(explains, "Resource", "url", F.lit("EXPLAINS"), "Concept", "concept"))
+    nodes = {"Concept": node(vertices, "Concept"), "Resource": node(resources, "Resource")}
     if examples is not None:
-        nodes = nodes.unionByName(node(examples, "Example"))
-    if exemplifies is not None:
+        nodes["Example"] = node(examples, "Example")
+    key = _label_and_key(F.col("labels"), F.col("properties"))[1]
+
+    def rel(df: DataFrame, a: str, source: str, kind: Column, b: str, target: str) -> DataFrame:
+        # ends are joined with their own label's nodes only, the start first, which has more rows and fewer properties where it is no concept
+        out = df.select(F.col(source).alias("a_key"), kind.alias("type"), _fields(RELATIONSHIP, df).alias("properties"), F.col(target).alias("b_key"))
+        for end, label, whole in (("a", a, "from"), ("b", b, "to")):
+            out = out.join(nodes[label].select(key.alias(f"{end}_key"), F.struct("labels", "properties").alias(whole)), f"{end}_key")
+        return out.select("from", "type", "properties", "to")
+
+    rels = rel(edges, "Concept", "source", F.col("rel_type"), "Concept", "target").unionByName(rel(explains, "Resource", "url", F.lit("EXPLAINS"), "Concept", "concept"))
+    if exemplifies is not None and examples is not None:
         rels = rels.unionByName(rel(exemplifies, "Example", "example_id", F.lit("EXEMPLIFIES"), "Concept", "concept"))
-    label, key = _label_and_key(F.col("labels"), F.col("properties"))
-    for end, whole in (("a", "from"), ("b", "to")):
-        rels = rels.join(nodes.select(label.alias(end), key.alias(f"{end}_key"), F.struct("labels", "properties").alias(whole)), [end, f"{end}_key"])
-    return nodes, rels.select("from", "type", "properties", "to")
+    return reduce(DataFrame.unionByName, nodes.values()), rels
 
 
-def write_graph(nodes: DataFrame, relationships: DataFrame, path: str) -> None:
+def write_graph(nodes: DataFrame, relationships: DataFrame | None, path: str) -> None:
+    """Nodes and, where given, relationships under path."""
     write_json(nodes, f"{path}/nodes")
-    write_json(relationships, f"{path}/relationships")
+    if relationships is not None:
+        write_json(relationships, f"{path}/relationships")
+
+
+_NODE_ROW = f"labels array<string>, properties struct<{NODE.replace(' ', ':').replace(',:', ', ')}>"
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_NODE_ROW).json(f"{path}/nodes")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    node = f"labels array<string>, properties struct<{NODE.replace(' ', ':').replace(',:', ', ')}>"
+    node = _NODE_ROW
     end = f"struct<{node.replace(' array', ':array').replace('properties ', 'properties:')}>"
     rel = f"`from` {end}, type string, properties struct<{RELATIONSHIP.replace(' ', ':')}>, `to` {end}"
-    return spark.read.schema(node).json(f"{path}/nodes"), spark.read.schema(rel).json(f"{path}/relationships")
+    return read_nodes(spark, path), spark.read.schema(rel).json(f"{path}/relationships")
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    label, key = _label_and_key(F.col("labels"), F.col("properties"))
+    return nodes.withColumns({"label": label, "key": key}).where("label is not null and key is not null")
+
+
+def _last(columns: list[str], order: str | None) -> Column:
+    return F.max_by(F.struct(*columns), F.struct(*([order] if order else []), F.to_json("properties")))
+
+
+def import_nodes(nodes: DataFrame, order: str | None = None) -> DataFrame:
+    """The nodes of graph_import()."""
+    return _keyed(nodes).groupBy("label", "key").agg(_last(["labels", "properties"], order).alias("x")).select("label", "key", "x.*")
 
 
 def graph_import(nodes: DataFrame, relationships: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -105,17 +134,18 @@ def graph_import(nodes: DataFrame, relationships: DataFrame, order: str | None =
     Of equals the properties of the last by the column `order` stand (of the
     greatest as JSON where it ties or is not given).
     """
-    last = lambda x: F.max_by(F.struct(*x), F.struct(*([order] if order else []), F.to_json("properties")))
-    label, key = _label_and_key(F.col("labels"), F.col("properties"))
-    keyed = nodes.withColumns({"label": label, "key": key}).where("label is not null and key is not null")
-    merged = keyed.groupBy("label", "key").agg(last(["labels", "properties"]).alias("x")).select("label", "key", "x.*")
     r = relationships.where("type is not null")
+    # ends are told by label and key before anything is joined, so that their properties are not carried on
     for end in ("from", "to"):
         label, key = _label_and_key(F.col(f"{end}.labels"), F.col(f"{end}.properties"))
-        known = merged.select(F.col("label").alias(f"{end}_label"), F.col("key").alias(f"{end}_key"))
-        r = r.withColumns({f"{end}_label": label, f"{end}_key": key}).join(known, [f"{end}_label", f"{end}_key"], "left_semi")
+        r = r.withColumns({f"{end}_label": label, f"{end}_key": key})
+    r = r.drop("from", "to")
     ends = ["from_label", "from_key", "type", "to_label", "to_key"]
-    return merged, r.groupBy(*ends).agg(last(["properties"]).alias("x")).select(*ends, "x.properties")
+    r = r.groupBy(*ends).agg(_last(["properties"], order).alias("x")).select(*ends, "x.properties")
+    known = _keyed(nodes).select("label", "key").distinct()
+    for end in ("from", "to"):
+        r = r.join(known.select(F.col("label").alias(f"{end}_label"), F.col("key").alias(f"{end}_key")), [f"{end}_label", f"{end}_key"], "left_semi")
+    return import_nodes(nodes, order), r.select(*ends, "properties")
 
 
 def checksum(df: DataFrame) -> Column:
