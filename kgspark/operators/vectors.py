@@ -50,6 +50,25 @@ def encode(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray] = hashed
     return texts.mapInPandas(run, schema)
 
 
+def nearest(batches: Iterator[pd.DataFrame], ids: list, q: np.ndarray, k: int, cells: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """(query_id, id, distance): the k nearest vectors of each batch to each query, ties to smaller ids; at most about `cells` distances are held at once, however many queries there are."""
+    for x in batches:
+        if not len(x) or not len(ids):
+            continue
+        v = np.stack(x["embedding"].to_numpy()).astype(np.float64)
+        own = x["id"].to_numpy()
+        squares = (v * v).sum(1)[None, :]
+        step = max(1, cells // len(x))
+        for at_ in range(0, len(ids), step):
+            part = q[at_ : at_ + step]
+            d = np.maximum((part * part).sum(1)[:, None] + squares - 2 * part @ v.T, 0)
+            for i, row in enumerate(d, at_):
+                kth = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+                at = np.flatnonzero(row <= kth)
+                at = at[np.lexsort((own[at], row[at]))][:k]
+                yield pd.DataFrame({"query_id": ids[i], "id": own[at], "distance": ((v[at] - q[i]) ** 2).sum(1)})
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float | None = None, block_bytes: int = 32 << 20) -> DataFrame:
     """vectors (id, embedding), queries (query_id, embedding) → (query_id, rank, id, score): the k nearest, then those of at least min_score.
 
@@ -68,18 +87,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float
         shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for x in batches:
-                if not len(x) or not len(ids):
-                    continue
-                v = np.stack(x["embedding"].to_numpy()).astype(np.float64)
-                own = x["id"].to_numpy()
-                d = np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0)
-                for i, row in enumerate(d):
-                    kth = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
-                    at = np.flatnonzero(row <= kth)
-                    at = at[np.lexsort((own[at], row[at]))][:k]
-                    yield pd.DataFrame({"query_id": ids[i], "id": own[at], "distance": ((v[at] - q[i]) ** 2).sum(1)})
+            return nearest(batches, *shared.value, k)
 
         part = vectors.select("id", "embedding").mapInPandas(run, f"query_id long, id {vectors.schema['id'].dataType.simpleString()}, distance double")
         if blocks > 1:

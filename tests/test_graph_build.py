@@ -1,16 +1,21 @@
 """The kept table of mentions gives the rows of the views' texts; facts give what all mentions give."""
 
 import os
+import tracemalloc
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kgspark.functions.fuzzy import similar_pairs
 from kgspark.operators import concepts as C
 from kgspark.operators import extract as E
+from kgspark.operators import pages as P
 from kgspark.operators import traverse as T
+from kgspark.operators import vectors as V
 from kgspark.sources import io
 from kgspark.sources.checkpoints import shared_folder
 from kgspark.sources.views import graph_views, view
@@ -96,3 +101,22 @@ def test_explicit_seeds_stand_beside_all_semantic_ones(spark):
     most = entry.queries()["h02_explicit_seeds"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().agg(F.max("count")).first()[0]
     near = entry.queries()["v04_vector_search"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().agg(F.max("count")).first()[0]
     assert near == 5 and most > 5
+
+
+def test_distances_of_a_batch_are_not_held_for_all_queries():
+    rng = np.random.default_rng(1)
+    v, q = rng.normal(size=(2000, 16)), rng.normal(size=(2000, 16))
+    batch = pd.DataFrame({"id": range(2000), "embedding": list(v)})
+    tracemalloc.start()
+    got = {int(x["query_id"].iloc[0]): list(x["id"]) for x in V.nearest(iter([batch]), list(range(2000)), q, 3, cells=1 << 16)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # all distances together are 32 MB
+    for i in (0, 31, 32, 33, 1999):
+        assert got[i] == list(np.argsort(((v - q[i]) ** 2).sum(1), kind="stable")[:3])
+
+
+def test_pages_are_parsed_a_few_at_once():
+    pages = pd.DataFrame({"url": [f"u{i}" for i in range(300)], "html": [f"<title>{i}</title><a href='/{i}'>x</a>" for i in range(300)]})
+    parts = list(P.parsed_rows(iter([pages, pages.iloc[:0]])))
+    assert max(map(len, parts)) <= 128 and list(pd.concat(parts)["title"]) == [str(i) for i in range(300)]
