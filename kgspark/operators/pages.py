@@ -116,20 +116,22 @@ def parse_page(html: str | None) -> tuple:
     return title, content, hrefs, images
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """(url, html) → PARSED rows; a page that fails has an error and nothing else."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+def parsed_rows(batches: Iterator[pd.DataFrame], most: int = 128) -> Iterator[pd.DataFrame]:
+    """PARSED rows of (url, html), at most `most` at once, so that a batch's results are never held together."""
+    for b in batches:
+        for i in range(0, len(b), most):
             rows = []
-            for u, h in zip(b["url"], b["html"]):
+            for u, h in zip(b["url"].iloc[i : i + most], b["html"].iloc[i : i + most]):
                 try:
                     rows.append((u, *parse_page(h), None))
                 except Exception as e:  # noqa: BLE001  one page must not end the job
                     rows.append((u, None, None, [], [], str(e)))
             yield pd.DataFrame(rows, columns=["url", "title", "content", "hrefs", "images", "error"])
 
-    return pages.select("url", "html").mapInPandas(run, PARSED)
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """(url, html) → PARSED rows; a page that fails has an error and nothing else."""
+    return pages.select("url", "html").mapInPandas(parsed_rows, PARSED)
 
 
 def page_links(parsed: DataFrame, scope: urls.Scope, once: bool = True) -> DataFrame:
