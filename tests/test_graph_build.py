@@ -16,6 +16,7 @@ from kgspark.operators import extract as E
 from kgspark.operators import pages as P
 from kgspark.operators import traverse as T
 from kgspark.operators import vectors as V
+from kgspark.plans.build import graph_of
 from kgspark.sources import io
 from kgspark.sources.checkpoints import shared_folder
 from kgspark.sources.views import graph_views, view
@@ -120,3 +121,25 @@ def test_pages_are_parsed_a_few_at_once():
     pages = pd.DataFrame({"url": [f"u{i}" for i in range(300)], "html": [f"<title>{i}</title><a href='/{i}'>x</a>" for i in range(300)]})
     parts = list(P.parsed_rows(iter([pages, pages.iloc[:0]])))
     assert max(map(len, parts)) <= 128 and list(pd.concat(parts)["title"]) == [str(i) for i in range(300)]
+
+
+def test_vertices_are_made_without_relations_and_sources(spark, tmp_path):
+    d = str(tmp_path / "tables")
+    os.mkdir(d)
+    for name in ("lineitem", "part"):
+        os.symlink(f"/root/testdata/sf0.001/{name}.parquet", f"{d}/{name}.parquet")
+    base = shared_folder(spark)
+    before = set(os.listdir(base))
+    made = lambda: {n.split("-")[0] for n in set(os.listdir(base)) - before}
+    g = graph_of(spark, d)
+    assert g.vertices.count() > 0 and made() & {"relations", "sources", "mapped"} == set()
+    assert g.edges.count() > 0 and "relations" in made() and "sources" not in made()
+    assert g.explains.count() > 0 and "sources" in made() and graph_of(spark, d) is g
+
+
+def test_facts_are_sorted_by_a_number_first(spark):
+    said = [("1", 1, "A", "x", None, "a"), ("1", 2, "A", "x", None, "a"), ("1", 3, None, "x", None, "a"), ("2", 1, "A", "x", None, None)]
+    f = C.facts(spark.createDataFrame(said, "chunk_id string, pos int, title string, definition string, difficulty string, alias string"))
+    assert f.columns == ["title", "definition", "difficulty", "aliases", "n", "ord"] and sorted((r.n, tuple(r.ord)) for r in f.collect()) == [(1, ("2", 1)), (2, ("1", 1))]
+    sorts = [line for line in f._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortAggregate(key=" in line]
+    assert sorts and all("SortAggregate(key=[_hash#" in line for line in sorts)
