@@ -64,9 +64,12 @@ def described() -> list[Column]:
 
 
 def resources_of(concepts: DataFrame, explains: DataFrame, resources: DataFrame) -> DataFrame:
-    """(query_id, url, type, concepts): resources of a query's concepts, with those of its concepts that each explains."""
+    """(query_id, url, type, concepts): resources of a query's concepts, with those of its concepts that each explains.
+
+    Only edges of the concepts asked for are shuffled; edges that are there twice count once.
+    """
     c = concepts.select("query_id", F.col("title").alias("concept")).distinct()
-    return c.join(explains.distinct(), "concept").groupBy("query_id", "url").agg(F.sort_array(F.collect_list("concept")).alias("concepts")).join(resources, "url").select("query_id", "url", "type", "concepts")
+    return c.join(explains, "concept").groupBy("query_id", "url").agg(F.sort_array(F.collect_set("concept")).alias("concepts")).join(resources, "url").select("query_id", "url", "type", "concepts")
 
 
 def examples_of(concepts: DataFrame, examples: DataFrame, links: DataFrame, n: int = 2) -> DataFrame:

@@ -1,6 +1,7 @@
 """The kept table of mentions gives the rows of the views' texts; facts give what all mentions give."""
 
 import os
+import re
 import tracemalloc
 from collections import Counter
 from datetime import datetime
@@ -13,6 +14,7 @@ import __spark_entry__ as entry
 from kgspark.functions.fuzzy import similar_pairs
 from kgspark.operators import concepts as C
 from kgspark.operators import extract as E
+from kgspark.operators import graphqueries as Q
 from kgspark.operators import pages as P
 from kgspark.operators import traverse as T
 from kgspark.operators import vectors as V
@@ -143,3 +145,29 @@ def test_facts_are_sorted_by_a_number_first(spark):
     assert f.columns == ["title", "definition", "difficulty", "aliases", "n", "ord"] and sorted((r.n, tuple(r.ord)) for r in f.collect()) == [(1, ("2", 1)), (2, ("1", 1))]
     sorts = [line for line in f._jdf.queryExecution().sparkPlan().toString().splitlines() if "SortAggregate(key=" in line]
     assert sorts and all("SortAggregate(key=[_hash#" in line for line in sorts)
+
+
+def test_only_edges_of_the_concepts_asked_for_are_shuffled(spark):
+    c = spark.createDataFrame([(1, "A"), (1, "B"), (2, "B")], "query_id long, title string")
+    explains = spark.createDataFrame([("u", "A"), ("u", "A"), ("u", "B"), ("v", "B"), ("w", "C")], "url string, concept string")
+    kinds = spark.createDataFrame([("u", "pdf"), ("v", "web"), ("w", "web")], "url string, type string")
+    got = Q.resources_of(c, explains, kinds)
+    assert {(r.query_id, r.url, r.type, tuple(r.concepts)) for r in got.collect()} == {(1, "u", "pdf", ("A", "B")), (1, "v", "web", ("B",)), (2, "u", "pdf", ("B",)), (2, "v", "web", ("B",))}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2  # of concepts, and of resources
+
+
+def test_prerequisites_and_orders_drop_edges_that_are_there_twice(spark):
+    e = spark.createDataFrame([(a, b, "PREREQ_OF") for a, b in ["ab", "ab", "bc", "bc", "ca"]], "source string, target string, rel_type string")
+    got = T.prerequisites(spark.createDataFrame([("c",)], "seed string"), e, 3)
+    assert rows(got) == {("c", "b", 1): 1, ("c", "a", 2): 1, ("c", "c", 3): 1}
+    c = spark.createDataFrame([(1, "b", 0), (1, "a", 1), (1, "d", 2)], "query_id long, title string, pos int")
+    assert [r.title for r in T.kahn_orders(c, e).orderBy("place").collect()] == ["a", "d", "b"]
+    for df in (T.prerequisites(spark.createDataFrame([("c",)], "seed string"), e, 1), T.kahn_orders(c, e)):  # not all edges are shuffled
+        assert not re.search(r"Aggregate \[source#\d+, target#\d+\]", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_retrieved_concepts_are_made_once(spark):
+    base = shared_folder(spark)
+    before = set(os.listdir(base))
+    assert entry.queries()["h03_result_summary"](spark, "/root/testdata/sf0.001").count() > 0
+    assert sum(n.startswith("retrieved-") for n in set(os.listdir(base)) - before) == 1
