@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -21,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.attention import Vocabulary, inputs, log_probabilities, start, start_from_pairs, train, vocabulary
-from kgspark.llm.common import lower_words, materialize
-from kgspark.llm.tokenids import WordEncoder
+from kgspark.llm.common import materialize
+from kgspark.llm.tokenids import WordEncoder, distinct_words, runs
 
 CHUNK = "chunk long, n_train long, docs binary, words binary, hashes binary, pieces binary"
 CHUNK_BYTES = 2 << 20
@@ -51,51 +53,40 @@ def _unzip(data: bytes, *kinds: str) -> list[np.ndarray]:
 def chunks(docs: DataFrame, held_out: Column, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents packed into chunks; a chunk's number follows from its partition and place, and is fixed once written."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, made, part = WordEncoder.of_worker(tokenizer_path, remember=REMEMBER), 0, TaskContext.get().partitionId()
-        seen: dict[bytes, int] = {}
-        ids: list = []
-        places: list[np.ndarray] = []
-        held: list[bool] = []
-        size = 0
-
-        def full() -> pd.DataFrame:
-            nonlocal made, size
-            words = list(seen)
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype="<u8")
-            passing = encoder.learn(words)
-            pieces = [encoder.known[w] for w in words]
-            encoder.forget(passing)
-            known = np.array([i is not pd.NA and i == i and i is not None for i in ids])
-            flat = np.array([int(i) if k else 0 for i, k in zip(ids, known)], dtype="<i8")
-            out = pd.DataFrame(
-                {
-                    "chunk": [(part << 32) + made], "n_train": [int((~np.array(held)).sum())],
-                    "docs": [_zip(flat, known.astype("u1"), np.array(held).astype("u1"), np.array([len(p) for p in places], dtype="<i8"))],
-                    "words": [_zip(np.concatenate(places).astype("<u4") if places else np.zeros(0, "<u4"))],
-                    "hashes": [hashes.tobytes()],
-                    "pieces": [_zip(np.array([len(p) // 4 for p in pieces], dtype="<u4"), np.frombuffer(b"".join(pieces), "<u4"))],
-                }
-            )
-            made, size = made + 1, 0
-            for x in (ids, places, held):
-                x.clear()
-            seen.clear()
-            return out
 
+        def packed(rows: pa.Table) -> pa.RecordBatch:
+            nonlocal made
+            ids, texts, held = (rows.column(n).combine_chunks() for n in ("doc_id", "text", "held"))
+            words, places, lengths = distinct_words(texts, lower=True)
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()], dtype="<u8")
+            sizes, pieces = encoder.pieces(words)
+            held = pc.fill_null(held, False).to_numpy(zero_copy_only=False)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            flat = pc.fill_null(ids, 0).to_numpy()
+            out = {
+                "chunk": [(part << 32) + made], "n_train": [int((~held).sum())],
+                "docs": [_zip(flat.astype("<i8"), known.astype("u1"), held.astype("u1"), lengths.astype("<i8"))],
+                "words": [_zip(places.astype("<u4"))],
+                "hashes": [hashes.tobytes()],
+                "pieces": [_zip(sizes.astype("<u4"), pieces)],
+            }
+            made += 1
+            return pa.RecordBatch.from_pydict(out, pa.schema([("chunk", pa.int64()), ("n_train", pa.int64()), *((n, pa.binary()) for n in ("docs", "words", "hashes", "pieces"))]))
+
+        rest = None
         for b in batches:
-            for i, t, h in zip(b["doc_id"].astype("Int64"), b["text"], b["held"]):
-                ids.append(i)
-                held.append(bool(h))
-                ws = lower_words(t)
-                places.append(np.array([seen.setdefault(w, len(seen)) for w in ws], dtype="<u4"))
-                size += len(t or "") + 16
-                if size >= CHUNK_BYTES:
-                    yield full()
-        if ids:
-            yield full()
+            rows = pa.Table.from_batches([b])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            cuts = list(runs(rows.column("text").combine_chunks(), CHUNK_BYTES))
+            for x, y in cuts[:-1]:
+                yield packed(rows[x:y])
+            rest = rows[cuts[-1][0] :] if cuts else rows
+        if rest is not None and rest.num_rows:
+            yield packed(rest)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held")).mapInPandas(run, CHUNK)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held")).mapInArrow(run, CHUNK)
 
 
 class Chunk:
@@ -287,6 +278,7 @@ def fit(packed: DataFrame, vocab: Vocabulary, end: int, rounds: int, rate: float
         shared = spark.sparkContext.broadcast((p, vocab))
 
         def run(batches: Iterator[pd.DataFrame], k=k, shared=shared) -> Iterator[pd.DataFrame]:
+            WordEncoder.of_worker.cache_clear()  # words remembered are of no more use, and take a worker's memory
             p, vocab = shared.value
             p = {n: v.copy() for n, v in p.items()}
             seen = 0
@@ -352,6 +344,7 @@ def score(
     shared = spark.sparkContext.broadcast((p, vocab, counts[0], first_words(answers, vocabulary_size), stop))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        WordEncoder.of_worker.cache_clear()
         p, vocab, first_counts, first_distinct, stop = shared.value
         for b in batches:
             for r in b.itertuples(index=False):

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as PT
 import pytest
 import xxhash
@@ -107,6 +108,24 @@ def test_rows_of_one_id_are_split_over_files(spark):
     assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((r.n_tokens, zlib.crc32(np.frombuffer(r.ids, f"<u{len(r.ids) // r.n_tokens}").astype("<u4").tobytes())) for r in encoded.collect())
 
 
+def test_id_files_are_read_without_a_shuffle(spark, docs):
+    read = tokenids.write_files(tokenids.encode_documents(docs, TOK), file_ids=5).groupBy("file_no").count()
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_ids_equal_the_tokenizer(monkeypatch):
+    """Words cut at every run of text and forgotten once ten are remembered, beside letters beyond ASCII, their upper case and combining marks."""
+    from tokenizers import Tokenizer
+
+    texts = ["x9y! \u00e99\u00e9 \u00c99 a!b! !!a", "  I'll go\x0b\u00c0\u00c9!! \u00ff\u00df \u00b5\u00aa \u00d7a \u017fK \u212b A\u030a don't's  x\xa0y", "", "e\u0301x \u0130I \u0131\u00df \u1e9e", "na\u00efve\u00d1..., \"\u00c9\u00c0", *(f"word{chr(97 + i)} \u00c9T\u00c9{chr(97 + i)}!" for i in range(26))]
+    tk, encoder = Tokenizer.from_file(TOK), tokenids.WordEncoder(TOK, remember=10)
+    for a, b in tokenids.runs(pa.array(texts), 40):
+        words, places, lengths = tokenids.distinct_words(pa.array(texts[a:b]))
+        got = tokenids.expand(*encoder.pieces(words), places).tolist()
+        assert got == [i for t in texts[a:b] for i in tk.encode(t, add_special_tokens=False).ids] and len(lengths) == b - a
+    assert len(encoder.known) < 40
+
+
 def base_spans(t):
     kinds = (("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
     out = sorted((m.start(), k, m.end(), n) for k, (n, p, g, least) in enumerate(kinds) for m in p.finditer(t) if len(m[g]) >= least)
