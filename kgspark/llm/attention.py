@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,6 +10,7 @@ import numpy as np
 CONTEXT, STRIDE = 16, 32
 LENGTH = CONTEXT + STRIDE
 WIDTH, HIDDEN = 16, 32
+PART, ROWS = 32, 256  # windows, and rows of class weights, that are worked on at once; no result hangs on them but for rounding
 
 
 @dataclass(frozen=True)
@@ -84,14 +86,15 @@ CAUSAL = np.tril(np.ones((LENGTH, LENGTH), np.float32))
 
 def weigh(x: np.ndarray) -> np.ndarray:
     """exp(x) made of straight lines between powers of two, in place of a slower one: positive and increasing, which is all that a weight needs. x is used up."""
-    np.clip(x, -60, 60, out=x)
+    if x.size and (x.max() > 60 or x.min() < -60):
+        np.clip(x, -60, 60, out=x)
     x *= np.float32((1 << 23) / np.log(2))
     x += np.float32(127 * (1 << 23))
     return x.astype(np.int32).view(np.float32)
 
 
 def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first scored position, end of its text) of windows of STRIDE that cover each range [start, end) once."""
+    """(first scored position, text) of windows of STRIDE that cover each range [start, end) once."""
     n = -(-(ends - starts) // STRIDE)
     of = np.repeat(np.arange(len(starts)), n)
     k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
@@ -106,68 +109,104 @@ def batch(rows: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarra
     return at, rows[at], real
 
 
+def _flat(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, m.shape[-1])
+
+
 def forward(p: dict[str, np.ndarray], rows: np.ndarray, kind: np.ndarray, real: np.ndarray, scored: slice) -> dict[str, np.ndarray]:
-    """All that the gradient needs; "w" has the unnormalized class weights of the scored positions, a row each."""
-    x = p["embed"][rows]
-    x += p["kind"][kind]
+    """All that the gradient needs, up to "z", from which classes are drawn at the scored positions."""
+    b, t = rows.shape
+    x = p["embed"].take(rows, axis=0)
+    x += p["kind"].take(kind, axis=0)
     x += p["place"]
-    k, v = x @ p["k"], x @ p["v"]
+    k, v = (_flat(x) @ p["k"]).reshape(b, t, WIDTH), (_flat(x) @ p["v"]).reshape(b, t, WIDTH)
     own = x[:, scored]
-    q = own @ (p["q"] * np.float32(1 / np.sqrt(WIDTH)))
-    a = weigh(q @ k.transpose(0, 2, 1))
+    q = (_flat(own) @ (p["q"] * np.float32(1 / np.sqrt(WIDTH)))).reshape(own.shape)
+    a = weigh(q @ np.ascontiguousarray(k.transpose(0, 2, 1)))
     a *= CAUSAL[scored]
     if not real.all():
         a *= real[:, None, :]
     total = a @ np.ones((LENGTH, 1), np.float32)
     np.maximum(total, np.float32(1e-30), out=total)
     u = (a @ v) / total
-    y = own + u @ p["o"]
-    h = np.maximum(y @ p["w1"], 0)
-    z = y + h @ p["w2"]
-    logits = z.reshape(-1, WIDTH) @ p["out"]
-    logits += p["bias"][kind[:, scored].reshape(-1)]
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "total": total, "u": u, "y": y, "h": h, "z": z, "w": weigh(logits)}
+    y = _flat(u) @ p["o"]
+    y += _flat(own)
+    h = y @ p["w1"]
+    np.maximum(h, 0, out=h)
+    z = h @ p["w2"]
+    z += y
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "total": total, "u": u, "y": y, "h": h, "z": z}
+
+
+def _weights(p: dict[str, np.ndarray], z: np.ndarray, kind: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, their z and kind in one, unnormalized class weights) of so few rows at a time that they stay in a processor's cache."""
+    both = np.concatenate([p["out"], p["bias"]])
+    zs = np.empty((len(z), WIDTH + 2), z.dtype)
+    zs[:, :WIDTH], zs[:, WIDTH], zs[:, WIDTH + 1] = z, kind == 0, kind != 0
+    for i in range(0, len(z), ROWS):
+        yield slice(i, i + ROWS), zs[i : i + ROWS], weigh(zs[i : i + ROWS] @ both)
+
+
+def _of_part(p: dict[str, np.ndarray], rows: np.ndarray, kind: np.ndarray, real: np.ndarray, group: np.ndarray, share: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Loss times share, summed, its gradient but for embeddings, and that of each input row."""
+    f = forward(p, rows, kind, real, slice(None))
+    b, t = rows.shape
+    kind = kind.reshape(-1)
+    z, loss, back = f["z"], 0.0, np.ascontiguousarray(p["out"].T)
+    both, dz, ones = np.zeros((WIDTH + 2, back.shape[0]), z.dtype), np.empty_like(z), np.ones(back.shape[0], z.dtype)
+    for part, zs, w in _weights(p, z, kind):
+        at, s, total = (np.arange(len(w)), group[part]), share[part], w @ ones
+        loss -= float(np.log(w[at] / total + 1e-30) @ s)
+        w *= (s / total)[:, None]
+        w[at] -= s
+        both += zs.T @ w
+        np.matmul(w, back, out=dz[part])
+    g = {"out": both[:WIDTH], "bias": both[WIDTH:]}
+    g["w2"] = f["h"].T @ dz
+    dh = dz @ p["w2"].T
+    dh *= f["h"] > 0
+    g["w1"] = f["y"].T @ dh
+    dy = dh @ p["w1"].T
+    dy += dz
+    u, a = f["u"], f["a"]
+    g["o"] = _flat(u).T @ dy
+    du = (dy @ p["o"].T).reshape(b, t, WIDTH)
+    du /= f["total"]
+    ds = du @ np.ascontiguousarray(f["v"].transpose(0, 2, 1))
+    ds -= np.einsum("bti,bti->bt", du, u)[:, :, None]
+    ds *= a
+    dv, dk, dq = _flat(a.transpose(0, 2, 1) @ du), _flat(ds.transpose(0, 2, 1) @ f["q"]), _flat(ds @ f["k"])
+    dq *= np.float32(1 / np.sqrt(WIDTH))
+    x = _flat(f["x"])
+    g["q"], g["k"], g["v"] = x.T @ dq, x.T @ dk, x.T @ dv
+    dx = dy
+    dx += dq @ p["q"].T
+    dx += dk @ p["k"].T
+    dx += dv @ p["v"].T
+    dx *= real.reshape(-1, 1)
+    g["place"] = dx.reshape(b, t, WIDTH).sum(axis=0)
+    g["kind"] = np.array([kind == 0, kind != 0]).astype(dx.dtype) @ dx
+    return loss, g, dx
 
 
 def gradient(p: dict[str, np.ndarray], rows: np.ndarray, kind: np.ndarray, real: np.ndarray, group: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over counted positions of whole windows, and its gradient."""
-    f = forward(p, rows, kind, real, slice(None))
-    n = max(1, int(counted.sum()))
-    l = f["w"]
-    l /= l.sum(axis=1, keepdims=True)
-    a = f["a"] / f["total"]
-    flat, c = group.reshape(-1), counted.reshape(-1)
-    i = np.arange(len(flat))
-    loss = float(-(np.log(l[i, flat] + 1e-30) * c).sum() / n)
-    l[i, flat] -= 1
-    l *= (c / n).astype(np.float32)[:, None]
-    b, t, _ = f["x"].shape
-    z = f["z"].reshape(-1, WIDTH)
-    second = kind.reshape(-1) > 0
-    g = {"out": z.T @ l, "bias": np.array([l[~second].sum(axis=0), l[second].sum(axis=0)])}
-    dz = (l @ p["out"].T).reshape(b, t, WIDTH)
-    two = lambda m: m.reshape(-1, m.shape[-1])
-    g["w2"] = two(f["h"]).T @ two(dz)
-    dh = (dz @ p["w2"].T) * (f["h"] > 0)
-    g["w1"] = two(f["y"]).T @ two(dh)
-    dy = dz + dh @ p["w1"].T
-    g["o"] = two(f["u"]).T @ two(dy)
-    du = dy @ p["o"].T
-    da = du @ f["v"].transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ du
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq, dk = (ds @ f["k"]) * np.float32(1 / np.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ f["q"]
-    x = two(f["x"])
-    g["q"], g["k"], g["v"] = x.T @ two(dq), x.T @ two(dk), x.T @ two(dv)
-    dx = dy + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    dx *= real[:, :, None]
-    g["place"] = dx.sum(axis=0)
-    g["kind"] = np.array([two(dx)[~second].sum(axis=0), two(dx)[second].sum(axis=0)])
+    """Mean loss over counted positions of whole windows, and its gradient, summed over a few windows at a time."""
+    share = counted.astype(p["out"].dtype)
+    share /= max(1, int(counted.sum()))
+    loss, g, dxs = 0.0, {}, []
+    for i in range(0, len(rows), PART):
+        part = slice(i, i + PART)
+        l, some, dx = _of_part(p, rows[part], kind[part], real[part], group[part].reshape(-1), share[part].reshape(-1))
+        loss += l
+        for n, v in some.items():
+            g[n] = g[n] + v if n in g else v
+        dxs.append(dx)
     g["embed"] = np.zeros_like(p["embed"])
-    order = np.argsort(rows, axis=None, kind="stable")
-    ordered = rows.reshape(-1)[order]
-    first = np.flatnonzero(np.diff(ordered, prepend=-1))
-    g["embed"][ordered[first]] = np.add.reduceat(two(dx)[order], first)
+    flat = rows.reshape(-1).astype(np.uint16 if len(p["embed"]) <= 1 << 16 else np.int64)  # the former sorts faster
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    first = np.flatnonzero(np.diff(ordered.astype(np.int64), prepend=-1))
+    g["embed"][ordered[first]] = np.add.reduceat(np.concatenate(dxs).take(order, axis=0), first)
     return loss, g
 
 
@@ -194,8 +233,7 @@ def train(p: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, kinds: n
     adam = Adam(p, rate)
     for i in range(0, len(order), size):
         part = order[i : i + size]
-        begin, end = starts[of[part]], ends[of[part]]
-        at, r, real = batch(rows, first[part], begin, end)
+        at, r, real = batch(rows, first[part], starts[of[part]], ends[of[part]])
         _, g = gradient(p, r, kinds[at], real, group[at], real)
         adam.step(p, g)
     return int((ends - starts).sum())
@@ -209,7 +247,7 @@ def inputs(vocab: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> np.ndarray
     return rows
 
 
-def log_probabilities(p: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 128) -> np.ndarray:
+def log_probabilities(p: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarray, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = PART) -> np.ndarray:
     """Natural log probability of each id. Windows overlap by CONTEXT ids, and each id is scored in one of them."""
     rows, group = inputs(vocab, ids, starts), vocab.group[ids]
     first, of = windows(starts, ends)
@@ -218,8 +256,11 @@ def log_probabilities(p: dict[str, np.ndarray], vocab: Vocabulary, ids: np.ndarr
     for i in range(0, len(first), size):
         begin, end = starts[of[i : i + size]], ends[of[i : i + size]]
         at, r, real = batch(rows, first[i : i + size], begin, end)
-        w = forward(p, r, kinds[at], real, scored)["w"]
-        at, keep = at[:, scored].reshape(-1), real[:, scored].reshape(-1)
-        score = np.log(w[np.arange(len(at)), group[at]]) - np.log(w @ np.ones(w.shape[1], np.float32)) + vocab.inside[kinds[at], ids[at]]
+        kind = kinds[at]
+        z = forward(p, r, kind, real, scored)["z"]
+        at, kind, keep = at[:, scored].reshape(-1), kind[:, scored].reshape(-1), real[:, scored].reshape(-1)
+        score, own = vocab.inside[kind, ids[at]], group[at]
+        for part, _, w in _weights(p, z, kind):
+            score[part] += np.log(w[np.arange(len(w)), own[part]] / (w @ np.ones(w.shape[1], w.dtype)))
         out[at[keep]] = score[keep]
     return out

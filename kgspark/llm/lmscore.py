@@ -89,6 +89,12 @@ def chunks(docs: DataFrame, held_out: Column, tokenizer_path: str, id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held")).mapInArrow(run, CHUNK)
 
 
+def release() -> None:
+    """Words remembered, and memory that Arrow keeps, are of no more use to a worker once chunks are made."""
+    WordEncoder.of_worker.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Chunk:
     def __init__(self, docs: bytes, words: bytes) -> None:
         self.ids, self.known, self.held, self.lengths = _unzip(docs, "<i8", "u1", "u1", "<i8")
@@ -278,7 +284,7 @@ def fit(packed: DataFrame, vocab: Vocabulary, end: int, rounds: int, rate: float
         shared = spark.sparkContext.broadcast((p, vocab))
 
         def run(batches: Iterator[pd.DataFrame], k=k, shared=shared) -> Iterator[pd.DataFrame]:
-            WordEncoder.of_worker.cache_clear()  # words remembered are of no more use, and take a worker's memory
+            release()
             p, vocab = shared.value
             p = {n: v.copy() for n, v in p.items()}
             seen = 0
@@ -344,7 +350,7 @@ def score(
     shared = spark.sparkContext.broadcast((p, vocab, counts[0], first_words(answers, vocabulary_size), stop))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        WordEncoder.of_worker.cache_clear()
+        release()
         p, vocab, first_counts, first_distinct, stop = shared.value
         for b in batches:
             for r in b.itertuples(index=False):

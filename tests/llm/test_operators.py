@@ -126,6 +126,23 @@ def test_word_ids_equal_the_tokenizer(monkeypatch):
     assert len(encoder.known) < 40
 
 
+def test_gradients_are_summed_over_a_few_windows_at_a_time(monkeypatch):
+    most, forward = [], attention.forward
+    monkeypatch.setattr(attention, "forward", lambda p, r, *more: most.append(len(r)) or forward(p, r, *more))
+    rng = np.random.default_rng(4)
+    v = attention.vocabulary(rng.integers(1, 50, (2, 60)).astype(float), 40, 10, 20, 5)
+    p = attention.start(v)
+    ids, kinds, starts, ends = rng.integers(0, 60, 5000), rng.integers(0, 2, 5000), np.array([0, 130, 131, 2000]), np.array([130, 131, 2000, 5000])
+    first, of = attention.windows(starts, ends)
+    at, r, real = attention.batch(attention.inputs(v, ids, starts), first, starts[of], ends[of])
+    loss, g = attention.gradient(p, r, kinds[at], real, v.group[ids][at], real)
+    assert max(most) <= attention.PART < len(first)
+    monkeypatch.setattr(attention, "PART", len(first))
+    monkeypatch.setattr(attention, "ROWS", real.size)
+    whole, want = attention.gradient(p, r, kinds[at], real, v.group[ids][at], real)
+    assert math.isclose(loss, whole, rel_tol=1e-5) and all(np.allclose(g[k], want[k], rtol=1e-3, atol=1e-6) for k in want)
+
+
 def base_spans(t):
     kinds = (("assign", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
     out = sorted((m.start(), k, m.end(), n) for k, (n, p, g, least) in enumerate(kinds) for m in p.finditer(t) if len(m[g]) >= least)
