@@ -13,7 +13,7 @@ the others.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,32 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import bit_filter, in_filter, materialize
+from kgspark.llm.common import materialize
 from kgspark.llm.components import connected_components
-from kgspark.llm.simhash import shingle_hashes
-
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def factors(n: int, seed: int) -> np.ndarray:
-    """n odd 64-bit multipliers."""
-    return np.array([xxhash.xxh64_intdigest(f"{seed}:{i}") | 1 for i in range(n)], dtype=np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(32))) * _MIX
-        x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(32))
-
-
-def minima(h: np.ndarray, by: np.ndarray, block: int = 256) -> np.ndarray:
-    """For each multiplier the least product with a hash, modulo 2^64."""
-    out = np.full(len(by), np.iinfo(np.uint64).max)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(h), block):
-            np.minimum(out, (h[i : i + block, None] * by).min(axis=0), out=out)
-    return out
+from kgspark.llm.sets import band_keys, factors, minima, shingle_hashes
+from kgspark.llm.sets import mixed as _mixed
+from kgspark.llm.sets import runs as _runs
+from kgspark.llm.sets import with_texts as _with_texts
 
 
 def planes(low: np.ndarray, bits: int) -> bytes:
@@ -55,14 +35,6 @@ def planes(low: np.ndarray, bits: int) -> bytes:
     return b"".join(np.packbits((low >> np.uint64(j)).astype(np.uint8) & 1, bitorder="little").tobytes() for j in range(bits))
 
 
-def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
-    """One key for each run of `rows` minima."""
-    keys = np.zeros(len(least) // rows, np.uint64)
-    for j in range(rows):
-        keys = _mixed(keys ^ least[j::rows])
-    return keys.view(np.int64)
-
-
 def differing(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     """a, b (…, bytes of a signature) → bytes whose ones are the minima that differ in a kept bit."""
     x = (a ^ b).reshape(*np.broadcast_shapes(a.shape, b.shape)[:-1], bits, -1)
@@ -99,49 +71,6 @@ def _signatures(docs: DataFrame, shingle: int, seed: int, bands: int, rows: int,
     return docs.mapInArrow(run, "row long, doc_id long, text string, n long, d1 long, d2 long, sig binary, keys array<long>")
 
 
-def _with_texts(wanted: DataFrame, rows: DataFrame, bits: int = 1 << 27) -> DataFrame:
-    """wanted (v, …) with the text of row v. Texts that nobody asks for are told by a filter of fixed size and not shuffled."""
-    # row numbers have their partition in the upper 31 bits
-    slot = lambda part, at: part * 1_000_003 + at
-    low = (1 << 33) - 1
-    asked = bit_filter(wanted.select(F.pmod(slot(F.shiftright("v", 33), F.col("v").bitwiseAND(F.lit(low))), F.lit(bits)).alias("slot")), bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = b.column(0).to_numpy()
-            kept = b.filter(pa.array(in_filter(asked, slot(v >> 33, v & low) % bits)))
-            if kept.num_rows:
-                yield kept
-
-    return wanted.join(rows.select(F.col("row").alias("v"), "text").mapInArrow(run, "v long, text string"), "v")
-
-
-def _runs(key: list[str], work: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]):
-    """For mapInPandas: sorted rows, run by run of equal keys; only one run is held."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            if not len(b):
-                continue
-            new = (b[key] != b[key].shift()).any(axis=1).to_numpy()
-            if held and (b[key].iloc[0] == held[-1][key].iloc[-1]).all():
-                new[0] = False
-            elif held:
-                yield from work(pd.concat(held))
-                held = []
-            starts = [0, *[i for i in np.flatnonzero(new).tolist() if i], len(b)]
-            for a, z in zip(starts, starts[1:]):
-                if a and held:
-                    yield from work(pd.concat(held))
-                    held = []
-                held.append(b.iloc[a:z])
-        if held:
-            yield from work(pd.concat(held))
-
-    return run
-
-
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union of two sorted sets."""
     if len(x) > len(y):

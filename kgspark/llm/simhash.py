@@ -6,11 +6,13 @@ those counts, so tile pairs further apart than the radius are never formed.
 The remaining pairs are compared in numpy by exclusive-or and bit counts, and
 each tile pair hands on a spanning forest of its links, never the links
 themselves: a group of thousands of near copies costs thousands of rows.
+
+similar_groups() is another measure, Jaccard similarity of sets of shingles,
+and finds its candidates by bands of minima.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,25 +20,21 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from kgspark.llm.common import lower_words, materialize
+from kgspark.llm.common import materialize
 from kgspark.llm.components import connected_components
+from kgspark.llm.sets import band_keys, factors, minima, runs, shingle_hashes, with_texts
 
 HALF = 0xFFFFFFFF
 
 
-def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """Hash of each run of `shingle` words, in order; of all words where there are fewer."""
-    words = lower_words(text)
-    hash64 = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([hash64(b" ".join(words), seed)] if words else [], dtype="<u8")
-    whole, ends, at = b" ".join(words), [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0, *(e + 1 for e in ends)]
-    return np.array([hash64(whole[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])], dtype="<u8")
+def set_fingerprint(h: np.ndarray, block: int = 1 << 15) -> int:
+    """SimHash of the given hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), block):
+        ones += np.unpackbits(h[i : i + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, block: int = 1 << 15) -> int:
@@ -186,99 +184,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     return prints.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-BINS = 128  # of a sketch, a byte each
-
-
-def sketch(h: np.ndarray) -> bytes:
-    """Of distinct hashes, per bin of their top bits, a byte of the smallest; 0: the bin is empty."""
-    out = np.zeros(BINS, np.uint8)
-    if len(h):
-        ordered = np.sort(h)
-        places = ordered >> np.uint64(57)
-        first = np.flatnonzero(np.diff(places, prepend=places[0] + np.uint64(1)))
-        out[places[first].astype(np.int64)] = ordered[first] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
-
-
-def likeness(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
-    """Jaccard similarity as the sketches a[x] and b[y] have it."""
-    out = np.empty(len(x))
-    for i in range(0, len(x), at_once):
-        p, q = a[x[i : i + at_once]], b[y[i : i + at_once]]
-        either = np.count_nonzero(p | q, axis=1)
-        out[i : i + at_once] = (np.count_nonzero(p == q, axis=1) - (BINS - either)) / np.maximum(either, 1)
-    return out
-
-
-def _sketches(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, fp, n, digest, mins): fingerprint over, size, digest and sketch of the set of shingles."""
+def _signed(docs: DataFrame, shingle: int, seed: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, n, d1, d2, keys) of (doc_id, text): size and digests of the set of shingles, and a key for each band of its minima, null without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by = factors(bands * rows, seed)
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in b["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "fp": np.array([set_fingerprint(x) for x in sets], dtype=np.uint64).view(np.int64),
-                    "n": [len(x) for x in sets],
-                    "digest": np.array([xxhash.xxh64_intdigest(x.tobytes(), seed + 1) for x in sets], dtype=np.uint64).view(np.int64),
-                    "mins": [sketch(x) for x in sets],
-                }
-            )
+            n, d1, d2, keys = [], [], [], []
+            for text in b["text"]:
+                h = np.unique(shingle_hashes(text, shingle, seed))
+                n.append(len(h))
+                d1.append(xxhash.xxh64_intdigest(whole := h.tobytes(), seed + 1))
+                d2.append(xxhash.xxh64_intdigest(whole, seed + 2))
+                keys.append(band_keys(minima(h, by), rows) if len(h) else None)
+            signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "d1": signed(d1), "d2": signed(d2), "keys": keys})
 
-    return docs.mapInPandas(run, "doc_id long, fp long, n long, digest long, mins binary")
-
-
-def set_fingerprint(h: np.ndarray, block: int = 1 << 15) -> int:
-    """SimHash of the given hashes."""
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), block):
-        ones += np.unpackbits(h[i : i + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
-
-
-def _involved(radius: int, least: float, slack: float):
-    """Of two tiles, the rows that have a candidate: within the radius, of a size and a sketch that allow the similarity."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                same = r.tile == r.tile2
-                x, y = (np.frombuffer(v, "<i8").reshape(-1, 3) for v in (r.xs, r.xs2))
-                m, m2 = (np.frombuffer(v, np.uint8).reshape(-1, BINS) for v in (r.ms, r.ms2))
-                ax, ay = np.zeros(len(x), bool), np.zeros(len(y), bool)
-                low, high = np.ceil(least * y[:, 1] - 1e-6), np.floor(y[:, 1] / least + 1e-6)
-                for i in range(0, len(x), 128):
-                    some = x[i : i + 128]
-                    near = np.bitwise_count(some[:, 0].view(np.uint64)[:, None] ^ y[:, 0].view(np.uint64)) <= radius
-                    near &= (some[:, None, 1] >= low) & (some[:, None, 1] <= high)
-                    if same:
-                        near[np.arange(len(some)), np.arange(i, i + len(some))] = False
-                    # one pair settles both rows; later ones of two settled rows say nothing new
-                    while True:
-                        near &= ~(ax[i : i + 128, None] & ay[None, :])
-                        a, b = np.nonzero(near)
-                        if not len(a):
-                            break
-                        a, b = a[:4096], b[:4096]
-                        near[a, b] = False
-                        kept = likeness(m, m2, a + i, b) >= least - slack
-                        ax[a[kept] + i] = True
-                        ay[b[kept]] = True
-                        if same:
-                            ax |= ay
-                            ay |= ax
-                found = [("x", x[ax, 2])] if same else [("x", x[ax, 2]), ("y", y[ay, 2])]
-                yield pd.concat([pd.DataFrame({"tile": r.tile, "tile2": r.tile2, "side": k, "doc_id": v}) for k, v in found])
-
-    return run
+    return docs.mapInPandas(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
 
 def _block_links(shingle: int, seed: int, least: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Forest of the pairs of a block's texts, of both sides, whose sets of shingles have the similarity."""
-        rows = rows.sort_values("doc_id")
-        ids, left = rows["doc_id"].to_numpy(), (rows["side"] == "x").to_numpy()
+    def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Forest of the pairs of a block's texts, of both sides or among those of side 0 alone, whose sets of shingles have the similarity."""
+        rows = rows.sort_values("v")
+        ids, left = rows["v"].to_numpy(), (rows["side"] == 0).to_numpy()
         sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in rows["text"]]
         sizes = np.array([len(v) for v in sets])
         _, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -306,56 +235,75 @@ def _block_links(shingle: int, seed: int, least: float):
                     part[part == max(p, q)] = min(p, q)
                     us.append(ids[u])
                     vs.append(ids[v])
-        return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
+        yield pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
 
     return run
 
 
-def _set_links(distinct: DataFrame, texts: DataFrame, shingle: int, seed: int, radius: int, least: float, slack: float, tile_rows: int, tile_shingles: int) -> DataFrame:
-    """distinct (fp, n, rep, mins) → verified links (u, v) of reps whose closure is that of all within the radius."""
-    spark = distinct.sparkSession
-    # sets of similarity `least` have sizes in adjacent cells; 1e-9 keeps rounding on the near side
-    cells = distinct.where("n > 0").withColumn("cell", F.floor(F.log("n") / F.lit(-math.log(least) + 1e-9)))
-    rows = F.greatest(F.lit(64), F.least(F.lit(tile_rows), F.floor(F.lit(tile_shingles) / F.max("n"))))
-    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("chunks"))  # a row a cell
-    tiles = (
-        cells.join(F.broadcast(parts), "cell")
-        .withColumn("tile", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("rep"), F.col("chunks")))
-        .groupBy("tile", "cell")
-        .agg(F.collect_list(F.struct(F.array("fp", "n", "rep").alias("x"), "mins")).alias("xs"))
-        .mapInPandas(_pack_sets, "tile long, cell long, xs binary, ms binary")
-    )
-    tiles = materialize(tiles, "tiles")
-    names = tiles.select("tile", F.explode(F.array("cell", F.col("cell") + 1, F.col("cell") - 1)).alias("cell"))
-    pairs = names.join(tiles.select(F.col("tile").alias("tile2"), "cell"), "cell").where("tile <= tile2").select("tile", "tile2")
-    wide = pairs.join(tiles.select("tile", "xs", "ms"), "tile").join(tiles.select(F.col("tile").alias("tile2"), F.col("xs").alias("xs2"), F.col("ms").alias("ms2")), "tile2")
-    wide = wide.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile", "tile2")
-    involved = materialize(wide.mapInPandas(_involved(radius, least, slack), "tile long, tile2 long, side string, doc_id long"), "involved")
-    # a block has the rows of two tiles at most
-    return involved.join(texts, "doc_id").groupBy("tile", "tile2").applyInPandas(_block_links(shingle, seed, least), "u long, v long")
+_BLOCK = ["cluster", "i", "j"]
 
 
-def _pack_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"tile": b["tile"], "cell": b["cell"], "xs": [np.array([list(t["x"]) for t in xs], dtype="<i8").tobytes() for xs in b["xs"]], "ms": [b"".join(t["mins"] for t in xs) for xs in b["xs"]]})
+def _compared(blocks: DataFrame, texts: DataFrame, shingle: int, seed: int, least: float) -> DataFrame:
+    """blocks (cluster, i, j, side, v) → verified links (u, v); a task holds one block's texts at a time."""
+    parts = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = with_texts(blocks, texts.withColumnRenamed("doc_id", "row")).repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK)
+    return materialize(rows.mapInPandas(runs(_BLOCK, _block_links(shingle, seed, least)), "u long, v long"), "links")
+
+
+def _cluster_links(members: DataFrame, texts: DataFrame, shingle: int, seed: int, least: float, tile_rows: int, tile_shingles: int) -> DataFrame:
+    """members (cluster, v, n, led) → verified links (u, v) whose closure is that of all pairs of a cluster.
+
+    A cluster that fits a tile is one block. The rows of a larger one meet its
+    leader, the row that most others found; what the leader is not linked with
+    is then compared, in tiles, with itself and with what it is linked with.
+    """
+    tiles = lambda c, s: F.ceil(F.greatest(c / F.lit(tile_rows), s / F.lit(tile_shingles)))
+    leader = F.max_by("v", F.struct("led", -F.col("v"))).alias("leader")
+    sizes = materialize(members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"), leader).withColumn("tiles", tiles(F.col("c"), F.col("s"))).where("c > 1"), "clusters")
+    placed = members.join(sizes.select("cluster", "tiles", "leader"), "cluster")
+    side = lambda x: F.lit(x).alias("side")
+    whole = placed.where("tiles = 1").select("cluster", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), side(0), "v")
+    share = placed.where("tiles > 1 and v <> leader").select("cluster", F.pmod(F.xxhash64("v"), F.col("tiles")).alias("i"), F.lit(-1).cast("long").alias("j"), side(1), "v")
+    heads = sizes.where("tiles > 1").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("i"), F.lit(-1).cast("long").alias("j"), side(0), F.col("leader").alias("v"))
+    first = _compared(whole.unionByName(share).unionByName(heads), texts, shingle, seed, least)
+
+    large = placed.where("tiles > 1")
+    if large.isEmpty():
+        return first
+    ends = first.select(F.explode(F.array("u", "v")).alias("v")).distinct().withColumn("met", F.lit(True))
+    large = large.join(ends, "v", "left").withColumn("home", (F.col("v") == F.col("leader")) | F.coalesce("met", F.lit(False)))
+    of = lambda home, x: F.coalesce(F.sum(F.when(F.col("home") == home, x)), F.lit(0))
+    split = large.groupBy("cluster").agg(tiles(of(False, F.lit(1)), of(False, F.col("n"))).alias("rest"), tiles(of(True, F.lit(1)), of(True, F.col("n"))).alias("homes")).where("rest > 0")
+    tiled = large.join(split, "cluster").withColumn("tile", F.when(F.col("home"), F.col("rest") + F.pmod(F.xxhash64("v"), F.col("homes"))).otherwise(F.pmod(F.xxhash64("v"), F.col("rest"))))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("home"), F.col("rest")).otherwise(F.col("rest") + F.col("homes")) - 1)
+    met = tiled.withColumn("o", F.explode(others)).select("cluster", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), (F.col("tile") > F.col("o")).cast("int").alias("side"), "v")
+    return first.unionByName(_compared(met, texts, shingle, seed, least))
 
 
 def similar_groups(
-    docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 18, slack: float = 0.175, seed: int = 42, tile_rows: int = 4096, tile_shingles: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 40, rows: int = 4, seed: int = 42, tile_rows: int = 4096, tile_shingles: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id) for rows with distinct, non-null ids: closure of pairs whose sets of word shingles have Jaccard `least`.
 
-    Equal sets are one vertex. SimHash finds candidates within `radius` bits,
-    among sets of sizes that allow the similarity and sketches that come within
-    `slack` of it (five standard errors), by pairs of tiles; of each pair of
-    tiles the rows with a candidate meet with their texts, and a spanning forest
-    of the pairs whose exact sets have the similarity goes on: a group of k
-    texts costs k rows, alike or not. Tiles hold at most tile_rows rows and about
-    tile_shingles shingles. Wordless texts are equal.
+    Equal sets are one vertex. Sets that share a band of `rows` minima, by way
+    of others too, are a cluster: a set sends a short key for each band,
+    whatever the table holds besides, and a pair at 0.8 shares none with
+    probability (1 - 0.8^rows)^bands, 7e-10 as set, however short its texts.
+    All pairs of a cluster are decided on their full sets, in blocks of at most
+    two tiles of tile_rows rows and about tile_shingles shingles; a block hands
+    on a spanning forest. Only the texts of clusters are shuffled. Wordless
+    texts are equal.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = materialize(_sketches(texts, shingle, seed), "sketches")
-    distinct = materialize(prints.groupBy("fp", "n", "digest").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "sets")
-    parts = connected_components(_set_links(distinct, texts, shingle, seed, radius, least, slack, tile_rows, tile_shingles))
-    by_set = distinct.join(parts, distinct.rep == parts.id, "left").select("fp", "n", "digest", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(by_set, ["fp", "n", "digest"]).select("doc_id", "component_id")
+    prints = materialize(_signed(texts, shingle, seed, bands, rows), "signed")
+    sets = materialize(prints.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("v")), "sets")
+    # here a set goes by its first digest: two sets that share it would only come into one cluster
+    keyed = prints.select("d1", F.explode("keys").alias("key"))
+    found = keyed.withColumn("by", F.min("d1").over(W.partitionBy("key"))).where("d1 <> by").groupBy("d1", "by").agg(F.count("*").alias("led"))
+    found = materialize(found, "bands")
+    clusters = connected_components(found.select(F.col("d1").alias("u"), F.col("by").alias("v"))).withColumnRenamed("component", "cluster")
+    led = found.groupBy(F.col("by").alias("id")).agg(F.sum("led").alias("led"))
+    members = sets.join(clusters.join(led, "id", "left"), sets.d1 == F.col("id")).select("cluster", "v", "n", F.coalesce("led", F.lit(0)).alias("led"))
+    parts = connected_components(_cluster_links(materialize(members, "members"), texts, shingle, seed, least, tile_rows, tile_shingles))
+    by_set = sets.join(parts, sets.v == parts.id, "left").select("n", "d1", "d2", F.coalesce("component", "v").alias("component_id"))
+    return prints.select("doc_id", "n", "d1", "d2").join(by_set, ["n", "d1", "d2"]).select("doc_id", "component_id")
