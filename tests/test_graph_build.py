@@ -81,6 +81,23 @@ def test_the_longest_paths_are_not_written(spark):
     assert {"".join(r.path) for r in got.collect()} == {"cd", "bd", "bcd", "abd", "abcd", "dabd"}
 
 
+def test_paths_cost_a_comparison_a_row_and_are_dealt_to_all_tasks(spark):
+    pairs = [(a, b) for a in "abcdef" for b in "abcdef" if (ord(a) * 7 + ord(b) * 3) % 5 < 2]
+    edges = spark.createDataFrame([(a, b, "PREREQ_OF") for a, b in pairs], "source string, target string, rel_type string")
+    ways, done = [[(a, b)] for a, b in pairs if b == "c"], []
+    for _ in range(4):
+        done += ways
+        ways = [[e, *w] for w in ways for e in pairs if e[1] == w[0][0] and e not in w]
+    got = T.paths_into(spark.createDataFrame([("c",)], "seed string"), edges, 4)
+    texts = got.select("text", "steps")
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "array_contains" not in plan and "transform(" not in plan
+    # three reads of shorter paths and the last step
+    assert texts.rdd.getNumPartitions() >= 3 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows(texts) == {(" > ".join([w[0][0], *(e[1] for e in w)]), len(w)): 1 for w in done} and any(a == b for a, b in pairs)
+    assert {" > ".join(r.path) for r in got.collect()} == {r.text for r in texts.collect()}
+
+
 def test_similar_pairs_are_verified_by_many_tasks(spark):
     words = spark.createDataFrame([(f"large ring {i}",) for i in range(30)], "title string")
     pairs = similar_pairs(words, None, 80.0, False)
